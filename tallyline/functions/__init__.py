@@ -1,5 +1,13 @@
 from .casts import CASTS, as_double, as_int, as_timestamp, cast_expr
-from .measures import count_where, days_between, is_late, line_key, ratio, surrogate_key
+from .measures import (
+    count_where,
+    days_between,
+    is_late,
+    line_key,
+    ratio,
+    surrogate_key,
+    unclustered,
+)
 
 __all__ = [
     "CASTS",
@@ -13,4 +21,5 @@ __all__ = [
     "line_key",
     "ratio",
     "surrogate_key",
+    "unclustered",
 ]

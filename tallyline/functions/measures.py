@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,15 @@ def count_where(condition: Column) -> Column:
 def ratio(part: Column, whole: Column) -> Column:
     """Floating division; NULL when ``whole`` is zero or NULL."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
+
+
+def unclustered(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows, with the text ``keys`` as computed columns.
+
+    Use it on the side of a join that is an aggregate or a join over the same keys,
+    when a key of the other side may be hot. Spark splits a hot partition only if
+    both inputs of the join come straight from a shuffle, and would skip the
+    shuffle of a side it knows to be clustered already. A computed key hides that;
+    the side, one row per key, is shuffled once more and the hot one can be split.
+    """
+    return df.withColumns({k: F.concat(k) for k in keys})

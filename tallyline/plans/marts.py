@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import count_where, ratio
+from ..functions import count_where, ratio, unclustered
 from .star import ORDER_TIMES
 
 
@@ -108,7 +108,7 @@ def mart_obt_customers(
             F.sum("n_review_ids").alias("total_reviews"),
         )
     )
-    return dim_customers.join(activity, "customer_sk", "left").select(
+    return dim_customers.join(unclustered(activity, "customer_sk"), "customer_sk", "left").select(
         *dim_customers.columns,
         *_or_zero("total_orders", *sums),
         "first_order_date",
@@ -128,35 +128,32 @@ def mart_obt_orders(
 ) -> DataFrame:
     """One row per item with its order, customer, seller and product.
 
-    Customer and review columns attach to the order, of which there are fewer
-    than items; the item picks up seller and product while still narrow, and the
-    wide order columns join last.
+    Customer columns attach to the order, of which there are fewer than items; the
+    item picks up seller and product while still narrow. Orders and review totals
+    join last and on the same key, so the widened rows are not shuffled again.
     """
-    orders = (
-        fct_orders.join(
-            dim_customers.select(
-                "customer_sk",
-                "customer_unique_id",
-                F.col("city").alias("customer_city"),
-                F.col("state").alias("customer_state"),
-            ),
-            "customer_sk",
-        )
-        .join(review_totals.select("order_id", "max_score", "last_created"), "order_id", "left")
-        .select(
-            "order_id",
-            "customer_sk",
-            "order_status",
-            *ORDER_TIMES,
-            F.col("total_payment_value_usd").alias("order_total_payment_usd"),
-            "customer_unique_id",
-            "customer_city",
-            "customer_state",
-            "actual_delivery_duration_days",
-            "is_delivery_delayed",
-            F.col("max_score").alias("review_score"),
-            F.col("last_created").alias("review_creation_date"),
-        )
+    customers = dim_customers.select(
+        "customer_sk",
+        "customer_unique_id",
+        F.col("city").alias("customer_city"),
+        F.col("state").alias("customer_state"),
+    )
+    orders = fct_orders.join(customers, "customer_sk").select(
+        "order_id",
+        "customer_sk",
+        "order_status",
+        *ORDER_TIMES,
+        F.col("total_payment_value_usd").alias("order_total_payment_usd"),
+        "customer_unique_id",
+        "customer_city",
+        "customer_state",
+        "actual_delivery_duration_days",
+        "is_delivery_delayed",
+    )
+    reviews = review_totals.select(
+        "order_id",
+        F.col("max_score").alias("review_score"),
+        F.col("last_created").alias("review_creation_date"),
     )
     sellers = dim_sellers.select(
         "seller_sk",
@@ -183,7 +180,8 @@ def mart_obt_orders(
     return (
         items.join(sellers, "seller_sk")
         .join(products, "product_sk")
-        .join(orders, "order_id")
+        .join(unclustered(orders, "order_id"), "order_id")
+        .join(reviews, "order_id", "left")
         .select(
             "order_item_sk",
             "order_id",
@@ -238,7 +236,7 @@ def mart_obt_sellers(
         )
     )
     late_pct = ratio(F.col("total_delayed_orders") * 100.0, F.col("total_orders"))
-    return dim_sellers.join(activity, "seller_sk", "left").select(
+    return dim_sellers.join(unclustered(activity, "seller_sk"), "seller_sk", "left").select(
         *dim_sellers.columns,
         *_or_zero(
             "total_orders",
@@ -258,7 +256,7 @@ def mart_payment_profiles(fct_order_payments: DataFrame, fct_orders: DataFrame)
     """Payment type and instalments. ``total_canceled_orders`` counts payments."""
     status = fct_orders.select("order_id", F.col("order_status").alias("status"))
     return (
-        fct_order_payments.join(status, "order_id")
+        fct_order_payments.join(unclustered(status, "order_id"), "order_id")
         .groupBy("payment_type", "payment_installments")
         .agg(
             F.count("payment_sk").alias("total_transactions"),
@@ -326,7 +324,8 @@ def mart_product_performance(
     ]
     # The second grouping only merges rows if the dimension repeats a product.
     return (
-        sales.join(
+        unclustered(sales, "product_sk")
+        .join(
             dim_products.withColumnRenamed("product_category_english", "product_category"),
             "product_sk",
         )
@@ -370,7 +369,8 @@ def mart_seller_sales(
     sums = [c for c in sales.columns if c not in ("seller_sk", "total_orders")]
     # As for products: regrouping merges rows only for a repeated seller.
     return (
-        sales.join(
+        unclustered(sales, "seller_sk")
+        .join(
             dim_sellers.withColumnsRenamed({"city": "seller_city", "state": "seller_state"}),
             "seller_sk",
         )

@@ -13,7 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import count_where, days_between, is_late, line_key, surrogate_key
+from ..functions import (
+    count_where,
+    days_between,
+    is_late,
+    line_key,
+    surrogate_key,
+    unclustered,
+)
 
 ORDER_TIMES = (
     "order_purchase_timestamp",
@@ -150,34 +157,33 @@ def fct_orders(
 ) -> DataFrame:
     """One row per order, with item and payment totals (0 where there are none).
 
-    Items and payments are summed per order first, with map-side partial sums, so
-    neither side can multiply the other and a hot order shrinks before it moves.
+    Items and payments are stacked and summed per order in one aggregation, so
+    neither can multiply the other, a hot order shrinks in the map tasks, and the
+    orders need a single join.
     """
-    items = stg_olist_order_items.groupBy("order_id").agg(
+    lines = stg_olist_order_items.select(
+        "order_id", "order_item_id", "price", "freight_value"
+    ).unionByName(
+        stg_olist_order_payments.select("order_id", "payment_value"), allowMissingColumns=True
+    )
+    totals = lines.groupBy("order_id").agg(
         F.count("order_item_id").alias("total_items"),
         F.sum("price").alias("total_items_value_usd"),
         F.sum("freight_value").alias("total_freight_value_usd"),
+        F.sum("payment_value").alias("total_payment_value_usd"),
     )
-    payments = stg_olist_order_payments.groupBy("order_id").agg(
-        F.sum("payment_value").alias("total_payment_value_usd")
-    )
-    totals = [c for c in items.columns + payments.columns if c != "order_id"]
-    return (
-        stg_olist_orders.join(items, "order_id", "left")
-        .join(payments, "order_id", "left")
-        .select(
-            "order_id",
-            surrogate_key("customer_id").alias("customer_sk"),
-            "order_status",
-            *[F.coalesce(c, F.lit(0)).alias(c) for c in totals],
-            *ORDER_TIMES,
-            days_between("order_purchase_timestamp", "order_delivered_customer_date").alias(
-                "actual_delivery_duration_days"
-            ),
-            is_late("order_estimated_delivery_date", "order_delivered_customer_date").alias(
-                "is_delivery_delayed"
-            ),
-        )
+    return stg_olist_orders.join(unclustered(totals, "order_id"), "order_id", "left").select(
+        "order_id",
+        surrogate_key("customer_id").alias("customer_sk"),
+        "order_status",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals.columns if c != "order_id"],
+        *ORDER_TIMES,
+        days_between("order_purchase_timestamp", "order_delivered_customer_date").alias(
+            "actual_delivery_duration_days"
+        ),
+        is_late("order_estimated_delivery_date", "order_delivered_customer_date").alias(
+            "is_delivery_delayed"
+        ),
     )
 
 
@@ -189,7 +195,7 @@ def review_totals(stg_olist_order_reviews: DataFrame) -> DataFrame:
     without ever producing the item x review rows.
     """
     score = F.col("review_score")
-    return stg_olist_order_reviews.groupBy("order_id").agg(
+    totals = stg_olist_order_reviews.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_reviews"),
         F.count("review_id").alias("n_review_ids"),
         F.count(score).alias("n_scored"),
@@ -199,3 +205,4 @@ def review_totals(stg_olist_order_reviews: DataFrame) -> DataFrame:
         F.max(score).alias("max_score"),
         F.max("review_creation_date").alias("last_created"),
     )
+    return unclustered(totals, "order_id")
