@@ -104,11 +104,12 @@ def seller_classes(spark, sf_dir):
 
 
 def customers_topk(spark, sf_dir):
+    tune(spark, sf_dir)
     return customers_per_state(spark, f"{sf_dir}/customer.parquet", "c_nationkey")
 
 
 def explore_capped(spark, sf_dir):
-    tune(spark)
+    tune(spark, sf_dir)
     return ops.explore(
         spark,
         f"""
@@ -147,12 +148,12 @@ def try_cast_mix(spark, sf_dir):
 
 
 def metric_history(spark, sf_dir):
-    tune(spark)
+    tune(spark, sf_dir)
     return ops.metric_history(table(spark, sf_dir, "events"), "value", "ts", as_of=AS_OF)
 
 
 def metric_history_raw(spark, sf_dir):
-    tune(spark)
+    tune(spark, sf_dir)
     items = table(spark, sf_dir, "lineitem")
     return ops.metric_history(
         items, "l_extendedprice", "l_shipdate", as_of="2001-06-30", days=365, grain=None
@@ -223,7 +224,7 @@ def calendar_gaps(spark, sf_dir):
 
 
 def volume_anomalies(spark, sf_dir):
-    tune(spark)
+    tune(spark, sf_dir)
     return ops.volume_anomalies(table(spark, sf_dir, "events"), "ts", "event_type", z=2.0)
 
 
@@ -265,7 +266,7 @@ def domain_violations(spark, sf_dir):
 
 
 def kpi_change(spark, sf_dir):
-    tune(spark)
+    tune(spark, sf_dir)
     return ops.kpi_change(
         table(spark, sf_dir, "events"), "value", "ts", segment="event_type", **PERIODS
     )

@@ -32,7 +32,7 @@ def _days(column: str, n: int) -> Column:
 
 def feeds(spark: SparkSession, sf_dir: str) -> Lazy:
     """Every table of the pipeline over the driver's data, lazily."""
-    tune(spark)
+    tune(spark, sf_dir)
 
     def t(name: str) -> DataFrame:
         return table(spark, sf_dir, name)

@@ -105,13 +105,6 @@ def open_feeds(spark: SparkSession, root: str) -> Lazy:
     return Lazy({name: read_feed(spark, root, name) for name in FEEDS})
 
 
-def input_bytes(spark: SparkSession, path: str) -> int:
-    """Size of everything under ``path``, from the file system's own summary."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.getContentSummary(hadoop_path).getLength() if fs.exists(hadoop_path) else 0
-
-
 def build(
     spark: SparkSession,
     raw_root: str,
@@ -132,7 +125,7 @@ def build(
     are registered in the catalog too; a layer left out goes to the current
     database. Returns the published tables.
     """
-    tune(spark, input_bytes(spark, raw_root))
+    tune(spark, raw_root)
     lazy = open_feeds(spark, raw_root)
     tables: dict[str, DataFrame] = {
         name: lazy[name] for name, t in TABLES.items() if t.layer == "staging"

@@ -6,32 +6,51 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-_BYTES_PER_REDUCER = 512 << 20
-_MOST_REDUCERS = 40_000
+_BYTES_PER_REDUCER = 1 << 30
+_MOST_REDUCERS = 32_000
+_MOST_SCAN_TASKS = 100_000
 
 
-def tune(spark: SparkSession, input_bytes: int = 0) -> SparkSession:
-    """Turn on run-time re-planning and size shuffles for the input.
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Size of everything under ``path``, from the file system's own summary."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(hadoop_path).getLength() if fs.exists(hadoop_path) else 0
+
+
+def _size(text: str) -> int:
+    """Bytes of a Spark size setting such as '128MB' or '134217728b'."""
+    digits = "".join(c for c in text if c.isdigit())
+    unit = text[len(digits) :].strip().lower().rstrip("b")[:1]
+    return int(digits) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def tune(spark: SparkSession, *paths: str) -> SparkSession:
+    """Turn on run-time re-planning and size tasks for the input under ``paths``.
 
     * Joins on a key that may be hot rely on adaptive skew splitting: the hot
       partition is cut by map output and its other side re-read per piece.
       ``forceOptimizeSkewedJoin`` lets that happen below an aggregation as well,
       at the price of one more exchange, paid only when skew was seen.
     * Adaptive execution merges small shuffle partitions but never adds any, so
-      the starting number grows with the input (a session's own larger
-      ``spark.sql.shuffle.partitions`` wins).
+      the starting number grows with the input. Scan splits grow with it too, to
+      bound the number of map tasks. The session's own settings are lower bounds.
     """
     conf = spark.conf
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     conf.set("spark.sql.session.timeZone", "UTC")
-    reducers = min(-(-input_bytes // _BYTES_PER_REDUCER), _MOST_REDUCERS)
-    configured = int(conf.get("spark.sql.shuffle.partitions", "200"))
+    total = sum(input_bytes(spark, path) for path in paths)
+    reducers = min(-(-total // _BYTES_PER_REDUCER), _MOST_REDUCERS)
+    configured = int(conf.get("spark.sql.shuffle.partitions"))
     conf.set(
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum",
         str(max(reducers, configured)),
     )
+    split = total // _MOST_SCAN_TASKS
+    if split > _size(conf.get("spark.sql.files.maxPartitionBytes")):
+        conf.set("spark.sql.files.maxPartitionBytes", str(split))
     return spark
 
 
