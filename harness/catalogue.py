@@ -20,7 +20,7 @@ from tallyline.plans import (
     seller_classification,
 )
 from tallyline.session import scratch_dir, tune
-from tallyline.sources import export_csv, feed_path, ingest, read_feed
+from tallyline.sources import FEEDS, export_csv, feed_path, ingest, read_feed
 
 from .standins import feeds, table
 
@@ -90,8 +90,9 @@ def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _built:
         root = _work_dir(spark, sf_dir)
-        for name, df in feeds(spark, sf_dir).feeds.items():
-            df.write.mode("overwrite").parquet(feed_path(f"{root}/feeds", name))
+        lazy = feeds(spark, sf_dir)
+        for name in FEEDS:
+            lazy.feed(name).write.mode("overwrite").parquet(feed_path(f"{root}/feeds", name))
         _built[key] = build(spark, f"{root}/feeds", f"{root}/warehouse")
     return _built[key]
 
@@ -244,7 +245,7 @@ def reconcile_measure(spark, sf_dir):
 
 def cast_loss(spark, sf_dir):
     return ops.cast_loss(
-        feeds(spark, sf_dir).feeds["olist_order_reviews"],
+        feeds(spark, sf_dir).feed("olist_order_reviews"),
         {
             "review_id": "int",
             "review_score": "int",
@@ -374,7 +375,7 @@ def csv_ingest_roundtrip(spark, sf_dir):
     message = F.concat_ws("\n", "review_comment_message", "review_comment_title")
     (
         feeds(spark, sf_dir)
-        .feeds["olist_order_reviews"]
+        .feed("olist_order_reviews")
         .withColumn("review_comment_message", message)
         .write.mode("overwrite")
         .option("header", True)

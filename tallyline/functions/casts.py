@@ -15,10 +15,8 @@ _SUFFIXED_NUMBER = "[0-9.][dDfF] *$"
 
 # A full calendar date, alone or followed by a time of day. Without this Spark
 # would read a bare "2018" or "2018-01" as the first instant of that period.
-_FULL_DATE = (
-    "^ *[0-9]{4}(-[0-9]{1,2}-[0-9]{1,2}|/[0-9]{1,2}/[0-9]{1,2})"
-    "($|[ T][0-9]{1,2}:[0-9]{1,2})"
-)
+_DASHED = "^ *[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}($|[ T][0-9]{1,2}:[0-9]{1,2})"
+_SLASHED = _DASHED.replace("}-[", "}/[")
 
 
 def _quote(column: str) -> str:
@@ -47,8 +45,9 @@ def as_timestamp(column: str, dtype: str) -> str:
     c = _quote(column)
     if dtype == "string":
         return (
-            f"CASE WHEN {c} RLIKE '{_FULL_DATE}' "
-            f"THEN try_cast(translate({c}, '/', '-') AS TIMESTAMP_NTZ) END"
+            f"CASE WHEN {c} RLIKE '{_DASHED}' THEN try_cast({c} AS TIMESTAMP_NTZ)"
+            f" WHEN {c} RLIKE '{_SLASHED}'"
+            f" THEN try_cast(replace({c}, '/', '-') AS TIMESTAMP_NTZ) END"
         )
     return f"try_cast({c} AS TIMESTAMP_NTZ)"
 

@@ -6,6 +6,7 @@ import inspect
 from collections.abc import Callable, Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -80,14 +81,23 @@ class Lazy(Mapping):
     """Tables by name, each defined on first use over the given feeds.
 
     Nothing is stored: a query on one mart is a single plan down to the feeds, and
-    Catalyst prunes what that mart does not use.
+    Catalyst prunes what that mart does not use. A feed may be given as a function
+    that opens it, called only if some table needs the feed.
     """
 
-    def __init__(self, feeds: Mapping[str, DataFrame]):
-        self.feeds = dict(feeds)
-        self._known = dict(feeds)
+    def __init__(self, feeds: Mapping[str, DataFrame | Callable[[], DataFrame]]):
+        self._feeds = dict(feeds)
+        self._known: dict[str, DataFrame] = {}
+
+    def feed(self, name: str) -> DataFrame:
+        if name not in self._known:
+            source = self._feeds[name]
+            self._known[name] = source() if callable(source) else source
+        return self._known[name]
 
     def __getitem__(self, name: str) -> DataFrame:
+        if name in self._feeds:
+            return self.feed(name)
         if name not in self._known:
             table = TABLES[name]
             self._known[name] = table.build(*[self[p] for p in table.parents])
@@ -102,7 +112,7 @@ class Lazy(Mapping):
 
 def open_feeds(spark: SparkSession, root: str) -> Lazy:
     """All tables over the Parquet feeds under ``root``, unmaterialized."""
-    return Lazy({name: read_feed(spark, root, name) for name in FEEDS})
+    return Lazy({name: partial(read_feed, spark, root, name) for name in FEEDS})
 
 
 def build(
@@ -157,7 +167,7 @@ def _register(spark, lazy, raw_root, out_root, databases) -> None:
         if table.layer == "staging":
             feed = staging.STAGING[name].feed
             spark.sql(
-                staging.view_sql(name, lazy.feeds[feed], database, feed_path(raw_root, feed))
+                staging.view_sql(name, lazy.feed(feed), database, feed_path(raw_root, feed))
             )
         else:
             spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}`")
