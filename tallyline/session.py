@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 _BYTES_PER_REDUCER = 1 << 30
 _MOST_REDUCERS = 32_000
 _MOST_SCAN_TASKS = 100_000
+_ROWS_PER_FILE_BYTE = 8.0
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -35,12 +36,18 @@ def tune(spark: SparkSession, *paths: str) -> SparkSession:
     * Adaptive execution merges small shuffle partitions but never adds any, so
       the starting number grows with the input. Scan splits grow with it too, to
       bound the number of map tasks. The session's own settings are lower bounds.
+    * A scan is broadcast if its estimated size is under
+      ``spark.sql.autoBroadcastJoinThreshold``. The estimate is the file size, but
+      encoded columns take several times that as rows in memory, so the factor
+      between the two is raised to what our feeds show.
     """
     conf = spark.conf
     conf.set("spark.sql.adaptive.enabled", "true")
     conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
     conf.set("spark.sql.session.timeZone", "UTC")
+    factor = float(conf.get("spark.sql.sources.fileCompressionFactor"))
+    conf.set("spark.sql.sources.fileCompressionFactor", str(max(factor, _ROWS_PER_FILE_BYTE)))
     total = sum(input_bytes(spark, path) for path in paths)
     reducers = min(-(-total // _BYTES_PER_REDUCER), _MOST_REDUCERS)
     configured = int(conf.get("spark.sql.shuffle.partitions"))
