@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import edges as pipeline_edges
+from .keys import stacked
 from .profile import union_all
 
 
@@ -136,42 +137,43 @@ KEYED_EDGES = (
 )
 
 
-def _side(df: DataFrame, side: str, columns: list[str], measure: str | None) -> DataFrame:
-    total = F.sum(measure).cast("double") if measure else F.lit(None).cast("double")
-    return df.groupBy(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]).agg(
-        F.count(F.lit(1)).alias(f"{side}_n"), total.alias(f"{side}_measure")
-    )
+def _side(df: DataFrame, columns: list[str], measure: str | None, name: str) -> DataFrame:
+    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]
+    value = F.col(measure) if measure else F.lit(None)
+    return df.select(*keys, value.cast("double").alias(name))
 
 
 def reconcile_edge(edge: Edge, parent: DataFrame, child: DataFrame) -> DataFrame:
-    """One row: rows and keys on either side, keys lost and gained, measure drift.
-
-    Both sides are reduced to their keys before they meet. NULL keys match.
-    """
+    """One row: rows and keys on either side, keys lost and gained, measure drift."""
     measure = edge.measure or (None, None)
-    p = _side(parent, "p", [k for k, _ in edge.keys], measure[0]).alias("p")
-    c = _side(child, "c", [k for _, k in edge.keys], measure[1]).alias("c")
-    same = [F.col(f"p.k{i}").eqNullSafe(F.col(f"c.k{i}")) for i in range(len(edge.keys))]
-    in_parent, in_child = F.col("p_n").isNotNull(), F.col("c_n").isNotNull()
-    return (
-        p.join(c, same, "full")
+    p = _side(parent, [k for k, _ in edge.keys], measure[0], "parent_measure")
+    c = _side(child, [k for _, k in edge.keys], measure[1], "child_measure")
+    per_key = (
+        stacked(p, c)
+        .groupBy(*[f"k{i}" for i in range(len(edge.keys))])
         .agg(
-            F.coalesce(F.sum("p_n"), F.lit(0)).alias("parent_rows"),
-            F.coalesce(F.sum("c_n"), F.lit(0)).alias("child_rows"),
-            F.count("p_n").alias("parent_keys"),
-            F.count("c_n").alias("child_keys"),
-            F.count(F.when(in_parent & ~in_child, 1)).alias("keys_lost"),
-            F.count(F.when(in_child & ~in_parent, 1)).alias("keys_gained"),
-            F.sum("p_measure").alias("parent_measure"),
-            F.sum("c_measure").alias("child_measure"),
-        )
-        .select(
-            F.lit(edge.parent).alias("parent"),
-            F.lit(edge.child).alias("child"),
-            "*",
-            (F.col("child_measure") - F.col("parent_measure")).alias("measure_drift"),
+            F.count("_l").alias("_l"),
+            F.count("_r").alias("_r"),
+            F.sum("parent_measure").alias("parent_measure"),
+            F.sum("child_measure").alias("child_measure"),
         )
     )
+    in_parent, in_child = F.col("_l") > 0, F.col("_r") > 0
+    return per_key.agg(
+        F.coalesce(F.sum("_l"), F.lit(0)).alias("parent_rows"),
+        F.coalesce(F.sum("_r"), F.lit(0)).alias("child_rows"),
+        F.count(F.when(in_parent, 1)).alias("parent_keys"),
+        F.count(F.when(in_child, 1)).alias("child_keys"),
+        F.count(F.when(in_parent & ~in_child, 1)).alias("keys_lost"),
+        F.count(F.when(in_child & ~in_parent, 1)).alias("keys_gained"),
+        F.sum("parent_measure").alias("parent_measure"),
+        F.sum("child_measure").alias("child_measure"),
+    ).select(
+        F.lit(edge.parent).alias("parent"),
+        F.lit(edge.child).alias("child"),
+        "*",
+        (F.col("child_measure") - F.col("parent_measure")).alias("measure_drift"),
+    )
 
 
 def reconcile_lineage(
