@@ -10,7 +10,7 @@ from .keys import (
     reconcile_measure,
     retention,
 )
-from .lineage import KEYED_EDGES, Edge, neighbours, reconcile_edge, reconcile_lineage
+from .lineage import KEYED_EDGES, Edge, neighbours, reconcile_lineage
 from .profile import column_profile, schema_diff, table_inventory
 from .report import outcome, quality_report
 from .trends import calendar_gaps, kpi_change, null_drift, volume_anomalies
@@ -35,7 +35,6 @@ __all__ = [
     "orphans",
     "outcome",
     "quality_report",
-    "reconcile_edge",
     "reconcile_lineage",
     "reconcile_measure",
     "retention",

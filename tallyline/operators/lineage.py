@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import edges as pipeline_edges
-from .keys import stacked
 from .profile import union_all
 
 
@@ -137,20 +136,47 @@ KEYED_EDGES = (
 )
 
 
-def _side(df: DataFrame, columns: list[str], measure: str | None, name: str) -> DataFrame:
-    keys = [F.col(c).alias(f"k{i}") for i, c in enumerate(columns)]
+def _entry(index: int, side: str, columns: list[str], measure: str | None, width: int):
+    """A row's part in one edge: its key as text, its side and its measure."""
+    keys = [F.col(c) for c in columns] + [F.lit(None)] * (width - len(columns))
     value = F.col(measure) if measure else F.lit(None)
-    return df.select(*keys, value.cast("double").alias(name))
+    absent = F.lit(None)
+    return F.struct(
+        F.lit(index).alias("edge"),
+        *[k.cast("string").alias(f"k{i}") for i, k in enumerate(keys)],
+        (F.lit(1) if side == "parent" else absent).cast("int").alias("_l"),
+        (F.lit(1) if side == "child" else absent).cast("int").alias("_r"),
+        (value if side == "parent" else absent).cast("double").alias("parent_measure"),
+        (value if side == "child" else absent).cast("double").alias("child_measure"),
+    )
+
 
+def reconcile_lineage(
+    tables: Mapping[str, DataFrame],
+    edges: Iterable[Edge] = KEYED_EDGES,
+    around: str | None = None,
+) -> DataFrame:
+    """One row per edge, or per edge touching table ``around``: rows and keys on
+    either side, keys lost and gained, measure totals and their drift.
 
-def reconcile_edge(edge: Edge, parent: DataFrame, child: DataFrame) -> DataFrame:
-    """One row: rows and keys on either side, keys lost and gained, measure drift."""
-    measure = edge.measure or (None, None)
-    p = _side(parent, [k for k, _ in edge.keys], measure[0], "parent_measure")
-    c = _side(child, [k for _, k in edge.keys], measure[1], "child_measure")
+    Every table is read once, whatever the number of its edges: a row is emitted
+    for each edge it belongs to, and a single aggregation by edge and key, with
+    counts made up in the map tasks, brings parents and children together. Give it
+    stored tables (``plans.build``), or each scan recomputes its table.
+    """
+    chosen = [e for e in edges if around in (None, e.parent, e.child)]
+    if not chosen:
+        raise ValueError(f"no edge touches {around!r}")
+    width = max(len(e.keys) for e in chosen)
+    entries: dict[str, list] = {}
+    for i, e in enumerate(chosen):
+        measures = e.measure or (None, None)
+        for j, (name, side) in enumerate(((e.parent, "parent"), (e.child, "child"))):
+            columns = [pair[j] for pair in e.keys]
+            entries.setdefault(name, []).append(_entry(i, side, columns, measures[j], width))
     per_key = (
-        stacked(p, c)
-        .groupBy(*[f"k{i}" for i in range(len(edge.keys))])
+        union_all([tables[n].select(F.inline(F.array(*parts))) for n, parts in entries.items()])
+        .groupBy("edge", *[f"k{i}" for i in range(width)])
         .agg(
             F.count("_l").alias("_l"),
             F.count("_r").alias("_r"),
@@ -159,34 +185,26 @@ def reconcile_edge(edge: Edge, parent: DataFrame, child: DataFrame) -> DataFrame
         )
     )
     in_parent, in_child = F.col("_l") > 0, F.col("_r") > 0
-    return per_key.agg(
-        F.coalesce(F.sum("_l"), F.lit(0)).alias("parent_rows"),
-        F.coalesce(F.sum("_r"), F.lit(0)).alias("child_rows"),
+    per_edge = per_key.groupBy("edge").agg(
+        F.sum("_l").alias("parent_rows"),
+        F.sum("_r").alias("child_rows"),
         F.count(F.when(in_parent, 1)).alias("parent_keys"),
         F.count(F.when(in_child, 1)).alias("child_keys"),
         F.count(F.when(in_parent & ~in_child, 1)).alias("keys_lost"),
         F.count(F.when(in_child & ~in_parent, 1)).alias("keys_gained"),
         F.sum("parent_measure").alias("parent_measure"),
         F.sum("child_measure").alias("child_measure"),
-    ).select(
-        F.lit(edge.parent).alias("parent"),
-        F.lit(edge.child).alias("child"),
-        "*",
+    )
+    counts = [c for c in per_edge.columns if c != "edge" and not c.endswith("_measure")]
+    names = per_edge.sparkSession.createDataFrame(
+        [(i, e.parent, e.child) for i, e in enumerate(chosen)],
+        "edge int, parent string, child string",
+    )
+    return names.join(per_edge, "edge", "left").select(
+        "parent",
+        "child",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in counts],
+        "parent_measure",
+        "child_measure",
         (F.col("child_measure") - F.col("parent_measure")).alias("measure_drift"),
     )
-
-
-def reconcile_lineage(
-    tables: Mapping[str, DataFrame],
-    edges: Iterable[Edge] = KEYED_EDGES,
-    around: str | None = None,
-) -> DataFrame:
-    """``reconcile_edge`` for every edge, or for those touching table ``around``.
-
-    Give it stored tables (``plans.build``): unmaterialized ones are recomputed
-    for every edge they are part of.
-    """
-    chosen = [e for e in edges if around in (None, e.parent, e.child)]
-    if not chosen:
-        raise ValueError(f"no edge touches {around!r}")
-    return union_all([reconcile_edge(e, tables[e.parent], tables[e.child]) for e in chosen])

@@ -381,3 +381,20 @@ def test_quality_report(sides):
         ("duplicates", "left", "k", 2.0, 0.0, True),
         ("orphans", "left", "k", 1 / 6, 0.5, False),
     ]
+
+
+def test_reconcile_lineage_of_empty_tables(spark):
+    none = spark.createDataFrame([], "k string, v double")
+    edge = ops.Edge("a", "b", (("k", "k"),), ("v", "v"))
+    assert rows(ops.reconcile_lineage({"a": none, "b": none}, [edge])) == [
+        ("a", "b", 0, 0, 0, 0, 0, 0, None, None, None)
+    ]
+    with pytest.raises(ValueError):
+        ops.reconcile_lineage({"a": none, "b": none}, [edge], around="c")
+
+
+def test_reconcile_lineage_matches_null_keys(spark):
+    a = spark.createDataFrame([(None, 1), ("x", 2), ("x", 3)], "k string, n int")
+    b = spark.createDataFrame([(None,), ("y",)], "k string")
+    got = ops.reconcile_lineage({"a": a, "b": b}, [ops.Edge("a", "b", (("k", "k"),))]).first()
+    assert tuple(got)[2:8] == (3, 2, 2, 2, 1, 1)
