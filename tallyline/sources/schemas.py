@@ -55,6 +55,11 @@ class Feed:
     schema: str  # DDL
     free_text: bool
 
+    @property
+    def csv_name(self) -> str:
+        """File name of the feed as published (fixed value)."""
+        return f"{self.name}_dataset.csv" if self.name.startswith("olist_") else f"{self.name}.csv"
+
     @property
     def columns(self) -> list[str]:
         return [column.split()[0] for column in self.schema.split(",")]

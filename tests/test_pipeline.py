@@ -94,3 +94,19 @@ def test_feeds_with_inferred_number_types(spark, feeds, tmp_path):
     )
     got = {r.seller_id: r.total_revenue_usd for r in Lazy(typed)["mart_obt_sellers"].collect()}
     assert got == {"s1": 30.5, "s2": 80.0, "s3": 0.0}
+
+
+def test_command_line(spark, feeds, tmp_path, capsys):
+    from tallyline.__main__ import main
+    from tallyline.sources import FEEDS
+
+    for name, df in feeds.items():
+        df.write.option("header", True).option("escape", '"').csv(
+            f"{tmp_path}/csv/{FEEDS[name].csv_name}"
+        )
+    raw, out = f"{tmp_path}/raw", f"{tmp_path}/warehouse"
+    assert main(["ingest", "--input-dir", f"{tmp_path}/csv", "--output-dir", raw]) == 0
+    assert "olist_orders: 5 rows" in capsys.readouterr().out
+    assert main(["build", "--raw-dir", raw, "--warehouse-dir", out]) == 0
+    assert main(["export", "--warehouse-dir", out, "--output-dir", f"{tmp_path}/out"]) == 0
+    assert "mart_payment_profiles: ok 3" in capsys.readouterr().out

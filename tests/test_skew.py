@@ -95,3 +95,20 @@ def test_results_hold_under_skew(spark, skewed, small_thresholds, name):
     con = connect(skewed)
     verdict, n = compare(spark, con, skewed, name, registered()[name], statements()[name])
     assert verdict == "ok" and n > 0
+
+
+def test_retention_splits_a_key_of_many_segments(spark, small_thresholds):
+    from pyspark.sql import functions as F
+
+    from tallyline.operators import retention
+
+    n = 300_000
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 1000)
+    up = spark.range(0, n, 1, 8).select(
+        hot.alias("key"), F.md5(F.col("id").cast("string")).alias("segment")
+    )
+    down = spark.range(0, 500, 1, 4).withColumnRenamed("id", "key")
+    df = retention(up, down, ["key"], "segment")
+    kept = sum(r.kept_rows for r in df.collect())
+    assert kept == sum(1 for i in range(n) if (7 if i % 3 == 0 else i % 1000) < 500)
+    assert any("skew=true" in j for j in final_joins(df))
