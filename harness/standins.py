@@ -8,7 +8,7 @@ cast has work to do. Undelivered orders carry an empty delivery time and reviews
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cache, partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,7 +35,8 @@ def _days(column: str, n: int) -> Column:
 def feeds(spark: SparkSession, sf_dir: str) -> Lazy:
     """Every table of the pipeline over the driver's data, lazily."""
     tune(spark, sf_dir)
-    return Lazy({name: partial(make, partial(table, spark, sf_dir)) for name, make in FEEDS.items()})
+    open_table = cache(partial(table, spark, sf_dir))
+    return Lazy({name: partial(make, open_table) for name, make in FEEDS.items()})
 
 
 def _orders(t) -> DataFrame:

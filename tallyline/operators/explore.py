@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_LIMIT = 100
 
-_LISTING = ("show ", "describe ", "desc ")
+_LISTING = ("show ", "describe ", "desc ", "explain ")
 
 
 def explore(spark: SparkSession, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -16,7 +16,7 @@ def explore(spark: SparkSession, query: str, limit: int = DEFAULT_LIMIT) -> Data
 
     Only a query can stand where a table is expected, so it is first analyzed
     there: anything that would change data or the catalog fails to parse and is
-    never run. SHOW and DESCRIBE only read the catalog and pass as they are.
+    never run. SHOW, DESCRIBE and EXPLAIN change nothing and pass as they are.
     """
     text = query.strip().rstrip(";").strip()
     if not text.lower().startswith(_LISTING):
