@@ -66,7 +66,7 @@ def comparable(df: DataFrame) -> DataFrame:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, DoubleType):
-            c = F.round(c, 4)
+            c = F.round(c, 4) + F.lit(0.0)  # no negative zero
         elif isinstance(f.dataType, DecimalType):
             c = c.cast("long")
         columns.append(c.alias(f.name))
@@ -172,7 +172,11 @@ def column_profile(spark, sf_dir):
 
 
 def lineage_reconcile(spark, sf_dir):
-    return ops.reconcile_lineage(warehouse(spark, sf_dir))
+    # Totals of whole tables are large enough for the order of addition to show.
+    measures = ("parent_measure", "child_measure", "measure_drift")
+    return ops.reconcile_lineage(warehouse(spark, sf_dir)).withColumns(
+        {m: F.round(m, 2) for m in measures}
+    )
 
 
 def duplicates(spark, sf_dir):

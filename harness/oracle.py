@@ -357,7 +357,7 @@ def _needed(text: str) -> list[str]:
 def sql(query: str, doubles: tuple[str, ...] = ()) -> str:
     """``query`` with the relations it needs, ``doubles`` rounded to 4 places."""
     ctes = ",\n".join(f"{name} AS ({RELATIONS[name]})" for name in _needed(query))
-    rounding = ", ".join(f'round("{c}", 4) AS "{c}"' for c in doubles)
+    rounding = ", ".join(f'round("{c}", 4) + 0.0::DOUBLE AS "{c}"' for c in doubles)
     replace = f" REPLACE ({rounding})" if rounding else ""
     head = f"WITH {ctes}\n" if ctes else ""
     return f"{head}SELECT *{replace} FROM ({query}\n)"
@@ -412,8 +412,8 @@ def _edge(e) -> str:
                count(p.n) AS parent_keys, count(c.n) AS child_keys,
                count(*) FILTER (WHERE c.n IS NULL) AS keys_lost,
                count(*) FILTER (WHERE p.n IS NULL) AS keys_gained,
-               sum(p.m) AS parent_measure, sum(c.m) AS child_measure,
-               sum(c.m) - sum(p.m) AS measure_drift
+               round(sum(p.m), 2) AS parent_measure, round(sum(c.m), 2) AS child_measure,
+               round(sum(c.m) - sum(p.m), 2) AS measure_drift
         FROM {p} p FULL JOIN {c} c ON {on}"""
 
 
