@@ -1,6 +1,7 @@
 from .export import export_csv, export_schema
 from .ingest import ingest, read_csv_feed
 from .readers import feed_path, read_feed, read_file
+from .records import read_csv_records
 from .schemas import FEEDS, Feed
 
 __all__ = [
@@ -11,6 +12,7 @@ __all__ = [
     "feed_path",
     "ingest",
     "read_csv_feed",
+    "read_csv_records",
     "read_feed",
     "read_file",
 ]

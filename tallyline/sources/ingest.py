@@ -2,34 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Observation, SparkSession
+import logging
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .readers import feed_path
+from .records import CSV_OPTIONS, read_csv_records
 from .schemas import FEEDS
 
+log = logging.getLogger(__name__)
+
 
-def read_csv_feed(spark: SparkSession, path: str, name: str):
-    """CSV rows of one feed: RFC-4180 quoting, declared schema, no inference pass.
+def read_csv_feed(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """CSV rows of one feed with Spark's reader: declared schema, no inference pass.
 
-    Quoted line breaks need ``multiLine``, and such a file is read by a single
-    task. It is therefore switched on only for the feed with free text; deliver
-    that one as many files and it still loads in parallel. All others split at
-    any block boundary.
+    Quoted line breaks need ``multiLine``, which gives each file to a single task; it
+    is switched on only for the feed with free text.
     """
     feed = FEEDS[name]
     return (
         spark.read.schema(feed.schema)
+        .options(**CSV_OPTIONS)
         .option("header", True)
-        .option("quote", '"')
-        .option("escape", '"')
         .option("multiLine", feed.free_text)
-        .option("mode", "FAILFAST")
         .option("enforceSchema", False)
         .csv(path)
     )
 
 
+def _store(df: DataFrame, path: str) -> int:
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return seen.get["rows"]
+
+
 def ingest(
     spark: SparkSession, csv_paths: dict[str, str], output_dir: str = "data/olist"
 ) -> dict[str, int]:
@@ -37,19 +44,20 @@ def ingest(
 
     ``csv_paths`` maps a feed name to a file, directory or glob. Returns the row
     count per feed, observed during the write itself. The first failure ends the
-    run.
+    run. A feed with free text is read by records, split like any other; should its
+    quoting not allow that, it is read again file by file.
     """
     unknown = sorted(set(csv_paths) - set(FEEDS))
     if unknown:
         raise KeyError(f"unknown feeds {unknown}")
     counts = {}
     for name, path in csv_paths.items():
-        seen = Observation(f"ingest_{name}")
-        (
-            read_csv_feed(spark, path, name)
-            .observe(seen, F.count(F.lit(1)).alias("rows"))
-            .write.mode("overwrite")
-            .parquet(feed_path(output_dir, name))
-        )
-        counts[name] = seen.get["rows"]
+        target = feed_path(output_dir, name)
+        if FEEDS[name].free_text:
+            try:
+                counts[name] = _store(read_csv_records(spark, path, FEEDS[name].schema), target)
+                continue
+            except Exception as error:
+                log.warning("%s: reading whole files, as %s", path, str(error).splitlines()[0])
+        counts[name] = _store(read_csv_feed(spark, path, name), target)
     return counts

@@ -1,0 +1,93 @@
+import random
+
+import pytest
+
+from tallyline.sources import FEEDS, ingest, read_feed
+from tallyline.sources.records import csv_records, read_csv_records
+
+FEED = FEEDS["olist_order_reviews"]
+HEADER = ",".join(FEED.columns) + "\n"
+
+
+@pytest.fixture
+def tiny_splits(settings):
+    settings("spark.sql.files.maxPartitionBytes", "2KB")
+    settings("spark.sql.files.openCostInBytes", "1")
+
+
+def quoted(value, rng):
+    if value is None:
+        return ""
+    if any(c in value for c in '",\n\r') or rng.random() < 0.3:
+        return '"' + value.replace('"', '""') + '"'
+    return value
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def write(path, rows, rng, end="\n"):
+    with open(path, "w", newline="") as f:
+        f.write(HEADER.replace("\n", end))
+        for i, row in enumerate(rows):
+            f.write(",".join(quoted(v, rng) for v in row) + end)
+            if i % 40 == 0:
+                f.write(end)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_split_reading_equals_the_rows_written(spark, tmp_path, tiny_splits, seed):
+    rng = random.Random(seed)
+    parts = ["a", ",", '"', '""', "\n", "\n\n", "x y", "é", "'"]
+    want = []
+    for part in range(2):
+        rows = []
+        for i in range(300):
+            text = "".join(rng.choice(parts) for _ in range(rng.choice([0, 2, 10, 120])))
+            if i == 50:
+                text = "one line of a long message\n" * 1000  # spans many splits
+            # text may not end in a carriage return or be empty: empty reads as NULL
+            rows.append((f"r{part}-{i}", f"o{i}", str(i % 5), None, text or None, "2018-01-01", None))
+        write(tmp_path / f"{part}.csv", rows, rng)
+        want += rows
+    got = read_csv_records(spark, str(tmp_path), FEED.schema)
+    assert csv_records(spark, str(tmp_path)).select("file").distinct().count() == 2
+    assert rows_of(got) == sorted(want, key=repr)
+
+
+def test_windows_line_ends(spark, tmp_path, tiny_splits):
+    rng = random.Random(9)
+    rows = [(f"r{i}", "o", "1", None, 'say "hi", then go', "2018-01-01", None) for i in range(200)]
+    write(tmp_path / "a.csv", rows, rng, end="\r\n")
+    assert rows_of(read_csv_records(spark, str(tmp_path), FEED.schema)) == sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        # two records, each with a stray quote: pairing them up would merge the two
+        'r1,o1,1,,5" screen,2018-01-01,\nr2,o2,1,,6" tv,2018-01-01,\n',
+        'r1,o1,1,,"ends" early,2018-01-01,\n',
+    ],
+)
+def test_loose_quotes_are_noticed_and_read_whole(spark, tmp_path, body):
+    (tmp_path / "a.csv").write_text(HEADER + body)
+    with pytest.raises(Exception, match="out of place"):
+        read_csv_records(spark, str(tmp_path), FEED.schema).collect()
+    n = ingest(spark, {"olist_order_reviews": str(tmp_path / "a.csv")}, str(tmp_path / "out"))
+    assert n == {"olist_order_reviews": body.count("\n")}
+    assert read_feed(spark, str(tmp_path / "out"), "olist_order_reviews").count() == body.count("\n")
+
+
+def test_other_header_fails(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b\n1,2\n")
+    with pytest.raises(Exception, match="expected columns"):
+        read_csv_records(spark, str(tmp_path), FEED.schema).collect()
+    with pytest.raises(Exception):
+        ingest(spark, {"olist_order_reviews": str(tmp_path / "a.csv")}, str(tmp_path / "out"))
+
+
+def test_quoted_header_and_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(",".join(f'"{c}"' for c in FEED.columns) + "\n")
+    assert read_csv_records(spark, str(tmp_path), FEED.schema).count() == 0
