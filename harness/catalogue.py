@@ -168,7 +168,7 @@ def table_inventory(spark, sf_dir):
 
 
 def column_profile(spark, sf_dir):
-    return ops.column_profile(warehouse(spark, sf_dir)["stg_olist_orders"], distinct="exact")
+    return ops.column_profile(feeds(spark, sf_dir)["stg_olist_orders"], distinct="exact")
 
 
 def lineage_reconcile(spark, sf_dir):

@@ -434,7 +434,7 @@ def _profile(position: int, column: str) -> str:
     kind = "timestamp_ntz" if column in _STAMPS else "string"
     return f"""
         SELECT {position} AS ordinal, '{column}' AS column_name, '{kind}' AS data_type,
-               true AS nullable, count(*) AS row_count,
+               {column != 'order_status'} AS nullable, count(*) AS row_count,
                count(*) - count({column}) AS null_count,
                100.0::DOUBLE * (count(*) - count({column})) / count(*) AS null_pct,
                count(DISTINCT {column}) AS distinct_count,

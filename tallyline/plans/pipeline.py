@@ -10,7 +10,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import tune
+from ..session import absolute, tune
 from ..sources import FEEDS, feed_path, read_feed
 from . import marts, staging, star
 
@@ -140,7 +140,7 @@ def build(
     tables: dict[str, DataFrame] = {
         name: lazy[name] for name, t in TABLES.items() if t.layer == "staging"
     }
-    out_root = out_root.rstrip("/")
+    raw_root, out_root = absolute(spark, raw_root), absolute(spark, out_root)
 
     def write(name: str) -> tuple[str, DataFrame]:
         table = TABLES[name]

@@ -12,10 +12,20 @@ _MOST_SCAN_TASKS = 100_000
 _ROWS_PER_FILE_BYTE = 8.0
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def absolute(spark: SparkSession, path: str) -> str:
+    """``path`` with scheme and working directory made explicit."""
+    fs, hadoop_path = _file_system(spark, path)
+    return fs.makeQualified(hadoop_path).toString()
+
+
 def input_bytes(spark: SparkSession, path: str) -> int:
     """Size of everything under ``path``, from the file system's own summary."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, hadoop_path = _file_system(spark, path)
     return fs.getContentSummary(hadoop_path).getLength() if fs.exists(hadoop_path) else 0
 
 

@@ -110,3 +110,12 @@ def test_command_line(spark, feeds, tmp_path, capsys):
     assert main(["build", "--raw-dir", raw, "--warehouse-dir", out]) == 0
     assert main(["export", "--warehouse-dir", out, "--output-dir", f"{tmp_path}/out"]) == 0
     assert "mart_payment_profiles: ok 3" in capsys.readouterr().out
+
+
+def test_relative_paths_reach_the_catalog(spark, built, tmp_path):
+    import os
+
+    root, _ = built
+    relative = os.path.relpath(f"{tmp_path}/out")
+    build(spark, os.path.relpath(f"{root}/feeds"), relative, databases={"marts": "relative_marts"})
+    assert spark.table("relative_marts.mart_seller_sales").count() == 2

@@ -49,9 +49,9 @@ def small_thresholds(settings):
 
 
 def final_joins(df):
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    final = plan[plan.index("Final Plan") : plan.index("Initial Plan")]
-    return [line.strip(" :+-*") for line in final.splitlines() if "SortMergeJoin" in line]
+    """The joins of the plan as it was finally run."""
+    plan = df._jdf.queryExecution().executedPlan().executedPlan().toString()
+    return [line.strip(" :+-*") for line in plan.splitlines() if "SortMergeJoin" in line]
 
 
 # Joins that carry the hot key of the items: each must have been split.
