@@ -179,52 +179,52 @@ def lineage_reconcile(spark, sf_dir):
     )
 
 
-def duplicates(spark, sf_dir):
+def duplicates(lazy: Lazy) -> DataFrame:
     return ops.duplicates(
-        feeds(spark, sf_dir)["stg_olist_order_items"], ["order_id", "order_item_id"]
+        lazy["stg_olist_order_items"], ["order_id", "order_item_id"]
     )
 
 
-def null_drift(spark, sf_dir):
+def null_drift(lazy: Lazy) -> DataFrame:
     return ops.null_drift(
-        feeds(spark, sf_dir)["stg_olist_order_reviews"],
+        lazy["stg_olist_order_reviews"],
         ["review_score", "review_answer_timestamp"],
         "review_creation_date",
         threshold=0.02,
     )
 
 
+def _over_feeds(check: Callable[[Lazy], DataFrame]) -> Query:
+    return lambda spark, sf_dir: check(feeds(spark, sf_dir))
+
+
 def _delivered(lazy: Lazy) -> DataFrame:
     return lazy["stg_olist_orders"].filter(F.col("order_status") == "delivered")
 
 
-def orphans(spark, sf_dir):
-    lazy = feeds(spark, sf_dir)
+def orphans(lazy: Lazy) -> DataFrame:
     return ops.orphans(lazy["stg_olist_order_items"], _delivered(lazy), ["order_id"])
 
 
-def orphan_keys(spark, sf_dir):
-    lazy = feeds(spark, sf_dir)
+def orphan_keys(lazy: Lazy) -> DataFrame:
     return ops.orphan_keys(lazy["stg_olist_order_reviews"], _delivered(lazy), ["order_id"])
 
 
-def join_cardinality(spark, sf_dir):
-    lazy = feeds(spark, sf_dir)
+def join_cardinality(lazy: Lazy) -> DataFrame:
     return ops.join_cardinality(
         lazy["stg_olist_order_items"], lazy["stg_olist_order_reviews"], ["order_id"]
     )
 
 
-def retention(spark, sf_dir):
-    lazy = feeds(spark, sf_dir)
+def retention(lazy: Lazy) -> DataFrame:
     return ops.retention(
         lazy["stg_olist_orders"], lazy["stg_olist_order_reviews"], ["order_id"], "order_status"
     )
 
 
-def calendar_gaps(spark, sf_dir):
+def calendar_gaps(lazy: Lazy) -> DataFrame:
     return ops.calendar_gaps(
-        feeds(spark, sf_dir)["stg_olist_orders"], "order_purchase_timestamp", "order_status"
+        lazy["stg_olist_orders"], "order_purchase_timestamp", "order_status"
     )
 
 
@@ -233,8 +233,7 @@ def volume_anomalies(spark, sf_dir):
     return ops.volume_anomalies(table(spark, sf_dir, "events"), "ts", "event_type", z=2.0)
 
 
-def reconcile_measure(spark, sf_dir):
-    lazy = feeds(spark, sf_dir)
+def reconcile_measure(lazy: Lazy) -> DataFrame:
     return ops.reconcile_measure(
         lazy["fct_order_items"],
         lazy["mart_seller_sales"],
@@ -247,9 +246,9 @@ def reconcile_measure(spark, sf_dir):
     )
 
 
-def cast_loss(spark, sf_dir):
+def cast_loss(lazy: Lazy) -> DataFrame:
     return ops.cast_loss(
-        feeds(spark, sf_dir).feed("olist_order_reviews"),
+        lazy.feed("olist_order_reviews"),
         {
             "review_id": "int",
             "review_score": "int",
@@ -260,9 +259,9 @@ def cast_loss(spark, sf_dir):
     )
 
 
-def domain_violations(spark, sf_dir):
+def domain_violations(lazy: Lazy) -> DataFrame:
     return ops.domain_violations(
-        feeds(spark, sf_dir)["stg_olist_order_reviews"],
+        lazy["stg_olist_order_reviews"],
         "review_score",
         minimum=2,
         maximum=4,
@@ -278,6 +277,7 @@ def kpi_change(spark, sf_dir):
 
 
 def quality_report(spark, sf_dir):
+    lazy = feeds(spark, sf_dir)
     n_rows = F.count(F.lit(1))
 
     def flagged(column):
@@ -286,7 +286,7 @@ def quality_report(spark, sf_dir):
     return ops.quality_report(
         [
             ops.outcome(
-                duplicates(spark, sf_dir),
+                duplicates(lazy),
                 "duplicates",
                 "stg_olist_order_items",
                 "order_id,order_item_id",
@@ -294,7 +294,7 @@ def quality_report(spark, sf_dir):
                 0,
             ),
             ops.outcome(
-                orphans(spark, sf_dir),
+                orphans(lazy),
                 "orphans",
                 "stg_olist_order_items",
                 "order_id",
@@ -302,7 +302,7 @@ def quality_report(spark, sf_dir):
                 0.5,
             ),
             ops.outcome(
-                join_cardinality(spark, sf_dir),
+                join_cardinality(lazy),
                 "many_to_many",
                 "stg_olist_order_items",
                 "order_id",
@@ -310,7 +310,7 @@ def quality_report(spark, sf_dir):
                 0,
             ),
             ops.outcome(
-                cast_loss(spark, sf_dir).filter(F.col("column") == "review_score"),
+                cast_loss(lazy).filter(F.col("column") == "review_score"),
                 "cast_loss",
                 "olist_order_reviews",
                 "review_score",
@@ -318,7 +318,7 @@ def quality_report(spark, sf_dir):
                 0.05,
             ),
             ops.outcome(
-                null_drift(spark, sf_dir),
+                null_drift(lazy),
                 "null_drift",
                 "stg_olist_order_reviews",
                 "review_score",
@@ -334,7 +334,7 @@ def quality_report(spark, sf_dir):
                 5,
             ),
             ops.outcome(
-                calendar_gaps(spark, sf_dir),
+                calendar_gaps(lazy),
                 "calendar_gaps",
                 "stg_olist_orders",
                 "order_purchase_timestamp",
@@ -342,7 +342,7 @@ def quality_report(spark, sf_dir):
                 0,
             ),
             ops.outcome(
-                retention(spark, sf_dir),
+                retention(lazy),
                 "retention",
                 "stg_olist_orders",
                 "order_id",
@@ -350,7 +350,7 @@ def quality_report(spark, sf_dir):
                 50,
             ),
             ops.outcome(
-                reconcile_measure(spark, sf_dir).filter(F.col("status") != "ok"),
+                reconcile_measure(lazy).filter(F.col("status") != "ok"),
                 "reconcile_measure",
                 "mart_seller_sales",
                 "total_revenue_usd,total_freight_charged_usd",
@@ -358,7 +358,7 @@ def quality_report(spark, sf_dir):
                 0,
             ),
             ops.outcome(
-                domain_violations(spark, sf_dir),
+                domain_violations(lazy),
                 "domain_violations",
                 "stg_olist_order_reviews",
                 "review_score",
@@ -422,17 +422,17 @@ QUERIES: dict[str, Query] = {
     "table_inventory": table_inventory,
     "column_profile": column_profile,
     "lineage_reconcile": lineage_reconcile,
-    "duplicates": duplicates,
-    "null_drift": null_drift,
-    "orphans": orphans,
-    "orphan_keys": orphan_keys,
-    "join_cardinality": join_cardinality,
-    "retention": retention,
-    "calendar_gaps": calendar_gaps,
+    "duplicates": _over_feeds(duplicates),
+    "null_drift": _over_feeds(null_drift),
+    "orphans": _over_feeds(orphans),
+    "orphan_keys": _over_feeds(orphan_keys),
+    "join_cardinality": _over_feeds(join_cardinality),
+    "retention": _over_feeds(retention),
+    "calendar_gaps": _over_feeds(calendar_gaps),
     "volume_anomalies": volume_anomalies,
-    "reconcile_measure": reconcile_measure,
-    "cast_loss": cast_loss,
-    "domain_violations": domain_violations,
+    "reconcile_measure": _over_feeds(reconcile_measure),
+    "cast_loss": _over_feeds(cast_loss),
+    "domain_violations": _over_feeds(domain_violations),
     "kpi_change": kpi_change,
     "quality_report": quality_report,
     "csv_ingest_roundtrip": csv_ingest_roundtrip,
