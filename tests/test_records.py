@@ -91,3 +91,23 @@ def test_other_header_fails(spark, tmp_path):
 def test_quoted_header_and_no_rows(spark, tmp_path):
     (tmp_path / "a.csv").write_text(",".join(f'"{c}"' for c in FEED.columns) + "\n")
     assert read_csv_records(spark, str(tmp_path), FEED.schema).count() == 0
+
+
+def test_ingest_of_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER)
+    (tmp_path / "s.csv").write_text(",".join(FEEDS["olist_sellers"].columns) + "\n")
+    paths = {
+        "olist_order_reviews": str(tmp_path / "a.csv"),
+        "olist_sellers": str(tmp_path / "s.csv"),
+    }
+    out = str(tmp_path / "out")
+    assert ingest(spark, paths, out) == {"olist_order_reviews": 0, "olist_sellers": 0}
+    assert read_feed(spark, out, "olist_order_reviews").count() == 0
+
+
+def test_ingest_of_an_empty_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("")
+    out = str(tmp_path / "out")
+    assert ingest(spark, {"olist_order_reviews": str(tmp_path / "a.csv")}, out) == {
+        "olist_order_reviews": 0
+    }

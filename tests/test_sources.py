@@ -98,3 +98,13 @@ def test_every_feed_has_a_staging_table():
     assert {s.feed for s in STAGING.values()} == set(FEEDS)
     for s in STAGING.values():
         assert list(s.columns) == FEEDS[s.feed].columns
+
+
+def test_export_of_empty_tables(spark, tmp_path):
+    empty = {
+        "constant": spark.sql("SELECT 1 AS a WHERE false"),
+        "filtered": spark.range(5).filter("id > 9"),
+        "joined": spark.range(5).join(spark.range(9, 12), "id").groupBy("id").count(),
+    }
+    got = {r.table: (r.rows, r.status) for r in export_csv(spark, empty, str(tmp_path)).collect()}
+    assert got == {name: (0, "ok") for name in empty}
