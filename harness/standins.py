@@ -40,7 +40,14 @@ def feeds(spark: SparkSession, sf_dir: str) -> Lazy:
 
 
 def _orders(t) -> DataFrame:
-    shipped = t("lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
+    # Grouped by a struct, so that Spark shuffles the result again for the join and can
+    # split an order key that repeats.
+    shipped = (
+        t("lineitem")
+        .groupBy(F.struct("l_orderkey").alias("key"))
+        .agg(F.max("l_shipdate").alias("shipped"))
+        .select("key.l_orderkey", "shipped")
+    )
     delivered = F.when(F.col("o_orderstatus") == "F", F.col("shipped"))
     return (
         t("orders")
