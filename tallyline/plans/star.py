@@ -159,24 +159,29 @@ def fct_orders(
 
     Items and payments are stacked and summed per order in one aggregation, so
     neither can multiply the other, a hot order shrinks in the map tasks, and the
-    orders need a single join.
+    orders need a single join. They match by key and by key as a struct: the totals
+    are clustered by the struct alone, so Spark shuffles both sides and can split a
+    hot key, yet still drops the join for a mart that uses no totals.
     """
     lines = stg_olist_order_items.select(
         "order_id", "order_item_id", "price", "freight_value"
     ).unionByName(
         stg_olist_order_payments.select("order_id", "payment_value"), allowMissingColumns=True
     )
-    totals = lines.groupBy("order_id").agg(
+    totals = lines.groupBy(F.struct("order_id").alias("key")).agg(
         F.count("order_item_id").alias("total_items"),
         F.sum("price").alias("total_items_value_usd"),
         F.sum("freight_value").alias("total_freight_value_usd"),
         F.sum("payment_value").alias("total_payment_value_usd"),
     )
-    return stg_olist_orders.join(unclustered(totals, "order_id"), "order_id", "left").select(
+    same_order = (F.col("order_id") == F.col("key.order_id")) & (
+        F.struct("order_id") == F.col("key")
+    )
+    return stg_olist_orders.join(totals, same_order, "left").select(
         "order_id",
         surrogate_key("customer_id").alias("customer_sk"),
         "order_status",
-        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals.columns if c != "order_id"],
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in totals.columns if c != "key"],
         *ORDER_TIMES,
         days_between("order_purchase_timestamp", "order_delivered_customer_date").alias(
             "actual_delivery_duration_days"
