@@ -48,5 +48,26 @@ FROM queue q LEFT JOIN kept USING (doc_id, k, size)
 """
 
 
+_VECTORS = r"""
+WITH RECURSIVE rows_ AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS v,
+         label IS NOT NULL AND coalesce(
+           len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+           AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS usable
+  FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b
+  FROM rows_ a JOIN rows_ b ON a.label = b.label AND a.vec_id <> b.vec_id
+   AND a.usable AND b.usable AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT a, least(a, min(b)) AS c FROM reach GROUP BY a),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id,
+       coalesce(c, vec_id) = vec_id AS kept
+FROM rows_ LEFT JOIN parts ON parts.a = vec_id LEFT JOIN degrees ON degrees.a = vec_id
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op4_mixing": _MIX}
+    return {"op4_mixing": _MIX, "op9_embedding_dedup": _VECTORS}

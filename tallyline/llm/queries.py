@@ -11,6 +11,7 @@ from tallyline.llm.byte_bpe import bpe_round_trip
 from tallyline.llm.common import table
 from tallyline.llm.mixing import mix_plan
 from tallyline.llm.token_counts import token_counts
+from tallyline.llm.vector_dedup import vector_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +30,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_byte_bpe": op2_byte_bpe,
         "op4_mixing": op4_mixing,
+        "op9_embedding_dedup": op9_embedding_dedup,
     }
