@@ -78,4 +78,5 @@ def map_texts(
                 arrays += [pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:])]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    texts = F.col(text_col).cast("string").alias("__text")
+    return df.select(F.col(id_col).alias("__id"), texts).mapInArrow(run, schema)

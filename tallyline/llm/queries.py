@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyline.llm.byte_bpe import bpe_round_trip
+from tallyline.llm.chat_windows import format_chat, read_back
 from tallyline.llm.common import table
+from tallyline.llm.html_consensus import extract_text
 from tallyline.llm.mixing import mix_plan
 from tallyline.llm.token_counts import token_counts
 from tallyline.llm.vector_dedup import vector_dedup
@@ -30,6 +32,19 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's conversations and one whose texts hold control strings."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    windows = format_chat(turns.unionByName(planted), public_tokenizers.path("byte_bpe_50k.json"))
+    return read_back(windows)
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -39,5 +54,7 @@ def registered() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op2_byte_bpe": op2_byte_bpe,
         "op4_mixing": op4_mixing,
+        "op5_html_text": op5_html_text,
+        "op6_chat_windows": op6_chat_windows,
         "op9_embedding_dedup": op9_embedding_dedup,
     }
