@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyline.llm.byte_bpe import bpe_round_trip
 from tallyline.llm.chat_windows import format_chat, read_back
 from tallyline.llm.common import table
+from tallyline.llm.fingerprints import edited_fingerprints
 from tallyline.llm.html_consensus import extract_text
+from tallyline.llm.jaccard_join import jaccard_components
 from tallyline.llm.mixing import mix_plan
 from tallyline.llm.token_counts import token_counts
 from tallyline.llm.vector_dedup import vector_dedup
@@ -45,6 +47,14 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(windows)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -56,5 +66,7 @@ def registered() -> dict[str, Query]:
         "op4_mixing": op4_mixing,
         "op5_html_text": op5_html_text,
         "op6_chat_windows": op6_chat_windows,
+        "op7_jaccard_join": op7_jaccard_join,
+        "op8_fingerprints": op8_fingerprints,
         "op9_embedding_dedup": op9_embedding_dedup,
     }
