@@ -14,9 +14,14 @@ from tallyline.llm.fingerprints import edited_fingerprints
 from tallyline.llm.html_consensus import extract_text
 from tallyline.llm.jaccard_join import jaccard_components
 from tallyline.llm.mixing import mix_plan
+from tallyline.llm.pii import replace_pii
 from tallyline.llm.token_counts import token_counts
+from tallyline.llm.toxicity import toxicity
 from tallyline.llm.vector_dedup import vector_dedup
 
+#: The key of the surrogates. Whoever holds it can undo them: a deployment passes its own.
+PII_KEY = b"tallyline example key"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -30,6 +35,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, PII_KEY, count_col="n_replaced")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(table(spark, sf_dir, "documents"))
 
@@ -59,14 +69,20 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_byte_bpe": op2_byte_bpe,
+        "op3_pii": op3_pii,
         "op4_mixing": op4_mixing,
         "op5_html_text": op5_html_text,
         "op6_chat_windows": op6_chat_windows,
         "op7_jaccard_join": op7_jaccard_join,
         "op8_fingerprints": op8_fingerprints,
         "op9_embedding_dedup": op9_embedding_dedup,
+        "op10_toxicity": op10_toxicity,
     }
