@@ -4,13 +4,14 @@ A grouped prefix join. Documents with equal sets are one member. Shingles are pu
 one order for all documents, frequent ones last; two similar sets must then share a
 shingle among the first *size - ceil(t * size) + 1* of each, their prefixes. Members
 with equal prefix and size form a group. Groups meet in the lists of their prefix
-shingles; pairs of groups are filtered by size and by how many shingles can still be
-common behind the place where they meet; what remains is expanded to members, whose sets
-are compared exactly.
+shingles; pairs of groups are filtered by size, by how many shingles can still be common
+behind the place where they first meet, and by how many their prefixes have in common;
+what remains is expanded to members, whose sets are compared exactly.
 
 Only links between different components matter for the result, so the lists are read
-twice. First, each long list compares neighbours in a few random orders, which connects
-most of what is alike in it with a number of pairs in proportion to its length; then all
+in three rounds. In long lists, first neighbours in a few random orders are compared, then
+everybody with the members that got most links, what the others are copies of: that
+connects most of what is alike with a number of pairs in proportion to the list. Then all
 lists compare all pairs that aren't connected yet. Lists of very frequent shingles are cut
 into blocks that meet pairwise, so no task holds a list however long.
 
@@ -44,8 +45,14 @@ FREQUENT_COUNT = 8
 #: Lists longer than this connect neighbours first, in so many random orders.
 LONG_LIST = 32
 ORDERS = 8
+#: Hubs of a long list, each the best of the groups with one remainder of their number.
+HUBS = 8
 #: Groups of a list that meet in one task; longer lists are cut into blocks.
 BLOCK = 4_096
+#: Bytes of a shingle's hash that the comparison of two sets uses. Two sets of 1,000 have a
+#: chance of one in a million to take some two shingles for equal; it is the only place where
+#: less than 64 bits decide.
+COMPARED_BYTES = 5
 #: Members whose texts are picked by a broadcast, at most; beyond, by a shuffle.
 MAX_BROADCAST_MEMBERS = 1_000_000
 
@@ -89,6 +96,23 @@ def _each_text(
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
+def _short(shingles: np.ndarray) -> bytes:
+    """Five bytes of each hash: enough to tell apart the shingles of two documents."""
+    return shingles.view(np.uint8).reshape(-1, 8)[:, :COMPARED_BYTES].tobytes()
+
+
+def _long(data) -> np.ndarray:
+    """Sorted numbers from ``_short``."""
+    out = np.zeros((len(data) // COMPARED_BYTES, 8), np.uint8)
+    out[:, :COMPARED_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, COMPARED_BYTES)
+    return np.sort(out.view(np.int64).ravel())
+
+
+def _whole(data) -> np.ndarray:
+    """The shingles of a prefix, sorted."""
+    return np.sort(np.frombuffer(data, np.int64))
+
+
 def _digest(members: np.ndarray) -> bytes:
     return md5(members.tobytes()).digest()
 
@@ -175,13 +199,13 @@ def _members(docs: DataFrame, frequent, rule: Similarity) -> DataFrame:
 
     def prefix(shingles: np.ndarray) -> bytes:
         counts = _looked_up(shingles, *frequent.value)
-        return shingles[np.argsort(counts, kind="stable")][: rule.prefix(len(shingles))].tobytes()
+        return shingles[np.argsort(counts, kind="stable")][: rule.prefix(len(shingles))]
 
     def compute(parts):
         for ids, sets in parts:
             keep = [i for i, s in enumerate(sets) if len(s)]
             kept = [sets[i] for i in keep]
-            yield [ids.take(pa.array(keep, pa.int64())), [len(s) for s in kept], [_digest(s) for s in kept], [prefix(s) for s in kept]]
+            yield [ids.take(pa.array(keep, pa.int64())), [len(s) for s in kept], [_digest(s) for s in kept], [prefix(s).tobytes() for s in kept]]
 
     found = _each_text(docs, schema, compute)
     return found.groupBy("n", "sig").agg(F.min("id").alias("rep"), F.max("prefix").alias("prefix"))
@@ -279,111 +303,166 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
 _PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-def _as_pairs(rows: DataFrame, order: list[str], make) -> DataFrame:
-    """Distinct pairs of groups that ``make`` finds in whole units."""
+def _in_units(rows: DataFrame, order: list[str], make, schema: StructType) -> DataFrame:
+    """What ``make`` finds in whole units, many of them at a time."""
     names = rows.columns
 
     def run(batches):
         for unit in _runs(batches, names):
-            a, b = make(unit)
-            low, high = np.minimum(a, b), np.maximum(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(unit)], names=schema.names)
 
     ordered = rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, *order)
-    return ordered.mapInArrow(run, _PAIR).distinct()
+    return ordered.mapInArrow(run, schema)
 
 
 def _near_in_size(rule: Similarity, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return rule.den * np.minimum(n, m) >= rule.num * np.maximum(n, m)
 
 
-def _neighbour_pairs(lists: DataFrame, rule: Similarity) -> DataFrame:
-    """Neighbours in long lists, ordered by one of a few hashes of the group."""
+def _long_lists(lists: DataFrame) -> DataFrame:
     long = lists.groupBy(*_UNIT).count().where(F.col("count") > LONG_LIST).drop("count")
+    return lists.join(long, _UNIT)
+
+
+def _neighbour_pairs(long: DataFrame, rule: Similarity) -> DataFrame:
+    """Neighbours in long lists, ordered by one of a few hashes of the group."""
     order = F.xxhash64("gid", F.pmod("shingle", F.lit(ORDERS)))
 
     def make(unit):
         n = len(unit["gid"])
         ok = _same_unit(unit, slice(0, n - 1), slice(1, n))
         ok &= _near_in_size(rule, unit["n"][:-1].astype(np.int64), unit["n"][1:].astype(np.int64))
-        return unit["gid"][:-1][ok], unit["gid"][1:][ok]
+        a, b = unit["gid"][:-1][ok], unit["gid"][1:][ok]
+        return np.minimum(a, b), np.maximum(a, b)
 
-    return _as_pairs(lists.join(long, _UNIT).withColumn("order", order), ["order"], make)
+    ordered = long.withColumn("order", order)
+    return _in_units(ordered, ["order"], make, _PAIR).distinct()
+
+
+def _hub_pairs(long: DataFrame, links: DataFrame, ends: DataFrame, rule: Similarity) -> DataFrame:
+    """Each group of a long list with those of the list's hubs that it isn't connected to.
+
+    Hubs are groups with most links so far: what many are copies of.
+    """
+    ends_of = links.select(F.col("a").alias("gid")).unionAll(links.select("b"))
+    degrees = ends_of.groupBy("gid").agg(F.count("*").alias("degree"))
+    placed = long.select(*_UNIT, "gid", "n").join(ends, "gid").join(degrees, "gid", "left")
+    rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "gid", "n", F.col("low_part").alias("part"))
+    share = F.pmod(F.xxhash64("gid"), F.lit(HUBS)).alias("share")
+    hubs = placed.groupBy(*_UNIT, share).agg(F.max(rank).alias("hub")).drop("share")
+    met = placed.join(hubs, _UNIT).where("low_part != hub.part or high_part != hub.part")
+    near = rule.den * F.least("n", "hub.n") >= rule.num * F.greatest("n", "hub.n")
+    met = met.where((F.col("hub.degree") > 0) & near & (F.col("gid") != F.col("hub.gid")))
+    return met.select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b")).distinct()
 
 
 def _unconnected_pairs(lists: DataFrame, rule: Similarity) -> DataFrame:
-    """All pairs of a unit that pass the filters and aren't in one component already.
+    """All pairs of groups that pass the filters and aren't in one component already.
 
-    ``low_part`` and ``high_part`` are the least and greatest component of a group's members.
+    ``low_part`` and ``high_part`` are the least and greatest component of a group's
+    members. At the first common shingle of a similar pair, what follows must suffice.
     """
 
     def make(unit):
-        found_a, found_b = [], []
+        found = [np.zeros((2, 0), np.int64)]
         n, pos, gid = (unit[c].astype(np.int64) for c in ("n", "pos", "gid"))
         at = np.arange(len(gid))
         step = 1
         while True:
             at = at[at + step < len(gid)]
-            a, b = at, at + step
-            same = _same_unit(unit, a, b)
-            a, b = a[same], b[same]
-            if not len(a):
+            at = at[_same_unit(unit, at, at + step)]
+            if not len(at):
                 break
-            at = a
+            a, b = at, at + step
             ok = (unit["low"][a] == unit["high"][a]) | (unit["block"][a] != unit["block"][b])
             ok &= _near_in_size(rule, n[a], n[b]) & (gid[a] != gid[b])
-            # at their first common shingle, none before it is common
-            ok &= 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= rule.common(n[a] + n[b])
-            least = np.minimum(unit["low_part"][a], unit["low_part"][b])
-            ok &= least != np.maximum(unit["high_part"][a], unit["high_part"][b])
-            found_a.append(gid[a[ok]])
-            found_b.append(gid[b[ok]])
+            ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.common(n[a] + n[b])
+            part = np.minimum(unit["low_part"][a], unit["low_part"][b])
+            ok &= part != np.maximum(unit["high_part"][a], unit["high_part"][b])
+            a, b = a[ok], b[ok]
+            found.append(np.stack([np.minimum(gid[a], gid[b]), np.maximum(gid[a], gid[b])]))
             step += 1
-        none = np.zeros(0, np.int64)
-        pairs = np.stack([np.concatenate([none, *found_a]), np.concatenate([none, *found_b])])
-        pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-        return pairs[0], pairs[1]
+        low, high = np.unique(np.concatenate(found, axis=1), axis=1)
+        return low, high
 
-    return _as_pairs(lists, [], make)
-
-
-def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
-    """Those of the pairs (a, b) of members whose sets are similar."""
-    pairs = written(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    wanted = written(members.join(wanted, "rep", "left_semi").select("rep", "sig"), "compared")
-    few = wanted.count() <= MAX_BROADCAST_MEMBERS
-    ids = wanted.select(F.col("rep").alias("id")).distinct()
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    schema = StructType(
-        [StructField("rep", LongType()), StructField("sig", BinaryType()), StructField("members", BinaryType())]
-    )
+    return _in_units(lists, [], make, _PAIR).distinct()
 
-    def compute(parts):
-        for ids, sets in parts:
-            yield [ids, [_digest(s) for s in sets], [s.tobytes() for s in sets]]
 
-    sets = _each_text(texts, schema, compute).join(F.broadcast(wanted) if few else wanted, ["rep", "sig"], "left_semi")
-    sets = written(sets.select("rep", "members"), "sets")
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("x")), "a")
-    both = both.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("y")), "b")
+def _compared(pairs: DataFrame, sets: DataFrame, fits, read=_long) -> DataFrame:
+    """The pairs whose two sets, of ``sets`` (rep, n, members), pass ``fits``."""
+    both = pairs
+    for side, value, size in (("a", "x", "n"), ("b", "y", "m")):
+        own = sets.select(F.col("rep").alias(side), F.col("members").alias(value), F.col("n").alias(size))
+        both = both.join(own, side)
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 ok = []
-                for x, y in zip(batch.column("x"), batch.column("y")):
-                    p, q = np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)
+                sizes = (batch.column(c).to_pylist() for c in ("n", "m"))
+                for x, y, n, m in zip(batch.column("x"), batch.column("y"), *sizes):
+                    p, q = read(x.as_buffer()), read(y.as_buffer())
                     if len(p) > len(q):
-                        p, q = q, p
+                        p, q, n, m = q, p, m, n
                     spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                    common = int((q[spot] == p).sum())
-                    ok.append(rule.den * common >= rule.num * (len(p) + len(q) - common))
+                    ok.append(fits(int((q[spot] == p).sum()), n, m))
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    found = both.select("a", "b", "x", "y").mapInArrow(run, _PAIR)
-    return written(found.distinct(), "similar")
+    return both.select("a", "b", "x", "y", "n", "m").mapInArrow(run, _PAIR)
+
+
+def _only(rows: DataFrame, keys: DataFrame, on: list[str], few: bool) -> DataFrame:
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
+def _ends(pairs: DataFrame) -> tuple[DataFrame, bool]:
+    """The members in some pair, and whether they are few enough to be broadcast."""
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    ends = written(ends, "compared")
+    return ends, ends.count() <= MAX_BROADCAST_MEMBERS
+
+
+def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
+    """Those of the pairs (a, b) of members whose sets are similar.
+
+    The prefixes, a fifth of the sets, are compared first. Of two sets, the one whose
+    prefix ends first in the order of all shingles has everything common up to there in
+    both prefixes; what these have in common and the rest of that set must suffice.
+    """
+
+    def may_fit(met: int, n: int, m: int) -> bool:
+        rest = max(n - rule.prefix(n), m - rule.prefix(m))
+        return met + rest >= -(-rule.num * (n + m) // (rule.num + rule.den))
+
+    def fits(common: int, n: int, m: int) -> bool:
+        return rule.den * common >= rule.num * (n + m - common)
+
+    pairs = written(pairs, "candidates")
+    ends, few = _ends(pairs)
+    prefixes = _only(members.select("rep", "n", F.col("prefix").alias("members")), ends, ["rep"], few)
+    pairs = written(_compared(pairs, prefixes, may_fit, _whole).distinct(), "likely")
+
+    ends, few = _ends(pairs)
+    wanted = _only(members, ends, ["rep"], few).select(F.col("rep").alias("id"), "sig")
+    wanted = written(wanted, "wanted")
+    schema = StructType(
+        [
+            StructField("id", LongType()),
+            StructField("sig", BinaryType()),
+            StructField("n", LongType()),
+            StructField("members", BinaryType()),
+        ]
+    )
+
+    def compute(parts):
+        for ids, sets in parts:
+            yield [ids, [_digest(s) for s in sets], [len(s) for s in sets], [_short(s) for s in sets]]
+
+    texts = _only(docs, wanted.select("id").distinct(), ["id"], few)
+    sets = _only(_each_text(texts, schema, compute), wanted, ["id", "sig"], few)
+    sets = written(sets.select(F.col("id").alias("rep"), "n", "members"), "sets")
+    return written(_compared(pairs, sets, fits).distinct(), "similar")
 
 
 def jaccard_components(
@@ -408,23 +487,33 @@ def jaccard_components(
     named = docs.where("id is not null")
     members = _members(named, frequent, rule).withColumn("same", F.md5("prefix"))
     members = written(members, "members")
-    groups = members.groupBy("n", "same").agg(F.min("rep").alias("gid"), F.max("prefix").alias("prefix"))
-    groups = written(groups, "groups")
-    grouped = members.select("rep", "n", "same", "sig").join(groups.select("n", "same", "gid"), ["n", "same"])
-    grouped = written(grouped.select("rep", "gid", "sig"), "grouped")
+    groups = members.groupBy("n", "same").agg(F.min("rep").alias("gid"))
+    grouped = members.select("rep", "n", "same").join(groups, ["n", "same"]).select("rep", "gid")
+    grouped = written(grouped, "grouped")
+    others = grouped.where("rep != gid").select("rep")  # seldom any: their group's first stands for them
+    if others.count() <= MAX_BROADCAST_MEMBERS:
+        others = F.broadcast(others)
+    groups = members.select(F.col("rep").alias("gid"), "rep", "n", "prefix").join(others, "rep", "left_anti")
     lists = written(_lists(_postings(groups, frequent)), "lists")
 
-    # neighbours in long lists, and each member with its group's first
-    first = _neighbour_pairs(lists, rule).union(grouped.where("rep != gid").select("gid", "rep"))
+    def connected(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Component of each member, and the least and greatest of each group."""
+        parts = connected_components(links)
+        known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
+            "rep", "gid", F.coalesce("component", "rep").alias("part")
+        )
+        known = written(known, "known")
+        return known, known.groupBy("gid").agg(F.min("part").alias("low_part"), F.max("part").alias("high_part"))
+
+    # neighbours in long lists, and each member with its group's first; then hubs
+    long = written(_long_lists(lists), "long-lists")
+    first = _neighbour_pairs(long, rule).union(grouped.where("rep != gid").select("gid", "rep"))
     links = _verified(named, members, first, rule)
-    parts = written(connected_components(links), "parts")
+    _, ends = connected(links)
+    links = links.union(_verified(named, members, _hub_pairs(long, links, ends, rule), rule))
+    known, ends = connected(links)
 
     # all pairs that aren't connected by these
-    known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
-        "rep", "gid", F.coalesce("component", "rep").alias("part")
-    )
-    known = written(known, "known")
-    ends = known.groupBy("gid").agg(F.min("part").alias("low_part"), F.max("part").alias("high_part"))
     pairs = _unconnected_pairs(lists.join(ends, "gid"), rule)
     mixed = ends.where("low_part != high_part").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
     pairs = pairs.union(mixed)
