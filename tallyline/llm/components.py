@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tallyline.llm.common import written
 
 
+#: Links in a written file, about.
+LINKS_PER_FILE = 200_000
+
+
 def _apart(least: DataFrame) -> DataFrame:
     """The same minima with a computed key, which hides that they are clustered by it.
 
@@ -34,14 +38,15 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     )
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for links (a, b): the smallest node that each node reaches.
 
     Nodes can be of any type with an order. Roots of components aren't listed; a node
     that isn't listed is its own component. Links may repeat, be in either direction or
     lead back to their node; null ends are ignored. Every round is written to the shared
     folder and takes joins and minima over the links only; the rounds grow with the
-    logarithm of the nodes.
+    logarithm of the nodes. With ``rounds``, that many at most: nodes of one result are
+    then connected, but a component may have several.
     """
     pairs = links.where("a is not null and b is not null and a != b").select(
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
@@ -53,10 +58,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(marks)).first())
 
     before = state(pairs)
-    while before[0]:
-        pairs = written(_small_star(_large_star(pairs).distinct()).distinct(), "links")
+    while before[0] and rounds != 0:
+        # few rows in few files, for what reads them next
+        few = max(1, before[0] // LINKS_PER_FILE)
+        pairs = written(_small_star(_large_star(pairs)).distinct().coalesce(few), "links")
         now = state(pairs)
         if now == before:
             break
         before = now
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        rounds = rounds - 1 if rounds else rounds
+    return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

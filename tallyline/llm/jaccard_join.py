@@ -45,6 +45,8 @@ FREQUENT_COUNT = 8
 #: Lists longer than this connect neighbours first, in so many random orders.
 LONG_LIST = 32
 ORDERS = 8
+#: Rounds of contraction in between: parts of components are enough there.
+ROUNDS_BETWEEN = 3
 #: Hubs of a long list, each the best of the groups with one remainder of their number.
 HUBS = 8
 #: Groups of a list that meet in one task; longer lists are cut into blocks.
@@ -339,20 +341,19 @@ def _neighbour_pairs(long: DataFrame, rule: Similarity) -> DataFrame:
     return _in_units(ordered, ["order"], make, _PAIR).distinct()
 
 
-def _hub_pairs(long: DataFrame, links: DataFrame, ends: DataFrame, rule: Similarity) -> DataFrame:
-    """Each group of a long list with those of the list's hubs that it isn't connected to.
+def _hub_pairs(long: DataFrame, links: DataFrame, rule: Similarity) -> DataFrame:
+    """Each group of a long list with the list's hubs.
 
     Hubs are groups with most links so far: what many are copies of.
     """
-    ends_of = links.select(F.col("a").alias("gid")).unionAll(links.select("b"))
-    degrees = ends_of.groupBy("gid").agg(F.count("*").alias("degree"))
-    placed = long.select(*_UNIT, "gid", "n").join(ends, "gid").join(degrees, "gid", "left")
-    rank = F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), "gid", "n", F.col("low_part").alias("part"))
+    ends = links.select(F.col("a").alias("gid")).unionAll(links.select("b"))
+    degrees = ends.groupBy("gid").agg(F.count("*").alias("degree"))
+    placed = long.select(*_UNIT, "gid", "n")
     share = F.pmod(F.xxhash64("gid"), F.lit(HUBS)).alias("share")
-    hubs = placed.groupBy(*_UNIT, share).agg(F.max(rank).alias("hub")).drop("share")
-    met = placed.join(hubs, _UNIT).where("low_part != hub.part or high_part != hub.part")
+    rank = F.struct("degree", "gid", "n")
+    hubs = placed.join(degrees, "gid").groupBy(*_UNIT, share).agg(F.max(rank).alias("hub")).drop("share")
     near = rule.den * F.least("n", "hub.n") >= rule.num * F.greatest("n", "hub.n")
-    met = met.where((F.col("hub.degree") > 0) & near & (F.col("gid") != F.col("hub.gid")))
+    met = placed.join(hubs, _UNIT).where(near & (F.col("gid") != F.col("hub.gid")))
     return met.select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b")).distinct()
 
 
@@ -496,22 +497,20 @@ def jaccard_components(
     groups = members.select(F.col("rep").alias("gid"), "rep", "n", "prefix").join(others, "rep", "left_anti")
     lists = written(_lists(_postings(groups, frequent)), "lists")
 
-    def connected(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Component of each member, and the least and greatest of each group."""
-        parts = connected_components(links)
-        known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
-            "rep", "gid", F.coalesce("component", "rep").alias("part")
-        )
-        known = written(known, "known")
-        return known, known.groupBy("gid").agg(F.min("part").alias("low_part"), F.max("part").alias("high_part"))
-
     # neighbours in long lists, and each member with its group's first; then hubs
     long = written(_long_lists(lists), "long-lists")
     first = _neighbour_pairs(long, rule).union(grouped.where("rep != gid").select("gid", "rep"))
     links = _verified(named, members, first, rule)
-    _, ends = connected(links)
-    links = links.union(_verified(named, members, _hub_pairs(long, links, ends, rule), rule))
-    known, ends = connected(links)
+    hubs = _hub_pairs(long, links, rule).join(links, ["a", "b"], "left_anti")
+    links = links.union(_verified(named, members, hubs, rule))
+
+    # part: what a member is known to be connected to so far
+    parts = connected_components(links, ROUNDS_BETWEEN)
+    known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
+        "rep", "gid", F.coalesce("component", "rep").alias("part")
+    )
+    known = written(known, "known")
+    ends = known.groupBy("gid").agg(F.min("part").alias("low_part"), F.max("part").alias("high_part"))
 
     # all pairs that aren't connected by these
     pairs = _unconnected_pairs(lists.join(ends, "gid"), rule)
