@@ -133,7 +133,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """(key, next, prev, prev_n) for distinct rows (id, key, n), in descending order of id.
+    """(id, key, next, prev, prev_n) for distinct rows (id, key, n), in descending order of id.
 
     Null ids are last, equal ids in order of key; after the last comes the first. Rows
     are dealt into ranges, which are written with their numbers; each range is ordered
@@ -154,11 +154,11 @@ def neighbours(rows: DataFrame) -> DataFrame:
         F.coalesce(F.lag("last").over(by_range), F.last("last").over(whole)).alias("before"),
     )
     within = Window.partitionBy("range").orderBy(*order)
-    joined = dealt.select("key", "range", F.lead(here).over(within).alias("up"), F.lag(here).over(within).alias("down"))
+    joined = dealt.select("id", "key", "range", F.lead(here).over(within).alias("up"), F.lag(here).over(within).alias("down"))
     joined = joined.join(ends, "range")
     prev = F.coalesce("down", "before")
     return joined.select(
-        "key", F.coalesce("up", "after")["key"].alias("next"), prev["key"].alias("prev"), prev["n"].alias("prev_n")
+        "id", "key", F.coalesce("up", "after")["key"].alias("next"), prev["key"].alias("prev"), prev["n"].alias("prev_n")
     )
 
 
@@ -193,7 +193,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated = bool(unique.where("copies > 1").limit(1).count())
     places = written(neighbours(unique.select("id", "key", "n")), "neighbours")
 
-    full = named.select("id", key.alias("key"), "text", fingerprint(F.col("text")).alias("print"))
+    # both uses below need the same columns of the texts, so they share one shuffle
+    full = named.select(key.alias("key"), "text", fingerprint(F.col("text")).alias("print"))
     placed = full.join(places, "key")
     heads = placed.select(
         F.col("prev").alias("key"),
