@@ -418,7 +418,8 @@ def _edge(e) -> str:
 
 
 _EVENT_DAYS = """
-    SELECT event_type, ts::DATE AS day, count(*) AS row_count FROM events GROUP BY ALL"""
+    SELECT event_type, ts::DATE AS day, count(*) AS row_count FROM events
+    WHERE ts IS NOT NULL GROUP BY ALL"""
 
 
 def _between(period: tuple[str, str]) -> str:
@@ -474,7 +475,7 @@ def _null_rates(column: str) -> str:
     return f"""
         SELECT review_creation_date::DATE AS day, '{column}' AS "column",
                (count(*) - count({column}))::DOUBLE / count(*) AS null_rate
-        FROM stg_olist_order_reviews GROUP BY 1"""
+        FROM stg_olist_order_reviews WHERE review_creation_date IS NOT NULL GROUP BY 1"""
 
 
 def _union(parts) -> str:
@@ -569,7 +570,8 @@ _RAW: dict[str, tuple[str, str]] = {
         f"""
         SELECT *, coalesce(null_rate - baseline > 0.02, false) AS drifted
         FROM (SELECT *, avg(null_rate) OVER (PARTITION BY "column" ORDER BY day
-                     ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS baseline
+                     RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING)
+                     AS baseline
               FROM ({_null_rates("review_score")}
                     UNION ALL {_null_rates("review_answer_timestamp")}))""",
         "null_rate baseline",
@@ -639,12 +641,18 @@ _RAW: dict[str, tuple[str, str]] = {
     "volume_anomalies": (
         f"""
         SELECT *, (row_count - baseline) / nullif(spread, 0) AS z_score,
-               coalesce(abs((row_count - baseline) / nullif(spread, 0)) > 2, false) AS anomalous
+               coalesce(CASE WHEN spread = 0 THEN row_count <> baseline
+                             ELSE abs((row_count - baseline) / spread) > 2 END, false) AS anomalous
         FROM (SELECT *, avg(row_count) OVER past AS baseline,
                      stddev_samp(row_count) OVER past AS spread
-              FROM ({_EVENT_DAYS})
+              FROM (SELECT event_type, day, coalesce(row_count, 0) AS row_count
+                    FROM (SELECT event_type, unnest(generate_series(first, last, INTERVAL 1 DAY))::DATE
+                                 AS day
+                          FROM (SELECT event_type, min(day) AS first FROM ({_EVENT_DAYS}) GROUP BY ALL),
+                               (SELECT max(day) AS last FROM ({_EVENT_DAYS})))
+                    LEFT JOIN ({_EVENT_DAYS}) USING (event_type, day))
               WINDOW past AS (PARTITION BY event_type ORDER BY day
-                              ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))""",
+                              RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))""",
         "baseline spread z_score",
     ),
     "reconcile_measure": (

@@ -29,6 +29,15 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(hadoop_path).getLength() if fs.exists(hadoop_path) else 0
 
 
+def put_in_place(spark: SparkSession, beside: str, path: str) -> None:
+    """Move the written folder ``beside`` to ``path``, replacing what is there."""
+    fs, target = _file_system(spark, path)
+    _, source = _file_system(spark, beside)
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"could not move {beside} to {path}")
+
+
 def _size(text: str) -> int:
     """Bytes of a Spark size setting such as '128MB' or '134217728b'."""
     digits = "".join(c for c in text if c.isdigit())

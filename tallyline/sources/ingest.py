@@ -7,8 +7,9 @@ import logging
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import put_in_place
 from .readers import feed_path
-from .records import CSV_OPTIONS, read_csv_records
+from .records import CSV_OPTIONS, OUT_OF_PLACE, read_csv_records
 from .schemas import FEEDS
 
 log = logging.getLogger(__name__)
@@ -32,8 +33,10 @@ def read_csv_feed(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def _store(df: DataFrame, path: str) -> int:
-    seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    """Writes beside ``path`` and moves it there: what fails leaves the old table."""
+    seen, beside = Observation(), f"{path}.incoming"
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(beside)
+    put_in_place(df.sparkSession, beside, path)
     return seen.get["rows"]
 
 
@@ -44,8 +47,9 @@ def ingest(
 
     ``csv_paths`` maps a feed name to a file, directory or glob. Returns the row
     count per feed, observed during the write itself. The first failure ends the
-    run. A feed with free text is read by records, split like any other; should its
-    quoting not allow that, it is read again file by file.
+    run and leaves the feed's old table. A feed with free text is read by records, split
+    like any other; should its quoting not allow that, and for no other error, it is
+    read again file by file, with a warning.
     """
     unknown = sorted(set(csv_paths) - set(FEEDS))
     if unknown:
@@ -58,6 +62,8 @@ def ingest(
                 counts[name] = _store(read_csv_records(spark, path, FEEDS[name].schema), target)
                 continue
             except Exception as error:
-                log.warning("%s: reading whole files, as %s", path, str(error).splitlines()[0])
+                if OUT_OF_PLACE not in str(error):
+                    raise
+                log.warning("%s: reading whole files, as %s", path, OUT_OF_PLACE)
         counts[name] = _store(read_csv_feed(spark, path, name), target)
     return counts

@@ -33,7 +33,8 @@ def read_file(spark: SparkSession, path: str, fmt: str | None = None, schema=Non
     """A Parquet, CSV or JSON file or directory, by path.
 
     Pass ``schema`` for large CSV and JSON input: without it Spark reads the
-    files once more to infer one.
+    files once more to infer one. CSV fields may hold quoted line breaks, so a CSV
+    file is read by one task; ``read_csv_records`` reads strictly quoted ones by splits.
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt not in FILE_FORMATS:
@@ -44,5 +45,5 @@ def read_file(spark: SparkSession, path: str, fmt: str | None = None, schema=Non
     elif fmt == "csv":
         reader = reader.option("inferSchema", True)
     if fmt == "csv":
-        reader = reader.option("header", True).option("escape", '"')
+        reader = reader.option("header", True).option("escape", '"').option("multiLine", True)
     return reader.format(fmt).load(path)

@@ -6,8 +6,10 @@ follows from the number of quotes before it, which is a sum per split plus a run
 sum within the split. Lines are then put together to records, and records that cross
 a split are joined up.
 
-That is exact for files that quote by the book. Each record is checked for it: one
-with a quote out of place fails the job, and the caller can fall back on Spark's reader.
+That is exact for files that quote by the book. Each line is checked for it before lines
+are put together, and each record after: a quote out of place fails the job, and the caller
+can fall back on Spark's reader. A quote that is never closed shows at the next quoted
+field; without one, at ``MAX_RECORD_CHARS``.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from pyspark.sql import functions as F
 
 CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
 
+#: Characters of a record that crosses splits, at most: it is put together in one task.
+MAX_RECORD_CHARS = 64 << 20
+OUT_OF_PLACE = "a quote is out of place"
+
 _SPLIT = ("file", "block")
 
 
@@ -24,6 +30,17 @@ def _quotes(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit('"'), F.lit("")))
 
 
+def _by_the_book(text: Column) -> Column:
+    """Without escaped quotes, a quoted field stands between commas or line ends, and
+    nothing else contains a quote or a line break."""
+    plain = F.regexp_replace(text, r'(^|,)"[^"]*+"(?=,|$)', "$1")
+    return ~F.contains(plain, F.lit('"')) & ~F.contains(plain, F.lit("\n"))
+
+
+def _unescaped(text: Column) -> Column:
+    return F.replace(text, F.lit('""'), F.lit(""))
+
+
 def _joined(order: list[str], text: str) -> Column:
     """The texts of a group, one per line, in ``order``."""
     pieces = F.array_sort(F.collect_list(F.struct(*order, text)))
@@ -57,9 +74,19 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     here = Window.partitionBy(*_SPLIT).orderBy("line")
     above = F.sum(_quotes(F.col("text"))).over(here.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when((F.col("before") + F.coalesce(above, F.lit(0))) % 2 == 0, 1).otherwise(0)
+    # A line that starts or ends inside quotes is checked as if it opened or closed them.
+    line = F.rtrim("text", F.lit("\r"))
+    inside = F.col("fresh") == 0
+    still = (F.when(inside, 1).otherwise(0) + _quotes(line)) % 2 == 1
+    quote, none = F.lit('"'), F.lit("")
+    whole_line = F.concat(
+        F.when(inside, quote).otherwise(none), _unescaped(line), F.when(still, quote).otherwise(none)
+    )
+    bad = F.raise_error(F.lit(OUT_OF_PLACE))
     pieces = (
         lines.join(starts, list(_SPLIT))
         .withColumn("fresh", fresh)
+        .withColumn("text", F.when(~_by_the_book(whole_line), bad).otherwise(F.col("text")))
         .withColumn("record", F.sum("fresh").over(here))
         .groupBy(*_SPLIT, "record")
         .agg(_joined(["line"], "text").alias("text"))
@@ -68,9 +95,12 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     last = F.max("record").over(Window.partitionBy(*_SPLIT))
     pieces = pieces.withColumn("open", (F.col("record") == 0) | (F.col("record") == last))
     in_file = Window.partitionBy("file").orderBy("block", "record")
+    length = F.sum(F.length("text")).over(Window.partitionBy("file", "home"))
+    long = F.raise_error(F.lit(f"a record is longer than {MAX_RECORD_CHARS} characters"))
     crossing = (
         pieces.filter("open")
         .withColumn("home", F.count(F.when(F.col("record") > 0, 1)).over(in_file))
+        .withColumn("text", F.when(length > MAX_RECORD_CHARS, long).otherwise(F.col("text")))
         .groupBy("file", "home")
         .agg(
             F.min(F.struct("block", "record")).alias("start"),
@@ -90,16 +120,10 @@ def read_csv_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of CSV files with a header and strictly quoted fields."""
     columns = [c.split()[0] for c in schema.split(",")]
     text = F.col("text")
-    # Without escaped quotes, a quoted field stands between commas or line ends, and
-    # nothing else contains a quote or a line break.
-    plain = F.regexp_replace(
-        F.replace(text, F.lit('""'), F.lit("")), r'(^|,)"[^"]*+"(?=,|$)', "$1"
-    )
-    by_the_book = ~F.contains(plain, F.lit('"')) & ~F.contains(plain, F.lit("\n"))
     is_header = F.regexp_replace(text, '"', "") == ",".join(columns)
     checked = (
         F.when(F.col("first") & ~is_header, F.raise_error(F.lit(f"expected columns {columns}")))
-        .when(~by_the_book, F.raise_error(F.lit("a quote is out of place")))
+        .when(~_by_the_book(_unescaped(text)), F.raise_error(F.lit(OUT_OF_PLACE)))
         .otherwise(text)
     )
     return (

@@ -96,6 +96,9 @@ def test_explore_caps_and_keeps_order(spark):
         "SELECT 1; DROP TABLE t",
         "SET spark.sql.ansi.enabled = false",
         "WITH a AS (SELECT 1) INSERT INTO t SELECT * FROM a",
+        "SELECT java_method('java.lang.System', 'nanoTime')",
+        "SELECT `reflect` /* so */ ('java.lang.System', 'nanoTime')",
+        "SELECT IDENTIFIER('reflect')('java.lang.System', 'nanoTime')",
         "",
     ],
 )
@@ -295,10 +298,37 @@ def test_calendar_gaps_without_rows(daily):
     assert len(rows(ops.calendar_gaps(none, "ts", start="2024-01-01", end="2024-01-03"))) == 3
 
 
+def test_calendar_gaps_within_bounds(spark):
+    days = [("a", "2024-01-02"), ("a", "2024-01-05"), ("b", "9999-01-01"), (None, "2024-01-03")]
+    df = spark.createDataFrame(days, "s string, d string").selectExpr("s", "cast(d as date) as d")
+    got = rows(ops.calendar_gaps(df, "d", "s", start="2024-01-01", end="2024-01-04"))
+    want = {"a": (1, 3, 4), "b": (1, 2, 3, 4), None: (1, 2, 4)}
+    assert got == sorted(((s, date(2024, 1, d)) for s, ds in want.items() for d in ds), key=repr)
+    assert len(rows(ops.calendar_gaps(df, "d", end="2024-01-06"))) == 2
+
+
 def test_volume_anomalies(daily):
     got = ops.volume_anomalies(daily, "ts", "segment").filter("anomalous").collect()
-    assert ("b", date(2024, 1, 16), 100) in {(r.segment, r.day, r.row_count) for r in got}
-    assert len(got) == 1
+    assert {(r.segment, r.day, r.row_count) for r in got} == {
+        ("a", date(2024, 1, 13), 0),
+        ("b", date(2024, 1, 16), 100),
+    }
+
+
+def test_volume_anomalies_after_steady_days(spark):
+    """A steady feed that jumps, one that stops, and days counted by the calendar."""
+    start = datetime(2024, 1, 1)
+    data = [(start + timedelta(days=d), "jumps") for d in range(10) for _ in range(500 if d == 9 else 5)]
+    data += [(start + timedelta(days=d), "stops") for d in range(8) for _ in range(5)]
+    data += [(start, "once"), (None, "once")]
+    df = spark.createDataFrame(data, "t timestamp_ntz, s string")
+    got = ops.volume_anomalies(df, "t", "s", z=2.0)
+    assert rows(got.filter("anomalous").select("s", "day", "row_count")) == [
+        ("jumps", date(2024, 1, 10), 500),
+        ("stops", date(2024, 1, 10), 0),
+        ("stops", date(2024, 1, 9), 0),
+    ]
+    assert got.filter("s = 'once'").count() == 10 and got.filter("day IS NULL").count() == 0
 
 
 def test_kpi_change(spark):

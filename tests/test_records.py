@@ -111,3 +111,19 @@ def test_ingest_of_an_empty_file(spark, tmp_path):
     assert ingest(spark, {"olist_order_reviews": str(tmp_path / "a.csv")}, out) == {
         "olist_order_reviews": 0
     }
+
+
+def test_unclosed_quote_is_noticed_early(spark, tmp_path, tiny_splits):
+    """The lines after it are never put together to one record of the file's size."""
+    lines = [f'r{i},o{i},1,,"fine, {i}",2018-01-01,' for i in range(3000)]
+    lines[2] = 'r2,o2,1,,"never closed,2018-01-01,'
+    (tmp_path / "a.csv").write_text(HEADER + "\n".join(lines) + "\n")
+    with pytest.raises(Exception, match="out of place"):
+        read_csv_records(spark, str(tmp_path), FEED.schema).collect()
+
+
+def test_endless_record_is_refused(spark, tmp_path, tiny_splits, monkeypatch):
+    monkeypatch.setattr("tallyline.sources.records.MAX_RECORD_CHARS", 10_000)
+    (tmp_path / "a.csv").write_text(HEADER + 'r,o,1,,"open,\n' + "no quotes in here\n" * 3000)
+    with pytest.raises(Exception, match="longer than"):
+        ingest(spark, {"olist_order_reviews": str(tmp_path / "a.csv")}, str(tmp_path / "out"))

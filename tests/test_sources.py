@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tallyline.sources import FEEDS, export_csv, export_schema, ingest, read_feed, read_file
 
@@ -108,3 +109,36 @@ def test_export_of_empty_tables(spark, tmp_path):
     }
     got = {r.table: (r.rows, r.status) for r in export_csv(spark, empty, str(tmp_path)).collect()}
     assert got == {name: (0, "ok") for name in empty}
+
+
+def test_read_csv_file_with_line_breaks(spark, csv_dir):
+    got = {r.review_id: r for r in read_file(spark, str(csv_dir / "reviews.csv")).collect()}
+    assert got["r1"].review_comment_message == 'two\nlines, a comma and "quotes"' and len(got) == 2
+
+
+def test_export_keeps_values(spark, tmp_path):
+    values = [12345678.9, 1e7, 1e-4, -2.5e9, 1.5, 1e300, float("nan"), None]
+    texts = ["  padded  ", 'a "quote"', "two\nlines", "", None, ",", "x", "y"]
+    df = spark.createDataFrame(list(zip(texts, values)), "s string, v double").withColumn(
+        "t", F.lit("2018-01-02 03:04:05").cast("timestamp_ntz")
+    )
+    export_csv(spark, {"a": df}, str(tmp_path))
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", True)
+    back = reader.csv(str(tmp_path / "a.csv"), schema="s string, v string, t string").collect()
+    want = ["12345678.9", "10000000.0", "0.0001", "-2500000000.0", "1.5", "1.0E300", "NaN", None]
+    # Spark reads an empty text as NULL; the file tells the two apart
+    got = {r.v: r.s for r in back}
+    assert got == {v: s or None for s, v in zip(texts, want)}
+    lines = "".join(f.read_text() for f in (tmp_path / "a.csv").glob("part-*")).splitlines()
+    assert any(line.startswith('"",-2500000000.0,') for line in lines)
+    assert any(line.startswith(",1.5,") for line in lines)
+    assert {r.t for r in back} == {"2018-01-02 03:04:05"}
+
+
+def test_failed_ingest_keeps_the_old_table(spark, csv_dir, tmp_path):
+    out = str(tmp_path / "out")
+    ingest(spark, {"olist_sellers": str(csv_dir / "sellers.csv")}, out)
+    (csv_dir / "bad.csv").write_text(SELLERS.splitlines()[0] + "\na,b\n")
+    with pytest.raises(Exception):
+        ingest(spark, {"olist_sellers": str(csv_dir / "bad.csv")}, out)
+    assert read_feed(spark, out, "olist_sellers").first().seller_id == "s1"
