@@ -46,7 +46,7 @@ FREQUENT_COUNT = 8
 LONG_LIST = 32
 ORDERS = 8
 #: Rounds of contraction in between: parts of components are enough there.
-ROUNDS_BETWEEN = 3
+ROUNDS_BETWEEN = 2
 #: Hubs of a long list, each the best of the groups with one remainder of their number.
 HUBS = 8
 #: Groups of a list that meet in one task; longer lists are cut into blocks.
@@ -418,14 +418,14 @@ def _only(rows: DataFrame, keys: DataFrame, on: list[str], few: bool) -> DataFra
 
 
 def _ends(pairs: DataFrame) -> tuple[DataFrame, bool]:
-    """The members in some pair, and whether they are few enough to be broadcast."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    ends = written(ends, "compared")
-    return ends, ends.count() <= MAX_BROADCAST_MEMBERS
+    """The members in some written pair, and whether they are few enough to be broadcast."""
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
+    few = 2 * pairs.count() <= MAX_BROADCAST_MEMBERS
+    return (ends if few else ends.distinct()), few
 
 
 def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
-    """Those of the pairs (a, b) of members whose sets are similar.
+    """Those of the pairs (a, b) of members whose sets are similar; they may repeat.
 
     The prefixes, a fifth of the sets, are compared first. Of two sets, the one whose
     prefix ends first in the order of all shingles has everything common up to there in
@@ -442,7 +442,7 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Simil
     pairs = written(pairs, "candidates")
     ends, few = _ends(pairs)
     prefixes = _only(members.select("rep", "n", F.col("prefix").alias("members")), ends, ["rep"], few)
-    pairs = written(_compared(pairs, prefixes, may_fit, _whole).distinct(), "likely")
+    pairs = written(_compared(pairs, prefixes, may_fit, _whole), "likely")
 
     ends, few = _ends(pairs)
     wanted = _only(members, ends, ["rep"], few).select(F.col("rep").alias("id"), "sig")
@@ -463,7 +463,7 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Simil
     texts = _only(docs, wanted.select("id").distinct(), ["id"], few)
     sets = _only(_each_text(texts, schema, compute), wanted, ["id", "sig"], few)
     sets = written(sets.select(F.col("id").alias("rep"), "n", "members"), "sets")
-    return written(_compared(pairs, sets, fits).distinct(), "similar")
+    return written(_compared(pairs, sets, fits), "similar")
 
 
 def jaccard_components(

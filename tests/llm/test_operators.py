@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from tallyline.llm.byte_bpe import bpe_decode, bpe_encode, bpe_round_trip, read_ranks
 from tallyline.llm.chat_windows import escape, format_chat, read_back, read_turns, unescape
+from tallyline.llm.components import connected_components
 from tallyline.llm.fingerprints import edited_fingerprints
 from tallyline.llm.html_consensus import Page, extract_text
 from tallyline.llm.jaccard_join import jaccard_components, keep_one
@@ -219,3 +220,29 @@ def test_toxicity(spark, docs):
     assert toxicity(docs.limit(0), labels).collect() == [] and toxicity(docs, labels.limit(0)).count() == len(ROWS)
     kept = drop_toxic(texts, labels)
     assert kept.columns == texts.columns and 250 <= kept.count() <= 330
+
+
+@pytest.mark.parametrize("chunk", [50, 200_000])
+def test_components_of_any_chunk(spark, chunk):
+    """A long chain, a hub, repeats, loops and nulls, against a search, over several rounds."""
+    import random
+
+    random.seed(3)
+    order = random.sample(range(1000, 1060), 60)
+    links = list(zip(order, order[1:])) + [(5, i) for i in range(6, 90)] + [(7, 5), (200, 200), (None, 5), (300, 301), (301, 300)]
+    random.shuffle(links)
+    near = {}
+    for a, b in links:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {}
+    for start in sorted(near):
+        waiting = [start] if start not in want else []
+        while waiting:
+            node = waiting.pop()
+            if node not in want:
+                want[node] = start
+                waiting += near[node]
+    found = connected_components(spark.createDataFrame(links, "a long, b long").repartition(5), chunk=chunk)
+    assert {r.node: r.component for r in found.collect()} == {n: c for n, c in want.items() if n != c}
