@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType
+from pyspark.sql.types import DecimalType, DoubleType, StringType
 
 from tallyline import operators as ops
 from tallyline.functions import as_double, as_int, as_timestamp
@@ -174,7 +174,10 @@ def column_profile(spark, sf_dir):
 def lineage_reconcile(spark, sf_dir):
     # Totals of whole tables are large enough for the order of addition to show.
     measures = ("parent_measure", "child_measure", "measure_drift")
-    return ops.reconcile_lineage(warehouse(spark, sf_dir)).withColumns(
+    built = warehouse(spark, sf_dir)
+    stored = {name: read_feed(spark, f"{_work_dir(spark, sf_dir)}/feeds", name) for name in FEEDS}
+    edges = (*ops.MODEL_EDGES, *ops.FEED_EDGES)
+    return ops.reconcile_lineage({**stored, **built}, edges).withColumns(
         {m: F.round(m, 2) for m in measures}
     )
 
@@ -269,6 +272,12 @@ def domain_violations(lazy: Lazy) -> DataFrame:
     )
 
 
+def domain_allowed(lazy: Lazy) -> DataFrame:
+    return ops.domain_violations(
+        lazy["stg_olist_orders"], "order_status", allowed=["delivered", "shipped"]
+    )
+
+
 def kpi_change(spark, sf_dir):
     tune(spark, sf_dir)
     return ops.kpi_change(
@@ -394,21 +403,40 @@ def csv_ingest_roundtrip(spark, sf_dir):
     return read_feed(spark, f"{root}/ingested", "olist_order_reviews")
 
 
+def _contents(df: DataFrame) -> DataFrame:
+    """Number of rows and a sum of their hashes; CSV has no empty texts but nulls."""
+    columns = [
+        F.when(F.col(f.name) != "", F.col(f.name)) if isinstance(f.dataType, StringType) else F.col(f.name)
+        for f in df.schema
+    ]
+    marks = F.xxhash64(*columns).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("n"), F.sum(marks).alias("marks"))
+
+
 def marts_export(spark, sf_dir):
-    """Every mart out to CSV; the rows found when reading each file set back."""
+    """Every mart out to CSV; rows and contents found when reading each file set back."""
     root = _work_dir(spark, sf_dir)
     marts = {n: df for n, df in warehouse(spark, sf_dir).items() if TABLES[n].layer == "marts"}
     status = export_csv(spark, marts, f"{root}/export")
-    counts = [
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .csv(f"{root}/export/{name}.csv")
-        .agg(F.count(F.lit(1)).alias("csv_rows"))
-        .select(F.lit(name).alias("table"), "csv_rows")
-        for name in marts
-    ]
-    return ops.profile.union_all(counts).join(status.select("table", "rows", "status"), "table")
+    compared = []
+    for name, mart in marts.items():
+        written = (
+            spark.read.schema(mart.schema)
+            .option("header", True)
+            .option("escape", '"')
+            .option("multiLine", True)
+            .csv(f"{root}/export/{name}.csv")
+        )
+        sides = _contents(mart).withColumn("side", F.lit("mart")).unionByName(
+            _contents(written).withColumn("side", F.lit("csv"))
+        )
+        compared.append(
+            sides.agg(
+                F.max(F.when(F.col("side") == "csv", F.col("n"))).alias("csv_rows"),
+                (F.count_distinct(F.struct("n", "marks")) == 1).alias("same_contents"),
+            ).select(F.lit(name).alias("table"), "csv_rows", "same_contents")
+        )
+    return ops.profile.union_all(compared).join(status.select("table", "rows", "status"), "table")
 
 
 QUERIES: dict[str, Query] = {
@@ -433,6 +461,7 @@ QUERIES: dict[str, Query] = {
     "reconcile_measure": _over_feeds(reconcile_measure),
     "cast_loss": _over_feeds(cast_loss),
     "domain_violations": _over_feeds(domain_violations),
+    "domain_allowed": _over_feeds(domain_allowed),
     "kpi_change": kpi_change,
     "quality_report": quality_report,
     "csv_ingest_roundtrip": csv_ingest_roundtrip,

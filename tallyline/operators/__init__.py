@@ -10,13 +10,15 @@ from .keys import (
     reconcile_measure,
     retention,
 )
-from .lineage import KEYED_EDGES, Edge, neighbours, reconcile_lineage
+from .lineage import FEED_EDGES, KEYED_EDGES, MODEL_EDGES, Edge, neighbours, reconcile_lineage
 from .profile import column_profile, schema_diff, table_inventory
 from .report import outcome, quality_report
 from .trends import calendar_gaps, kpi_change, null_drift, volume_anomalies
 
 __all__ = [
+    "FEED_EDGES",
     "KEYED_EDGES",
+    "MODEL_EDGES",
     "Answer",
     "Edge",
     "answer",

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import edges as pipeline_edges
+from ..plans.staging import STAGING
 from .profile import union_all
 
 
@@ -28,7 +29,8 @@ def neighbours(spark: SparkSession, table: str, edges=None) -> DataFrame:
 class Edge:
     """A step of the pipeline and how its two tables correspond.
 
-    ``keys`` pairs a parent column with the child column of the same value;
+    ``keys`` pairs a parent column with the child column of the same value; without
+    any, a table with rows counts as one key;
     ``measure`` pairs columns whose totals should agree.
     """
 
@@ -136,6 +138,49 @@ KEYED_EDGES = (
 )
 
 
+# The steps between models after which no column identifies a row any more: only rows and
+# totals can be compared.
+TOTALLED_EDGES = (
+    Edge(
+        "fct_order_items",
+        "mart_logistics_network",
+        (),
+        ("freight_value_usd", "total_route_freight_usd"),
+    ),
+    Edge(
+        "fct_orders",
+        "mart_payment_profiles",
+        (),
+        ("total_payment_value_usd", "total_revenue_usd"),
+    ),
+    *[
+        Edge("stg_olist_order_reviews", mart, ())
+        for mart in (
+            "mart_obt_customers",
+            "mart_obt_sellers",
+            "mart_product_performance",
+            "mart_seller_sales",
+        )
+    ],
+)
+
+MODEL_EDGES = (
+    *KEYED_EDGES,
+    Edge(
+        "stg_olist_category_translation",
+        "dim_products",
+        (("product_category_name_english", "product_category_english"),),
+    ),
+    *TOTALLED_EDGES,
+)
+
+# From feed to staging: every row, and the key as it is.
+FEED_EDGES = tuple(
+    Edge(staged.feed, name, ((staged.columns[0], staged.columns[0]),))
+    for name, staged in STAGING.items()
+)
+
+
 def _entry(index: int, side: str, columns: list[str], measure: str | None, width: int):
     """A row's part in one edge: its key as text, its side and its measure."""
     keys = [F.col(c) for c in columns] + [F.lit(None)] * (width - len(columns))
@@ -153,7 +198,7 @@ def _entry(index: int, side: str, columns: list[str], measure: str | None, width
 
 def reconcile_lineage(
     tables: Mapping[str, DataFrame],
-    edges: Iterable[Edge] = KEYED_EDGES,
+    edges: Iterable[Edge] = MODEL_EDGES,
     around: str | None = None,
 ) -> DataFrame:
     """One row per edge, or per edge touching table ``around``: rows and keys on
@@ -162,7 +207,8 @@ def reconcile_lineage(
     Every table is read once, whatever the number of its edges: a row is emitted
     for each edge it belongs to, and a single aggregation by edge and key, with
     counts made up in the map tasks, brings parents and children together. Give it
-    stored tables (``plans.build``), or each scan recomputes its table.
+    stored tables (``plans.build``), or each scan recomputes its table. For
+    ``FEED_EDGES``, ``tables`` must hold the feeds, too.
     """
     chosen = [e for e in edges if around in (None, e.parent, e.child)]
     if not chosen:

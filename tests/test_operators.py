@@ -381,12 +381,12 @@ def test_reconcile_lineage(tables):
     assert ("stg_olist_sellers", "dim_sellers") not in got
 
 
-def test_every_keyed_edge_is_a_pipeline_edge(tables):
+def test_every_edge_of_the_pipeline_is_reconciled(tables):
     from tallyline.plans import edges
 
     known = set(edges())
-    for e in ops.KEYED_EDGES:
-        assert (e.parent, e.child) in known
+    assert known == {(e.parent, e.child) for e in (*ops.MODEL_EDGES, *ops.FEED_EDGES)}
+    for e in (*ops.MODEL_EDGES, *ops.FEED_EDGES):
         for p, c in e.keys:
             assert p in tables[e.parent].columns and c in tables[e.child].columns
 
@@ -428,3 +428,16 @@ def test_reconcile_lineage_matches_null_keys(spark):
     b = spark.createDataFrame([(None,), ("y",)], "k string")
     got = ops.reconcile_lineage({"a": a, "b": b}, [ops.Edge("a", "b", (("k", "k"),))]).first()
     assert tuple(got)[2:8] == (3, 2, 2, 2, 1, 1)
+
+
+def test_reconcile_lineage_without_keys_compares_totals(spark):
+    a = spark.createDataFrame([(1.0,), (2.5,)], "v double")
+    b = spark.createDataFrame([(3.0,)], "w double")
+    got = ops.reconcile_lineage({"a": a, "b": b}, [ops.Edge("a", "b", (), ("v", "w"))]).first()
+    assert tuple(got)[2:] == (2, 1, 1, 1, 0, 0, 3.5, 3.0, -0.5)
+
+
+def test_domain_violations_with_an_allowed_list(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "s string")
+    assert rows(ops.domain_violations(df, "s", allowed=["a"])) == [("b", 2)]
+    assert len(rows(ops.domain_violations(df, "s", allowed=["a"], nullable=False))) == 2
