@@ -1,6 +1,7 @@
 """Personal data replaced by keyed surrogates.
 
-Entities are found by their form: e-mail addresses, phone and card numbers, account and
+Entities are found by their form: e-mail addresses, phone numbers, card numbers that pass their
+checksum and have an issuer's first digits and length, account and
 social security numbers, IP addresses, secrets, and names behind a title. An entity's
 canonical form (digits of a number, lower case of an address) is put through a keyed
 permutation of all forms of its shape, letter for letter of the same script and digit
@@ -58,6 +59,9 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(sorted((t for ts in _TITLES.values() for t in ts), key=len, reverse=True))
 _LETTERS = "".join(_SCRIPTS.values())
 _NAME = rf"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ][{_LETTERS}’'-]+"
+_PHONE = r"""(?<![\w.+-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])
+       |(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d){6,12}(?![\w-])"""
+FOUND_PHONE = re.compile(_PHONE, re.X)
 FOUND = re.compile(
     rf"""
     (?P<email>(?<![\w.+%-])\w(?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
@@ -67,12 +71,22 @@ FOUND = re.compile(
     |(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d\d-\d{{4}}(?![\w-]))
     |(?P<card>(?<![\w.+-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -]\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-]))
-    |(?P<phone>(?<![\w.+-])(?:(?:\+|00)\d{{1,3}}[ .-]?)?(?:\(\d{{2,5}}\)[ .-]?|\d{{2,5}}[ .-])\d{{3,4}}[ .-]\d{{3,4}}(?![\w-])
-       |(?<![\w.+-])\+\d{{1,3}}(?:[ .-]?\d){{6,12}}(?![\w-]))
+    |(?P<phone>{_PHONE})
     |(?P<name>(?<!\w)(?:{_TITLE})\.?\ {_NAME}(?:\ {_NAME}){{0,2}})
     """,
     re.X,
 )
+#: First digits and lengths of the cards of all large issuers.
+_ISSUED = re.compile(
+    r"""4(?:\d{12}|\d{15}|\d{18})  # Visa
+    |(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}  # Mastercard
+    |3[47]\d{13}|1\d{14}  # American Express, UATP
+    |3(?:0[0-5]\d|095|[689]\d\d)\d{10}|3(?:0[0-5]|[689]\d)\d{13,16}  # Diners
+    |35(?:2[89]|[3-8]\d)\d{12,15}  # JCB
+    |(?:5[0678]|6\d)\d{11,17}  # Maestro, Discover, UnionPay, RuPay, Elo
+    |8[12]\d{14,17}|220[0-4]\d{12,15}|9792\d{12}  # UnionPay, RuPay, Mir, Troy""",
+    re.X,
+)
 #: What any entity must contain; texts without it are passed on unread.
 _HINT = re.compile(rf"[@\d]|(?<!\w)(?:{_TITLE})(?!\w)|(?:[0-9a-fA-F]{{32}})")
 _COUNTRY = re.compile(r"(?:\+|00)(\d{1,3}?)(?=[ .(-])|(?:\+|00)(1|7|\d\d)")
@@ -142,6 +156,10 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
+def _is_card(digits: str) -> bool:
+    return bool(_ISSUED.fullmatch(digits)) and _luhn(digits[:-1]) == int(digits[-1])
+
+
 def _script(word: str) -> str:
     return next((s for s, letters in _SCRIPTS.items() if re.match(f"[{letters}]", word)), "latin")
 
@@ -175,7 +193,7 @@ def surrogate(key: bytes, kind: str, canonical: str, draw: int) -> str:
         country, digits = canonical.split("|")
         more = "".join(str(d) for d in hmac.digest(key, (tweak + canonical).encode(), "sha256")[:longer])[:longer]
         return f"{country}|{same_shape(key, tweak + country, digits)}{more}"
-    if kind == "card" and _luhn(canonical[:-1]) == int(canonical[-1]):
+    if kind == "card":
         body = same_shape(key, tweak, canonical[:-1])
         return body + str(_luhn(body))
     if kind == "ip":
@@ -233,10 +251,28 @@ def _formatted(kind: str, found: str, forms: list[str]) -> str:
     return head + body + "".join(symbols)
 
 
-def mentions(text: str) -> Iterator[tuple[re.Match, list[tuple[str, str]]]]:
-    if _HINT.search(text):
-        for m in FOUND.finditer(text):
-            yield m, entity(m.lastgroup, m[0])
+def _card(m: re.Match) -> tuple[int, str] | None:
+    """End and kind of the card that a match begins with, or of a phone number of its form."""
+    groups = [g.end() + m.start() for g in re.finditer(r"\d+", m[0])]
+    for end in [groups[-1], *groups[3:-1]]:  # a card may be followed by its check number
+        if _is_card(re.sub(r"\D", "", m.string[m.start() : end])):
+            return end, "card"
+    phone = FOUND_PHONE.fullmatch(m[0])
+    return (m.end(), "phone") if phone else None
+
+
+def mentions(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]]]]:
+    """(start, end, kind, entities) of what is found in ``text``, in order."""
+    at = 0 if _HINT.search(text) else len(text)
+    while m := FOUND.search(text, at):
+        end, kind = m.end(), m.lastgroup
+        if kind == "card":
+            if (card := _card(m)) is None:
+                at = end
+                continue
+            end, kind = card
+        yield m.start(), end, kind, entity(kind, text[m.start() : end])
+        at = end
 
 
 def _entities(docs: DataFrame) -> DataFrame:
@@ -246,7 +282,7 @@ def _entities(docs: DataFrame) -> DataFrame:
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                found = {e for t in whole.slice(at, 256).column(0).to_pylist() if t for _, es in mentions(t) for e in es}
+                found = {e for t in whole.slice(at, 256).column(0).to_pylist() if t for *_, es in mentions(t) for e in es}
                 columns = [pa.array([e[i] for e in found], pa.string()) for i in range(2)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
@@ -311,10 +347,10 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
 
     def rewritten(text: str, draws: dict) -> tuple[str, int]:
         out, at, n = [], 0, 0
-        for m, parts in mentions(text):
+        for start, end, found, parts in mentions(text):
             forms = [surrogate(key, kind, form, draws.get((kind, form), 0)) for kind, form in parts]
-            out += [text[at : m.start()], _formatted(m.lastgroup, m[0], forms)]
-            at, n = m.end(), n + 1
+            out += [text[at:start], _formatted(found, text[start:end], forms)]
+            at, n = end, n + 1
         return ("".join([*out, text[at:]]), n) if n else (text, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +384,7 @@ def _per_text(named: DataFrame, late: DataFrame) -> DataFrame:
                 rows = [
                     (digest, *e)
                     for digest, text in zip(*(c.to_pylist() for c in batch.columns))
-                    for e in {e for _, es in mentions(text or "") for e in es}
+                    for e in {e for *_, es in mentions(text or "") for e in es}
                 ]
                 columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
