@@ -4,7 +4,9 @@ Pages of a host share a layout. Each page's containers are scored by the text ri
 inside them that isn't navigation, notice or link; the best of a page vote for their
 paths, generalised to tags and classes with digits masked. Spark adds up the votes per
 host; the pages are then read again, and their text comes from the elements at the
-winning path. A page without such an element falls back on its own best container.
+winning path. A page with less than half of its text there falls back on its own best
+container. Either is widened to all other blocks that are neither noise nor links, so
+the vote decides only which links belong to the text.
 """
 
 from __future__ import annotations
@@ -219,16 +221,28 @@ class Page:
         return [(path, 1000 * score // total) for path, score in best]
 
     def text(self, path: str | None) -> str:
-        """Text of the elements at ``path``, or of the page's own best container."""
+        """Text of the elements at ``path``, or of the page's own best container, and around it.
+
+        Outside, blocks that are mostly links count where their container isn't.
+        """
         wanted = {i for i, p in enumerate(self.paths) if p == path} if path is not None else set()
-        if not wanted:
+        inside = self._inside(wanted)
+        total = sum(len(text) - linked for _, linked, text in self.blocks)
+        if 2 * sum(len(text) - linked for c, linked, text in self.blocks if inside[c]) < max(total, 1):
             scores = self.scores()
-            if scores:
-                wanted = {min(scores, key=lambda c: (-scores[c], c))}
+            inside = self._inside({min(scores, key=lambda c: (-scores[c], c))} if scores else wanted)
+        own: dict[int, int] = {}
+        for container, linked, text in self.blocks:
+            own[container] = own.get(container, 0) + len(text) - 2 * linked
+        return "\n".join(
+            text for c, linked, text in self.blocks if inside[c] or total and (2 * linked < len(text) or own[c] > 0)
+        )
+
+    def _inside(self, wanted: set[int]) -> list[bool]:
         inside = [False] * len(self.paths)
         for i, parent in enumerate(self.parents):
             inside[i] = i in wanted or (parent >= 0 and inside[parent])
-        return "\n".join(text for container, _, text in self.blocks if inside[container])
+        return inside
 
 
 def host_of(url: Column) -> Column:
