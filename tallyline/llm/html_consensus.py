@@ -54,6 +54,14 @@ _NOISE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split()
 )
 _WHOLE = frozenset("html body main article".split())
+_TELLING = frozenset("has have no with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a page's text from which an element with a noisy name is a wrapper of it, by
+#: what _noise_name says.
+_WRAPS = {1: (1, 2), 2: (4, 5)}
+#: Below this share of the page's text, what is left counts as nothing; from twice it on,
+#: an element is a second choice.
+_LITTLE = 0.1
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -71,17 +79,33 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _noise(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
+    """Whether the tag or role says that this isn't main text."""
     if tag in _WHOLE:
         return False
     if tag in _NOT_TEXT or (tag == "header" and not inside_article):
         return True
-    if attributes.get("role", "").lower() in _NOISE_ROLES:
-        return True
-    for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
+    return attributes.get("role", "").lower() in _NOISE_ROLES
+
+
+def _noise_name(tag: str, attributes: dict[str, str]) -> int:
+    """Whether a class or id has a word for noise: 2 if only such words, 1 if others too.
+
+    What follows "with", "no" or the like tells of something around the text or missing.
+    A heading's id is made of its text.
+    """
+    found = 0
+    if tag in _WHOLE:
+        return found
+    names = attributes.get("class", "").split()
+    if tag not in _HEADINGS:
+        names += attributes.get("id", "").split()
+    for name in names:
         words = [w.lower() for w in _WORDS.findall(name)]
-        if words and words[0] not in ("has", "no", "with") and not _NOISE_WORDS.isdisjoint(words):
-            return True
-    return False
+        told = next((i for i, w in enumerate(words) if w in _TELLING), len(words))
+        noisy = sum(w in _NOISE_WORDS for w in words[:told])
+        if noisy:
+            found = max(found, 2 if noisy == len(words) else 1)
+    return found
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -97,34 +121,34 @@ class Page:
         self.parents: list[int] = [-1]
         #: text of one block each, with the innermost container it is in
         self.blocks: list[tuple[int, int, str]] = []
+        #: elements with a noisy name: (such an element around it or -1, _noise_name)
+        self._named: list[tuple[int, int]] = []
+        #: blocks as read: container, and pieces (named element, in a link, in an article, text)
+        self._raw: list[tuple[int, list[tuple[int, bool, bool, str]]]] = []
         self._read(source)
+        self._settle()
 
     def _read(self, source: str) -> None:
-        # an open element: tag, container, noisy, in article, path
-        stack = [("", 0, False, False, "")]
-        pieces: list[str] = []
-        linked = 0  # characters of the open block inside links
+        # an open element: tag, container, noisy, in article, path, named element
+        stack = [("", 0, False, False, "", -1)]
+        pieces: list[tuple[int, bool, bool, str]] = []
         holder, links_open = 0, 0
 
         def close_block() -> None:
-            nonlocal linked
+            nonlocal pieces
             if pieces:
-                if text := " ".join("".join(pieces).split()):
-                    self.blocks.append((holder, min(linked, len(text)), text))
-                pieces.clear()
-            linked = 0
+                self._raw.append((holder, pieces))
+                pieces = []
 
         def put(raw: str) -> None:
-            nonlocal holder, linked
-            if not raw or stack[-1][2]:
+            nonlocal holder
+            _, container, noisy, in_article, _, named = stack[-1]
+            if not raw or noisy:
                 return
-            if stack[-1][1] != holder:
+            if container != holder:
                 close_block()
-                holder = stack[-1][1]
-            text = html.unescape(raw) if "&" in raw else raw
-            pieces.append(text)
-            if links_open:
-                linked += len(text)
+                holder = container
+            pieces.append((named, links_open > 0, in_article, html.unescape(raw) if "&" in raw else raw))
 
         at, size = 0, len(source)
         while at < size:
@@ -168,8 +192,11 @@ class Page:
             if tag in _VOID or m[3].endswith("/") and tag in ("svg", "path"):
                 continue
             attributes = _attributes(m[3])
-            _, container, noisy, in_article, path = stack[-1]
+            _, container, noisy, in_article, path, named = stack[-1]
             noisy = noisy or _noise(tag, attributes, in_article)
+            if not noisy and attributes and (kind := _noise_name(tag, attributes)):
+                self._named.append((named, kind))
+                named = len(self._named) - 1
             if not noisy and len(stack) < MAX_DEPTH and tag != "html":
                 path = f"{path}>{_step(tag, attributes)}" if tag in _CONTAINERS else path
                 if tag in _CONTAINERS and not in_article:
@@ -184,9 +211,60 @@ class Page:
                 if not end:
                     continue
             links_open += tag == "a"
-            stack.append((tag, container, noisy, in_article or tag in ("article", "main"), path))
+            stack.append((tag, container, noisy, in_article or tag in ("article", "main"), path, named))
         close_block()
 
+    def _settle(self) -> None:
+        """Make blocks of what was read, without the elements that are noise."""
+        noise = self._noise()
+        for holder, pieces in self._raw:
+            kept = [p for p in pieces if p[0] < 0 or not noise[p[0]]]
+            if text := " ".join("".join(p[3] for p in kept).split()):
+                linked = sum(len(p[3]) for p in kept if p[1])
+                self.blocks.append((holder, min(linked, len(text)), text))
+        self._raw.clear()
+
+    def _noise(self) -> list[bool]:
+        """Which elements with a noisy name are noise, or inside of noise.
+
+        Those are that are mostly links, that hold a minor share of the page's text, or
+        that hold none of the article which the page marks. If little is left without
+        them, those with a fair share of the text come back.
+        """
+        count = len(self._named)
+        if not count:
+            return []
+        # of each element, and last of the text outside all: characters, in links, in an article
+        sums = [[0, 0, 0] for _ in range(count + 1)]
+        for _, pieces in self._raw:
+            for named, linked, in_article, text in pieces:
+                n = len(" ".join(text.split()))
+                own = sums[named]
+                own[0] += n
+                own[1] += n * linked
+                own[2] += n * in_article
+        left = sums[-1]
+        total, marked = sum(x[0] for x in sums), left[2]
+        for i in range(count - 1, -1, -1):
+            if (parent := self._named[i][0]) >= 0:
+                sums[parent] = [a + b for a, b in zip(sums[parent], sums[i])]
+        noise = []
+        for (parent, kind), (chars, linked, article) in zip(self._named, sums):
+            part, whole = _WRAPS[kind]
+            elsewhere = not article and marked > _LITTLE * total
+            small = chars * whole < total * part
+            noise.append(parent >= 0 and noise[parent] or 2 * linked > chars or elsewhere or small)
+        good = left[0] - left[1]
+        for i, (parent, _) in enumerate(self._named):
+            if not noise[i] and (parent < 0 or noise[parent]):
+                good += sums[i][0] - sums[i][1]
+        if good <= _LITTLE * total:
+            for i, (chars, linked, _) in enumerate(sums[:-1]):
+                if 2 * linked <= chars and chars >= 2 * _LITTLE * total:
+                    while i >= 0:
+                        noise[i], i = False, self._named[i][0]
+        return noise
+
     @staticmethod
     def _imply(stack: list[tuple], tag: str) -> None:
         """Close what an opening block ends: a paragraph, or the list item before it."""

@@ -31,3 +31,23 @@ def test_mixed_templates(spark):
     df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
     got = [r.text.split("\n") for r in extract_text(df).orderBy("page_id").collect()]
     assert got == [*[clean(BODY)] * 4, clean("Read on", BODY)]
+
+
+def test_noisy_names_of_wrappers():
+    side = "<div class=sidebar><p>Other things to read</p></div>"
+    for name in ("class=content-sidebar-wrap", "class=post-with-comments", "class=content-no-sidebar", "id=market-share", "class=widget"):
+        page = f"<body><nav><a href=x>Home</a></nav><div {name}><div class=inner><p>{INTRO}</p><p>{BODY}</p></div>{side}</div><footer>f</footer>"
+        assert text(page) == clean(INTRO, BODY), name
+    parts = f"<h1>Title</h1><div class=widget><p>{BODY}</p></div><div class=widget><p>{BODY}</p></div><div class=cookie>We use some</div>"
+    assert text(parts) == clean("Title", BODY, BODY)
+    assert text(f"<h2 id=market-share>Market share</h2><p>{BODY}</p>") == clean("Market share", BODY)
+
+
+def test_noise_stays_noise():
+    threads = f"<div class=comments><p>{BODY}</p></div>"
+    assert text(f"<article><p>{LEAD} {INTRO} {LEAD}</p></article>{threads}") == clean(f"{LEAD} {INTRO} {LEAD}")
+    assert text(f"<div><p>{BODY}</p></div>{threads}") == clean(BODY)
+    links = "<div class='related'>" + "<a href=x>Some other page</a> " * 300 + "</div>"
+    assert text(f"<p>{LEAD}</p>{links}") == clean(LEAD)
+    assert text(f"<p>Some <span class=share>Share this</span> words</p><p>{BODY}</p>") == clean("Some words", BODY)
+    assert text(f"<div role=navigation>{BODY}</div>") == [""]
