@@ -6,7 +6,9 @@ social security numbers, IP addresses, secrets, and names behind a title. An ent
 canonical form (digits of a number, lower case of an address) is put through a keyed
 permutation of all forms of its shape, letter for letter of the same script and digit
 for digit; names are drawn by key from lists by gender and script. The same entity thus
-gets the same surrogate in every document and spelling, without any table.
+gets the same surrogate in every document and spelling. A name is a word of a script; a
+given name's gender comes from all its titled mentions, and is handed on as below. A
+document's capitalised words that a titled name in it has, too, are names without a title.
 
 A surrogate could still be somebody's real entity, or two names could draw the same one.
 So the distinct entities of all documents are checked with joins: whoever collides draws
@@ -58,7 +60,7 @@ _RANGES = [(ord(a), ord(b) - ord(a) + 1) for a, b in _ALPHABETS]
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(sorted((t for ts in _TITLES.values() for t in ts), key=len, reverse=True))
 _LETTERS = "".join(_SCRIPTS.values())
-_NAME = rf"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ][{_LETTERS}’'-]+"
+_NAME = rf"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ](?:[{_LETTERS}]|-(?=[{_LETTERS}])|[’'](?=[{_LETTERS}])(?![sS](?!\w)))+"
 _PHONE = r"""(?<![\w.+-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])
        |(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d){6,12}(?![\w-])"""
 FOUND_PHONE = re.compile(_PHONE, re.X)
@@ -76,6 +78,7 @@ FOUND = re.compile(
     """,
     re.X,
 )
+_WORD = re.compile(rf"(?<!\w){_NAME}")
 #: First digits and lengths of the cards of all large issuers.
 _ISSUED = re.compile(
     r"""4(?:\d{12}|\d{15}|\d{18})  # Visa
@@ -178,15 +181,22 @@ def entity(kind: str, found: str) -> list[tuple[str, str]]:
     if kind == "secret":
         return [(kind, found)]
     if kind == "name":
-        title, *words = found.split(" ")
-        gender = next(g for g, titles in _TITLES.items() if title.rstrip(".") in titles)
-        # the last of several names is a family name, which has no gender
-        genders = [gender] * (len(words) - 1) + ["n" if len(words) > 1 else gender]
-        return [(f"name {_script(w)} {g}", w.lower()) for w, g in zip(words, genders)]
+        return [(f"name {_script(w)}", w.lower()) for w in found.split(" ")[1:]]
+    if kind == "repeat":
+        return [(f"name {_script(found)}", found.lower())]
     return [(kind, found.lower())]
 
 
-def surrogate(key: bytes, kind: str, canonical: str, draw: int) -> str:
+def _gender(kind: str, found: str, place: int) -> str | None:
+    """What a title tells of the given name at ``place``; the last name has no gender."""
+    if kind != "name":
+        return None
+    title, *words = found.split(" ")
+    gender = next(g for g, titles in _TITLES.items() if title.rstrip(".") in titles)
+    return gender if gender != "n" and place < len(words) - 1 else None
+
+
+def surrogate(key: bytes, kind: str, canonical: str, draw: int, gender: str = "n") -> str:
     """Canonical form of the surrogate; later draws are of other, in time longer, forms."""
     tweak, longer = f"{kind}|{draw}", draw // DRAWS
     if kind == "phone":
@@ -215,7 +225,7 @@ def surrogate(key: bytes, kind: str, canonical: str, draw: int) -> str:
         more = same_shape(key, tweak + canonical, "a" * longer)
         return whole.replace("@", more + "@", 1) + "." + top
     if kind.startswith("name"):
-        _, script, gender = kind.split(" ")
+        script = kind.split(" ")[1]
         names = _NAMES.get((script, gender)) or _NAMES[(script, "m")]
         digest = int.from_bytes(hmac.digest(key, f"{tweak}|{canonical}".encode(), "sha256"), "big")
         drawn = []
@@ -241,6 +251,8 @@ def _formatted(kind: str, found: str, forms: list[str]) -> str:
         return _cased(found, forms[0])
     if kind == "secret":
         return forms[0]
+    if kind == "repeat":
+        return _cased(found, forms[0])
     if kind == "name":
         title, *words = found.split(" ")
         return " ".join([title, *(_cased(w, f) for w, f in zip(words, forms))])
@@ -261,8 +273,8 @@ def _card(m: re.Match) -> tuple[int, str] | None:
     return (m.end(), "phone") if phone else None
 
 
-def mentions(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]]]]:
-    """(start, end, kind, entities) of what is found in ``text``, in order."""
+def _titled(text: str) -> Iterator[tuple[int, int, str]]:
+    """(start, end, kind) of what is found by its form, in order."""
     at = 0 if _HINT.search(text) else len(text)
     while m := FOUND.search(text, at):
         end, kind = m.end(), m.lastgroup
@@ -271,26 +283,60 @@ def mentions(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]]]]
                 at = end
                 continue
             end, kind = card
-        yield m.start(), end, kind, entity(kind, text[m.start() : end])
+        yield m.start(), end, kind
         at = end
 
 
+def _repeats(text: str, names: set[str], at: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Words of ``names`` in a part of the text; of a compound, those it is made of."""
+    for m in _WORD.finditer(text, at, end):
+        if m[0].lower() in names:
+            yield m.start(), m.end(), "repeat"
+        elif not m[0].isalpha():
+            for part in re.finditer(r"[^\W\d_]+", m[0]):
+                if part[0][0].isupper() and part[0].lower() in names:
+                    yield m.start() + part.start(), m.start() + part.end(), "repeat"
+
+
+def mentions(text: str) -> Iterator[tuple[int, int, str, list[tuple[str, str]]]]:
+    """(start, end, kind, entities) of what is found in ``text``, in order."""
+    found = list(_titled(text))
+    names = {w.lower() for start, end, kind in found if kind == "name" for w in text[start:end].split(" ")[1:]}
+    at = 0
+    for place in [*found, (len(text), len(text), "")]:
+        if names:
+            for start, end, kind in _repeats(text, names, at, place[0]):
+                yield start, end, kind, entity(kind, text[start:end])
+        if place[2]:
+            yield *place, entity(place[2], text[place[0] : place[1]])
+        at = place[1]
+
+
 def _entities(docs: DataFrame) -> DataFrame:
-    """Distinct (kind, form) of all texts."""
-    schema = StructType([StructField("kind", StringType()), StructField("form", StringType())])
+    """Distinct (kind, form) of all texts, and the gender that all its titles agree on, or "n"."""
+    schema = StructType([StructField(c, StringType()) for c in ("kind", "form", "gender")])
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
-                found = {e for t in whole.slice(at, 256).column(0).to_pylist() if t for *_, es in mentions(t) for e in es}
-                columns = [pa.array([e[i] for e in found], pa.string()) for i in range(2)]
+                found = {
+                    (*e, _gender(kind, t[start:end], i))
+                    for t in whole.slice(at, 256).column(0).to_pylist()
+                    if t
+                    for start, end, kind, es in mentions(t)
+                    for i, e in enumerate(es)
+                }
+                columns = [pa.array([e[i] for e in found], pa.string()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select("__text").mapInArrow(run, schema).distinct()
+    told = docs.select("__text").mapInArrow(run, schema)
+    least, most = F.min("gender"), F.max("gender")
+    return told.groupBy("kind", "form").agg(F.when(least == most, least).otherwise("n").alias("gender"))
 
 
 def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, form, draw) of the entities whose first surrogate is another's or real.
+    """(kind, form, gender, draw) of the entities whose first surrogate is another's or
+    real, and of names with a gender.
 
     Of those that draw the same surrogate, the first in order of form keeps it.
     """
@@ -299,10 +345,10 @@ def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
     def drawn(rows: DataFrame) -> DataFrame:
         def run(batches):
             for batch in batches:
-                new = [surrogate(key, k, f, d) for k, f, d in zip(*(c.to_pylist() for c in batch.columns))]
+                new = [surrogate(key, k, f, d, g) for k, f, g, d in zip(*(c.to_pylist() for c in batch.columns))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=schema.names)
 
-        return rows.select("kind", "form", "draw").mapInArrow(run, schema)
+        return rows.select("kind", "form", "gender", "draw").mapInArrow(run, schema)
 
     real = entities.select("kind", F.col("form").alias("new"))
     waiting = entities.withColumn("draw", F.lit(0))
@@ -315,8 +361,8 @@ def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
         first = free.groupBy("kind", "new").agg(F.min("form").alias("form"))
         first = written(first, "settled")
         waiting = now.join(first, ["kind", "new", "form"], "left_anti")
-        waiting = written(waiting.select("kind", "form", (F.col("draw") + 1).alias("draw")), "colliding")
-        draws = now.join(first, ["kind", "new", "form"], "left_semi").where("draw > 0").select("kind", "form", "draw")
+        waiting = written(waiting.select("kind", "form", "gender", (F.col("draw") + 1).alias("draw")), "colliding")
+        draws = now.join(first, ["kind", "new", "form"], "left_semi").where("draw > 0 or gender != 'n'").select("kind", "form", "gender", "draw")
         late = draws if settled is None else late.unionByName(draws)
         settled = first if settled is None else settled.unionByName(first)
         if not waiting.limit(1).count():
@@ -335,7 +381,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
     named = docs.select(F.col(text_col).cast("string").alias("__text"))
     late = exceptions(written(_entities(named), "entities"), key)
     few = late.count() <= MAX_BROADCAST_EXCEPTIONS
-    known = {(r["kind"], r["form"]): r["draw"] for r in late.toArrow().to_pylist()} if few else {}
+    known = {(r["kind"], r["form"]): (r["draw"], r["gender"]) for r in late.toArrow().to_pylist()} if few else {}
     sent = spark.sparkContext.broadcast(known)
     place, width = docs.columns.index(text_col), len(docs.columns)
     work = docs
@@ -348,7 +394,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
     def rewritten(text: str, draws: dict) -> tuple[str, int]:
         out, at, n = [], 0, 0
         for start, end, found, parts in mentions(text):
-            forms = [surrogate(key, kind, form, draws.get((kind, form), 0)) for kind, form in parts]
+            forms = [surrogate(key, kind, form, *draws.get((kind, form), (0,))) for kind, form in parts]
             out += [text[at:start], _formatted(found, text[start:end], forms)]
             at, n = end, n + 1
         return ("".join([*out, text[at:]]), n) if n else (text, 0)
@@ -362,7 +408,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
                     draws = [sent.value] * len(texts)
                 else:
                     own = batch.column(width).to_pylist()
-                    draws = [{(x["kind"], x["form"]): x["draw"] for x in xs or []} for xs in own]
+                    draws = [{(x["kind"], x["form"]): (x["draw"], x["gender"]) for x in xs or []} for xs in own]
                 new = [rewritten(t, d) if t is not None else (None, 0) for t, d in zip(texts, draws)]
                 columns = list(batch.columns[:width])
                 columns[place] = pa.array([t for t, _ in new], columns[place].type)
@@ -391,4 +437,4 @@ def _per_text(named: DataFrame, late: DataFrame) -> DataFrame:
 
     found = named.select(F.md5("__text"), "__text").toDF("__md5", "__text").mapInArrow(run, schema).distinct()
     joined = found.join(late, ["kind", "form"])
-    return joined.groupBy("__md5").agg(F.collect_list(F.struct("kind", "form", "draw")).alias("__late"))
+    return joined.groupBy("__md5").agg(F.collect_list(F.struct("kind", "form", "gender", "draw")).alias("__late"))

@@ -35,3 +35,22 @@ def test_numbers_that_are_no_cards(spark):
     assert kinds("0049 1512 3456 7890") == [("phone", "0049 1512 3456 7890")]
     valid, = replaced(spark, "card 4111111111111111")
     assert re.fullmatch(r"card \d{16}", valid) and "4111111111111111" not in valid
+
+
+def test_names_are_the_same_everywhere(spark):
+    texts = [
+        "Mr Smith met Mr John Smith. Smith's friend, SMITH, John and smithy Blacksmith stayed; Smith-led too.",
+        "Dr Anna Lee wrote. Mrs Anna Lee read, Anna agreed.",
+        "Mr Lee's house and Prof. Anna Smith",
+        "Smith and Anna without any title",
+    ]
+    first, second, third, last = replaced(spark, *texts)
+    smith, john = re.match(r"Mr (\S+) met Mr (\S+) ", first).groups()[0], re.search(r"met Mr (\S+) ", first)[1]
+    assert first == f"Mr {smith} met Mr {john} {smith}. {smith}'s friend, {smith.upper()}, {john} and smithy Blacksmith stayed; {smith}-led too."
+    anna, lee = re.match(r"Dr (\S+) (\S+) wrote", second).groups()
+    assert second == f"Dr {anna} {lee} wrote. Mrs {anna} {lee} read, {anna} agreed."
+    assert third == f"Mr {lee}'s house and Prof. {anna} {smith}"
+    assert last == texts[3] and len({smith, john, anna, lee}) == 4
+    from tallyline.llm.pii import _NAMES
+
+    assert john in _NAMES["latin", "m"] and anna in _NAMES["latin", "f"]
