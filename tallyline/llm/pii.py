@@ -61,14 +61,23 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = "|".join(sorted((t for ts in _TITLES.values() for t in ts), key=len, reverse=True))
 _LETTERS = "".join(_SCRIPTS.values())
 _NAME = rf"[A-ZÀ-ÖØ-ÞА-ЯΑ-ΩΆ-Ώ](?:[{_LETTERS}]|-(?=[{_LETTERS}])|[’'](?=[{_LETTERS}])(?![sS](?!\w)))+"
+# A name that says that its value is secret, and a value of eight characters or more: in
+# quotes, or up to a blank, quote, bracket or separator.
+_SECRET_WORD = r"""(?i:pass(?:word|wd|phrase|code|wort)|pwd|kennwort|contraseña|mot\ de\ passe|пароль|secret|token|credentials?)
+    |(?:(?<![^\W_\d])(?i:key)|(?<=[a-z])Key|(?i:(?<=api|pwd)key|(?<=auth)key|(?<=access)key|(?<=secret|master)key|(?<=private|signing)key))"""
+_ASSIGNED = rf"""(?:{_SECRET_WORD})(?:_(?i:id|base|hash|value))?\d*(?:\\?["'`]\]?)?[ \t]*(?:={{1,3}}>?|:=|:)
+    (?P<gap>[ \t]*)(?:(?P<escape>\\?)(?P<quote>["'`])(?P<quoted>(?:(?!(?P=quote))[^\s\\]){{8,}}|(?:(?!(?P=quote))\S){{8,}})(?=(?P=escape)(?P=quote))
+    |(?P<bare>(?!//|\$[{{(]|\{{\{{|\*\*)[^\s"'`<>()\[\]{{}},;&]{{8,}}+)(?![(\[{{]))"""
+#: What stands in prose behind a word with a colon, too.
+_PROSE = re.compile(r"(?i:key|secret|token|credentials?)(?!\w)[^:=]*:[ \t]+[^\W\d_]+")
 _PHONE = r"""(?<![\w.+-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])
        |(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d){6,12}(?![\w-])"""
 FOUND_PHONE = re.compile(_PHONE, re.X)
 FOUND = re.compile(
     rf"""
     (?P<email>(?<![\w.+%-])\w(?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
-    |(?P<secret>(?<=["'=:\s])(?:[0-9a-f]{{32,}}|[0-9A-F]{{32,}})(?!\w)
-       |(?<=[Tt]oken\ =\ ")[^"\s]{{8,}}(?=")|(?<=[Ss]ecret\ =\ ")[^"\s]{{8,}}(?=")|(?<=[Kk]ey\ =\ ")[^"\s]{{8,}}(?="))
+    |(?P<secret>(?<![^"'`=:\s])[0-9A-Fa-f]{{32,}}(?!\w))
+    |(?P<assigned>{_ASSIGNED})
     |(?P<iban>(?<!\w)[A-Z]{{2}}\d\d(?:\ ?[A-Z0-9]{{4}}){{3,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?!\w))
     |(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d\d-\d{{4}}(?![\w-]))
@@ -91,7 +100,7 @@ _ISSUED = re.compile(
     re.X,
 )
 #: What any entity must contain; texts without it are passed on unread.
-_HINT = re.compile(rf"[@\d]|(?<!\w)(?:{_TITLE})(?!\w)|(?:[0-9a-fA-F]{{32}})")
+_HINT = re.compile(rf"[@\d]|(?<!\w)(?:{_TITLE})(?!\w)|(?:[0-9a-fA-F]{{32}})|{_SECRET_WORD}", re.X)
 _COUNTRY = re.compile(r"(?:\+|00)(\d{1,3}?)(?=[ .(-])|(?:\+|00)(1|7|\d\d)")
 
 
@@ -212,10 +221,12 @@ def surrogate(key: bytes, kind: str, canonical: str, draw: int, gender: str = "n
     if kind == "iban":
         return canonical[:2] + same_shape(key, tweak, canonical[2:].lower()).upper()
     if kind == "secret":
-        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", canonical):
+        if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+|[0-9A-Fa-f]{32,}", canonical):
             symbols = permuted(key, tweak, [int(c, 16) for c in canonical], [16] * len(canonical))
             text = "".join("0123456789abcdef"[s] for s in symbols)
-            return text.upper() if canonical.upper() == canonical else text
+            if canonical.upper() == canonical:
+                return text.upper()
+            return "".join(n.upper() if c.isupper() else n for c, n in zip(canonical, text))
         swapped = same_shape(key, tweak, canonical.lower())
         return "".join(n.upper() if c.isupper() else n for c, n in zip(canonical, swapped))
     if kind == "email":
@@ -273,6 +284,21 @@ def _card(m: re.Match) -> tuple[int, str] | None:
     return (m.end(), "phone") if phone else None
 
 
+def _value(m: re.Match) -> tuple[int, int] | None:
+    """Where the secret of an assignment is; none if its value is prose or of another kind."""
+    start, end = m.span("quoted")
+    if start < 0:
+        start, end = m.span("bare")
+        end = start + len(m["bare"].rstrip(".:!?"))
+        before = m.string[: m.start()][-1:]
+        if end - start < 8 or not (before == "_" or before == "-") and _PROSE.fullmatch(m.string, m.start(), end):
+            return None
+    other = FOUND.fullmatch(m.string, start, end)
+    if other and other.lastgroup not in ("secret", "assigned"):
+        return None
+    return start, end
+
+
 def _titled(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of what is found by its form, in order."""
     at = 0 if _HINT.search(text) else len(text)
@@ -283,6 +309,13 @@ def _titled(text: str) -> Iterator[tuple[int, int, str]]:
                 at = end
                 continue
             end, kind = card
+        if kind == "assigned":
+            if (value := _value(m)) is None:
+                at = max(m.start("quoted"), m.start("bare"))
+                continue
+            yield *value, "secret"
+            at = value[1]
+            continue
         yield m.start(), end, kind
         at = end
 

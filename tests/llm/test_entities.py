@@ -54,3 +54,30 @@ def test_names_are_the_same_everywhere(spark):
     from tallyline.llm.pii import _NAMES
 
     assert john in _NAMES["latin", "m"] and anna in _NAMES["latin", "f"]
+
+
+SECRETS = [
+    'token = "{}"', 'Secret = "{}"', 'password = "{}"', 'API_KEY="{}"', "key: '{}'", "PASSWORD={}", "password: {}", "apiKey: `{}`",
+    "client_secret:{}", '{{"access_token": "{}"}}', "db-password => '{}'", "token={}&x=y", "pwd := {}.", "Mot de passe : {}", 'authkey={}',
+    '\\"secret\\": \\"{}\\"', "token = {}",
+]
+
+
+@pytest.mark.parametrize("form", SECRETS)
+def test_secrets_in_texts_without_digits(form):
+    for value in ("correcthorsebattery", "Aq+/xZ-_kLmN=="):
+        assert kinds(form.format(value)) == [("secret", value)]
+
+
+def test_hashes(spark):
+    low, mixed = "d41d8cd98f00b204e9800998ecf8427e", "D41d8cd98F00b204e9800998ecf8427e"
+    assert kinds(f"{low} at the start") == [("secret", low)] and kinds(f"is {mixed}") == [("secret", mixed)]
+    new, = replaced(spark, f"is {mixed}")
+    assert re.fullmatch(r"is [0-9a-fA-F]{32}", new) and mixed not in new
+
+
+def test_no_secrets():
+    for text in ("The key: understanding each other", "monkey = 'orangutans'", "keyboard: 'mechanical'", "key = short", "token = readToken()",
+                 "password: ${FROM_ENVIRONMENT}", "secretary: somebody", "the password is forgotten"):
+        assert kinds(text) == [], text
+    assert kinds("key: ann@mail.example") == [("email", "ann@mail.example")]
