@@ -73,20 +73,20 @@ _PROSE = re.compile(r"(?i:key|secret|token|credentials?)(?!\w)[^:=]*:[ \t]+[^\W\
 _PHONE = r"""(?<![\w.+-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])
        |(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d){6,12}(?![\w-])"""
 FOUND_PHONE = re.compile(_PHONE, re.X)
-FOUND = re.compile(
-    rf"""
+_FOUND = rf"""
     (?P<email>(?<![\w.+%-])\w(?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
     |(?P<secret>(?<![^"'`=:\s])[0-9A-Fa-f]{{32,}}(?!\w))
-    |(?P<assigned>{_ASSIGNED})
     |(?P<iban>(?<!\w)[A-Z]{{2}}\d\d(?:\ ?[A-Z0-9]{{4}}){{3,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?!\w))
     |(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d\d-\d{{4}}(?![\w-]))
     |(?P<card>(?<![\w.+-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -]\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-]))
     |(?P<phone>{_PHONE})
     |(?P<name>(?<!\w)(?:{_TITLE})\.?\ {_NAME}(?:\ {_NAME}){{0,2}})
-    """,
-    re.X,
-)
+    """
+#: Assignments are read only in texts with a word for a secret, as they are slow to look for.
+FOUND = re.compile(rf"{_FOUND}|(?P<assigned>{_ASSIGNED})", re.X)
+FOUND_UNASSIGNED = re.compile(_FOUND, re.X)
+_SECRET_PARTS = "pass pwd kennwort contraseña пароль secret token credential key".split()
 _WORD = re.compile(rf"(?<!\w){_NAME}")
 #: First digits and lengths of the cards of all large issuers.
 _ISSUED = re.compile(
@@ -100,7 +100,7 @@ _ISSUED = re.compile(
     re.X,
 )
 #: What any entity must contain; texts without it are passed on unread.
-_HINT = re.compile(rf"[@\d]|(?<!\w)(?:{_TITLE})(?!\w)|(?:[0-9a-fA-F]{{32}})|{_SECRET_WORD}", re.X)
+_HINT = re.compile(rf"[@\d]|(?<!\w)(?:{_TITLE})(?!\w)|(?:[0-9a-fA-F]{{32}})")
 _COUNTRY = re.compile(r"(?:\+|00)(\d{1,3}?)(?=[ .(-])|(?:\+|00)(1|7|\d\d)")
 
 
@@ -301,8 +301,11 @@ def _value(m: re.Match) -> tuple[int, int] | None:
 
 def _titled(text: str) -> Iterator[tuple[int, int, str]]:
     """(start, end, kind) of what is found by its form, in order."""
-    at = 0 if _HINT.search(text) else len(text)
-    while m := FOUND.search(text, at):
+    small = text.lower()
+    told = ("=" in text or ":" in text) and any(w in small for w in _SECRET_PARTS)
+    find = (FOUND if told else FOUND_UNASSIGNED).search
+    at = 0 if told or _HINT.search(text) else len(text)
+    while m := find(text, at):
         end, kind = m.end(), m.lastgroup
         if kind == "card":
             if (card := _card(m)) is None:
