@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyline.llm.byte_bpe import bpe_round_trip
 from tallyline.llm.chat_windows import format_chat, read_back
@@ -14,8 +15,11 @@ from tallyline.llm.fingerprints import edited_fingerprints
 from tallyline.llm.html_consensus import extract_text
 from tallyline.llm.jaccard_join import jaccard_components
 from tallyline.llm.mixing import mix_plan
+from tallyline.llm.periodic_runs import run_digests, with_repeats
 from tallyline.llm.pii import replace_pii
+from tallyline.llm.spelling import letter_runs, spelling_forms, with_misspellings, word_counts
 from tallyline.llm.token_counts import token_counts
+from tallyline.llm.topk_search import top_k
 from tallyline.llm.toxicity import toxicity
 from tallyline.llm.vector_dedup import vector_dedup
 
@@ -73,6 +77,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of all texts, of which every tenth gets a repeated end first."""
+    return run_digests(with_repeats(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forms of all words, of which one occurrence in 199 loses a letter first."""
+    runs = letter_runs(table(spark, sf_dir, "documents"))
+    return spelling_forms(word_counts(with_misspellings(runs)))
+
+
+def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def registered() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -85,4 +104,7 @@ def registered() -> dict[str, Query]:
         "op8_fingerprints": op8_fingerprints,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_toxicity": op10_toxicity,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_spelling": op12_spelling,
+        "op13_topk_search": op13_topk_search,
     }

@@ -24,5 +24,5 @@ def test_stages_keep_columns(spark):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.registered()) == list(range(1, 14))
     assert set(oracle.statements()) <= set(queries.registered())
