@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, DoubleType, StringType
 
 from tallyline import operators as ops
-from tallyline.functions import as_double, as_int, as_timestamp
+from tallyline.functions import as_double, as_int, as_timestamp, cast_expr
 from tallyline.plans import (
+    LAYER_DATABASES,
     PUBLISHED,
     TABLES,
     Lazy,
@@ -20,7 +21,7 @@ from tallyline.plans import (
     seller_classification,
 )
 from tallyline.session import scratch_dir, tune
-from tallyline.sources import FEEDS, export_csv, feed_path, ingest, read_feed
+from tallyline.sources import FEEDS, USUAL_NULLS, export_csv, feed_path, ingest, read_feed
 
 from .standins import feeds, table
 
@@ -85,6 +86,12 @@ def _work_dir(spark: SparkSession, sf_dir: str) -> str:
     return f"{scratch_dir(spark)}/tallyline/{spark.sparkContext.applicationId}/{tag}"
 
 
+def _databases(sf_dir: str) -> dict[str, str]:
+    """A database per layer, apart from those of other inputs."""
+    tag = hashlib.md5(sf_dir.encode()).hexdigest()[:8]
+    return {layer: f"{database}_{tag}" for layer, database in LAYER_DATABASES.items()}
+
+
 def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The whole pipeline built from stored feeds, once per application."""
     key = (spark.sparkContext.applicationId, sf_dir)
@@ -93,7 +100,9 @@ def warehouse(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         lazy = feeds(spark, sf_dir)
         for name in FEEDS:
             lazy.feed(name).write.mode("overwrite").parquet(feed_path(f"{root}/feeds", name))
-        _built[key] = build(spark, f"{root}/feeds", f"{root}/warehouse")
+        _built[key] = build(
+            spark, f"{root}/feeds", f"{root}/warehouse", databases=_databases(sf_dir)
+        )
     return _built[key]
 
 
@@ -286,54 +295,58 @@ def kpi_change(spark, sf_dir):
 
 
 def quality_report(spark, sf_dir):
+    """Ten checks; those on order_id share one aggregation, those on review rows one pass."""
     lazy = feeds(spark, sf_dir)
+    built = warehouse(spark, sf_dir)
     n_rows = F.count(F.lit(1))
 
     def flagged(column):
         return F.count(F.when(F.col(column), 1))
 
+    items, orders, reviews = "stg_olist_order_items", "stg_olist_orders", "stg_olist_order_reviews"
+    by_order = ops.key_outcomes(
+        {
+            items: ops.Keyed(lazy[items], part=("order_item_id",)),
+            orders: ops.Keyed(lazy[orders], segment="order_status"),
+            "delivered": ops.Keyed(_delivered(lazy)),
+            reviews: ops.Keyed(lazy[reviews]),
+        },
+        ["order_id"],
+        [
+            ops.KeyCheck("duplicates", items, 0),
+            ops.KeyCheck("orphans", items, 0.5, "delivered"),
+            ops.KeyCheck("many_to_many", items, 0, reviews),
+            ops.KeyCheck("retention", orders, 50, reviews),
+        ],
+    )
+    raw = lazy.feed("olist_order_reviews")
+    read = {"review_score": "int", "review_creation_date": "timestamp", "review_answer_timestamp": "timestamp"}
+    both = raw.select(
+        F.col("review_score").alias("given"),
+        *[F.expr(cast_expr(raw, c, kind)).alias(c) for c, kind in read.items()],
+    )
+    score = F.col("review_score")
+    by_review = ops.row_outcomes(
+        both,
+        reviews,
+        F.col("review_creation_date"),
+        flags={
+            "given": F.col("given").isNotNull(),
+            "lost": F.col("given").isNotNull() & score.isNull(),
+            "outside": score.isNull() | (score < 2) | (score > 4),
+        },
+        shares={"cast_loss": ("lost", "given", "review_score", 0.05)},
+        totals={"domain_violations": ("outside", "review_score", 0)},
+        drift={c: F.col(c).isNull() for c in ("review_score", "review_answer_timestamp")},
+        drift_by=0.02,
+        drift_label="review_score",
+    )
+    # what the cast loses was in the feed, not in the staged table
+    fed = F.when(F.col("check") == "cast_loss", "olist_order_reviews").otherwise(F.col("table"))
     return ops.quality_report(
         [
-            ops.outcome(
-                duplicates(lazy),
-                "duplicates",
-                "stg_olist_order_items",
-                "order_id,order_item_id",
-                n_rows,
-                0,
-            ),
-            ops.outcome(
-                orphans(lazy),
-                "orphans",
-                "stg_olist_order_items",
-                "order_id",
-                F.max("orphan_rate"),
-                0.5,
-            ),
-            ops.outcome(
-                join_cardinality(lazy),
-                "many_to_many",
-                "stg_olist_order_items",
-                "order_id",
-                F.max("many_to_many_keys"),
-                0,
-            ),
-            ops.outcome(
-                cast_loss(lazy).filter(F.col("column") == "review_score"),
-                "cast_loss",
-                "olist_order_reviews",
-                "review_score",
-                F.max("loss_rate"),
-                0.05,
-            ),
-            ops.outcome(
-                null_drift(lazy),
-                "null_drift",
-                "stg_olist_order_reviews",
-                "review_score",
-                flagged("drifted"),
-                0,
-            ),
+            by_order,
+            by_review.withColumn("table", fed),
             ops.outcome(
                 volume_anomalies(spark, sf_dir),
                 "volume_anomalies",
@@ -345,39 +358,84 @@ def quality_report(spark, sf_dir):
             ops.outcome(
                 calendar_gaps(lazy),
                 "calendar_gaps",
-                "stg_olist_orders",
+                orders,
                 "order_purchase_timestamp",
                 n_rows,
                 0,
             ),
             ops.outcome(
-                retention(lazy),
-                "retention",
-                "stg_olist_orders",
-                "order_id",
-                F.lit(100.0) - F.min("retained_pct"),
-                50,
-            ),
-            ops.outcome(
-                reconcile_measure(lazy).filter(F.col("status") != "ok"),
+                reconcile_measure(built).filter(F.col("status") != "ok"),
                 "reconcile_measure",
                 "mart_seller_sales",
                 "total_revenue_usd,total_freight_charged_usd",
                 n_rows,
                 0,
             ),
-            ops.outcome(
-                domain_violations(lazy),
-                "domain_violations",
-                "stg_olist_order_reviews",
-                "review_score",
-                F.sum("n_rows"),
-                0,
-            ),
         ]
     )
 
 
+def lineage_upstream(spark, sf_dir):
+    """From a mart back to the feeds: where its keys were lost."""
+    built = warehouse(spark, sf_dir)
+    stored = {name: read_feed(spark, f"{_work_dir(spark, sf_dir)}/feeds", name) for name in FEEDS}
+    return ops.lineage_upstream({**built, **stored}, "mart_seller_sales")
+
+
+def kpi_change_sets(spark, sf_dir):
+    tune(spark, sf_dir)
+    events = table(spark, sf_dir, "events").withColumns(
+        {
+            "user_group": (F.col("user_id") % 3).cast("int"),
+            "half": F.when(F.hour("ts") < 12, "am").otherwise("pm"),
+        }
+    )
+    return ops.kpi_change_sets(
+        events, "value", "ts", segments=["event_type", "user_group", "half"], **PERIODS
+    )
+
+
+def profile_merged(spark, sf_dir):
+    """A profile from stored daily sketches, and whether it is as near the exact one as
+    four standard errors."""
+    tune(spark, sf_dir)
+    events = table(spark, sf_dir, "events")
+    columns = ["event_id", "user_id", "event_type", "value", "ts"]
+    path = f"{_work_dir(spark, sf_dir)}/sketches"
+    ops.day_sketches(events, "ts", columns).write.mode("overwrite").parquet(path)
+    merged = ops.merged_profile(spark.read.parquet(path))
+    exact = ops.column_profile(events.select(*columns), distinct="exact")
+    off = F.abs(F.col("distinct_count") - F.col("distinct_exact"))
+    return (
+        merged.join(exact.select("column_name", F.col("distinct_count").alias("distinct_exact")), "column_name")
+        .withColumn("within_error", off <= 4 * ops.SKETCH_ERROR * F.col("distinct_exact"))
+        .drop("distinct_count", "distinct_error")
+    )
+
+
+def catalog_inventory(spark, sf_dir):
+    """The tables of a build as the catalog lists them, one database per layer."""
+    warehouse(spark, sf_dir)
+    return ops.catalog_inventory(spark, _databases(sf_dir))
+
+
+def schema_changes(spark, sf_dir):
+    """Reviews as fed, as staged, and as a later version with other columns."""
+    lazy = feeds(spark, sf_dir)
+    staged = lazy["stg_olist_order_reviews"]
+    later = staged.drop("review_comment_title").withColumns(
+        {
+            "review_score": F.col("review_score").cast("double"),
+            "review_dates": F.struct("review_creation_date", "review_answer_timestamp"),
+        }
+    )
+    root = f"{_work_dir(spark, sf_dir)}/versions"
+    versions = {"v1": lazy.feed("olist_order_reviews"), "v2": staged, "v3": later}
+    for name, df in versions.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    return ops.schema_changes(spark, {name: f"{root}/{name}" for name in versions})
+
+
 # --- sources and sinks -----------------------------------------------------------
 
 
@@ -403,6 +461,85 @@ def csv_ingest_roundtrip(spark, sf_dir):
     return read_feed(spark, f"{root}/ingested", "olist_order_reviews")
 
 
+def adhoc_csv(spark, sf_dir):
+    """A CSV file by its path in FROM, with quoted line breaks, commas and quotes."""
+    root = f"{_work_dir(spark, sf_dir)}/adhoc/reviews.csv"
+    text = F.concat_ws("\n", "review_comment_message", F.concat(F.lit('said "'), "review_comment_title", F.lit('", twice')))
+    (
+        feeds(spark, sf_dir)
+        .feed("olist_order_reviews")
+        .select("review_id", "order_id", "review_score", text.alias("message"), "review_creation_date")
+        .write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .csv(root)
+    )
+    return ops.explore(
+        spark,
+        f"""
+        SELECT review_score, count(*) AS n_reviews, count(DISTINCT order_id) AS n_orders,
+               max(review_id) AS last_review,
+               CAST(max(review_creation_date) AS timestamp_ntz) AS last_created,
+               sum(length(message)) AS n_chars,
+               count_if(contains(message, '\\n') AND contains(message, '", twice')) AS n_broken
+        FROM '{root}'  -- not FROM 'comments.csv'
+        GROUP BY review_score
+        """,
+    )
+
+
+def adhoc_json(spark, sf_dir):
+    """JSON by its path in FROM and JOIN: nested objects, and lists that are unnested."""
+    root = f"{_work_dir(spark, sf_dir)}/adhoc"
+    events = table(spark, sf_dir, "events")
+    tune(spark, sf_dir)
+    events.select(
+        "event_id",
+        F.struct(F.col("user_id").alias("id"), (F.col("user_id") % 7).alias("team")).alias("user"),
+        F.array(F.struct(F.col("event_type").alias("kind"), "value")).alias("marks"),
+    ).write.mode("overwrite").json(f"{root}/events.json")
+    teams = events.select((F.col("user_id") % 7).alias("team")).where("team != 3").distinct()
+    teams.select("team", F.concat(F.lit("team "), "team").alias("name")).write.mode(
+        "overwrite"
+    ).json(f"{root}/teams.json")
+    return ops.explore(
+        spark,
+        f"""
+        SELECT t.name, m.kind, count(*) AS n_events, sum(m.value) AS total
+        FROM {ops.relation(f"{root}/events.json", multiLine="false")} e
+        LEFT JOIN '{root}/teams.json' t ON t.team = e.user.team
+        LATERAL VIEW explode(e.marks) AS m
+        GROUP BY t.name, m.kind
+        """,
+    )
+
+
+def ingest_null_spellings(spark, sf_dir):
+    """Reviews and orders through ingest, with texts that stand for NULL in their feeds."""
+    root, lazy = _work_dir(spark, sf_dir), feeds(spark, sf_dir)
+    for name in ("olist_order_reviews", "olist_orders"):
+        lazy.feed(name).write.mode("overwrite").option("header", True).option("escape", '"').csv(
+            f"{root}/spelled/{name}.csv"
+        )
+    ingest(
+        spark,
+        {name: f"{root}/spelled/{name}.csv" for name in ("olist_order_reviews", "olist_orders")},
+        f"{root}/unspelled",
+        {
+            "olist_order_reviews": {"*": USUAL_NULLS, "review_comment_title": ["view"]},
+            "olist_orders": {"order_status": ["shipped", "lost"]},
+        },
+    )
+    orders = read_feed(spark, f"{root}/unspelled", "olist_orders")
+    reviews = read_feed(spark, f"{root}/unspelled", "olist_order_reviews")
+
+    def counts(df: DataFrame, name: str) -> DataFrame:
+        profile = ops.column_profile(df, distinct="exact")
+        return profile.select(F.lit(name).alias("feed"), "column_name", "row_count", "null_count", "distinct_count")
+
+    return counts(orders, "olist_orders").unionByName(counts(reviews, "olist_order_reviews"))
+
+
 def _contents(df: DataFrame) -> DataFrame:
     """Number of rows and a sum of their hashes; CSV has no empty texts but nulls."""
     columns = [
@@ -464,6 +601,14 @@ QUERIES: dict[str, Query] = {
     "domain_allowed": _over_feeds(domain_allowed),
     "kpi_change": kpi_change,
     "quality_report": quality_report,
+    "lineage_upstream": lineage_upstream,
+    "kpi_change_sets": kpi_change_sets,
+    "profile_merged": profile_merged,
+    "schema_changes": schema_changes,
+    "catalog_inventory": catalog_inventory,
+    "adhoc_csv": adhoc_csv,
+    "adhoc_json": adhoc_json,
+    "ingest_null_spellings": ingest_null_spellings,
     "csv_ingest_roundtrip": csv_ingest_roundtrip,
     "marts_export": marts_export,
 }

@@ -868,5 +868,162 @@ _RAW["quality_report"] = (
 )
 
 
+# Walking back from a mart; a step's keys are counted once, whatever the number of ways.
+_RAW["lineage_upstream"] = (
+    f"""
+        WITH RECURSIVE counts AS ({_union(_edge(e) for e in _LINEAGE.strip().splitlines())}),
+        ways AS (
+          SELECT 1 AS depth, parent, child, [child, parent] AS path FROM counts
+          WHERE child = 'mart_seller_sales'
+          UNION ALL
+          SELECT depth + 1, c.parent, c.child, list_append(path, c.parent)
+          FROM ways w JOIN counts c ON c.child = w.parent),
+        steps AS (SELECT * FROM ways JOIN counts USING (parent, child))
+        SELECT depth, parent, child, array_to_string(path, ' < ') AS path,
+               coalesce(parent_rows, 0)::BIGINT AS parent_rows,
+               coalesce(child_rows, 0)::BIGINT AS child_rows,
+               parent_keys, child_keys, keys_lost, keys_gained,
+               keys_lost > 0 AND NOT EXISTS (
+                 FROM steps n WHERE n.keys_lost > 0 AND len(n.path) < len(s.path)
+                  AND n.path = s.path[1 : len(n.path)]) AS first_loss
+        FROM steps s""",
+    "",
+)
+
+_RAW["kpi_change_sets"] = (
+    f"""
+        SELECT concat_ws(',', CASE WHEN grouping(event_type) = 0 THEN 'event_type' END,
+                         CASE WHEN grouping(user_group) = 0 THEN 'user_group' END,
+                         CASE WHEN grouping(half) = 0 THEN 'half' END) AS grouped_by,
+               event_type, user_group, half, sum(p) AS previous, sum(c) AS current,
+               sum(c) - sum(p) AS change,
+               100.0::DOUBLE * (sum(c) - sum(p)) / nullif(sum(p), 0) AS change_pct,
+               100.0::DOUBLE * (sum(c) - sum(p))
+                 / nullif((SELECT sum(v) FILTER (now) - sum(v) FILTER (NOT now) FROM (
+                     SELECT value AS v, {_CURRENT} AS now FROM events
+                     WHERE ({_CURRENT}) OR ({_PREVIOUS}))), 0) AS share_of_change_pct,
+               100.0::DOUBLE * sum(p)
+                 / nullif((SELECT sum(value) FROM events WHERE {_PREVIOUS}), 0) AS weight_pct
+        FROM (SELECT event_type, (user_id % 3)::INTEGER AS user_group,
+                     CASE WHEN hour(ts) < 12 THEN 'am' ELSE 'pm' END AS half,
+                     CASE WHEN {_CURRENT} THEN value ELSE 0 END AS c,
+                     CASE WHEN {_PREVIOUS} THEN value ELSE 0 END AS p
+              FROM events WHERE ({_CURRENT}) OR ({_PREVIOUS}))
+        GROUP BY CUBE (event_type, user_group, half)""",
+    "previous current change change_pct share_of_change_pct weight_pct",
+)
+
+
+def _merged(position: int, column: str, kind: str) -> str:
+    return f"""
+        SELECT '{column}' AS column_name, {position} AS ordinal, '{kind}' AS data_type,
+               count(*) AS row_count, count(*) - count({column}) AS null_count,
+               min({column})::VARCHAR AS min_value, max({column})::VARCHAR AS max_value,
+               count(DISTINCT {column}) AS distinct_exact, true AS within_error
+        FROM events"""
+
+
+_RAW["profile_merged"] = (
+    _union(
+        _merged(i, *column)
+        for i, column in enumerate(
+            (
+                ("event_id", "bigint"),
+                ("user_id", "bigint"),
+                ("event_type", "string"),
+                ("value", "double"),
+                ("ts", "timestamp_ntz"),
+            ),
+            1,
+        )
+    ),
+    "",
+)
+
+_KINDS = """CASE {0} WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int'
+            WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DOUBLE' THEN 'double' END"""
+_REVIEW_COLUMNS = (
+    "review_id order_id review_score review_comment_title review_comment_message"
+    " review_creation_date review_answer_timestamp"
+).split()
+
+
+def _type_of(column: str, source: str) -> str:
+    return f" SELECT '{column}' AS c, any_value(typeof({column})) AS t FROM {source}"
+
+
+# The third version is stated by what its definition does to the second.
+_RAW["schema_changes"] = (
+    f"""
+        WITH v1 AS ({_union(_type_of(c, "olist_order_reviews") for c in _REVIEW_COLUMNS)}),
+        v2 AS ({_union(_type_of(c, "stg_olist_order_reviews") for c in _REVIEW_COLUMNS)}),
+        v3 AS (SELECT c, CASE c WHEN 'review_score' THEN 'DOUBLE' ELSE t END AS t FROM v2
+               WHERE c <> 'review_comment_title'
+               UNION ALL SELECT 'review_dates', 'struct'
+               UNION ALL SELECT 'review_dates.' || c, t FROM v2
+                         WHERE c IN ('review_creation_date', 'review_answer_timestamp')),
+        steps AS (SELECT 'v2' AS version, * FROM (SELECT c, t AS was FROM v1) FULL JOIN (SELECT c, t AS now FROM v2) USING (c)
+                  UNION ALL
+                  SELECT 'v3', * FROM (SELECT c, t AS was FROM v2) FULL JOIN (SELECT c, t AS now FROM v3) USING (c))
+        SELECT version, c AS column_name,
+               CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'missing' ELSE 'type' END AS change,
+               coalesce({_KINDS.format("was")}, was) AS was, coalesce({_KINDS.format("now")}, now) AS now
+        FROM steps WHERE was IS DISTINCT FROM now""",
+    "",
+)
+
+_RAW["catalog_inventory"] = _RAW["table_inventory"]
+
+_RAW["adhoc_csv"] = (
+    """
+        SELECT review_score, count(*) AS n_reviews, count(DISTINCT order_id) AS n_orders,
+               max(review_id::INTEGER) AS last_review,
+               max(review_creation_date::TIMESTAMP) AS last_created,
+               sum(len(concat_ws(chr(10), review_comment_message,
+                                 'said "' || review_comment_title || '", twice')))::BIGINT AS n_chars,
+               count(*) FILTER (review_comment_message IS NOT NULL AND review_comment_title IS NOT NULL) AS n_broken
+        FROM olist_order_reviews GROUP BY review_score""",
+    "",
+)
+
+_RAW["adhoc_json"] = (
+    """
+        SELECT CASE WHEN user_id % 7 <> 3 THEN 'team ' || (user_id % 7) END AS name,
+               event_type AS kind, count(*) AS n_events, sum(value) AS total
+        FROM events GROUP BY ALL""",
+    "total",
+)
+
+
+def _spelled(feed: str, column: str, nulls: str) -> str:
+    value = f"CASE WHEN coalesce({column}, '') NOT IN ({nulls}) THEN {column} END"
+    return f"""
+        SELECT '{feed}' AS feed, '{column}' AS column_name, count(*) AS row_count,
+               count(*) - count({value}) AS null_count, count(DISTINCT {value}) AS distinct_count
+        FROM {feed}"""
+
+
+_RAW["ingest_null_spellings"] = (
+    _union(
+        [
+            *[
+                _spelled(
+                    "olist_order_reviews",
+                    c,
+                    "'', 'n/a', 'NA', 'N/A', 'NULL', 'null', 'None', 'nan', 'NaN'"
+                    + (", 'view'" if c == "review_comment_title" else ""),
+                )
+                for c in _REVIEW_COLUMNS
+            ],
+            *[
+                _spelled("olist_orders", c, "'', 'shipped'" if c == "order_status" else "''")
+                for c in _ORDER_COLUMNS
+            ],
+        ]
+    ),
+    "",
+)
+
+
 def statements() -> dict[str, str]:
     return {name: sql(query, tuple(doubles.split())) for name, (query, doubles) in _RAW.items()}

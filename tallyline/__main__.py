@@ -15,7 +15,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from .plans import TABLES, build
-from .sources import FEEDS, export_csv, ingest
+from .sources import FEEDS, USUAL_NULLS, export_csv, ingest
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -24,6 +24,9 @@ def _parser() -> argparse.ArgumentParser:
     command = commands.add_parser("ingest", help="CSV feeds to Parquet")
     command.add_argument("--input-dir", required=True)
     command.add_argument("--output-dir", default="data/olist")
+    command.add_argument(
+        "--usual-nulls", action="store_true", help='take "NA", "n/a", "NULL" and the like for NULL'
+    )
     command = commands.add_parser("build", help="rebuild every table")
     command.add_argument("--raw-dir", default="data/olist")
     command.add_argument("--warehouse-dir", default="data/warehouse")
@@ -38,7 +41,8 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tallyline").getOrCreate()
     if args.command == "ingest":
         paths = {name: f"{args.input_dir}/{feed.csv_name}" for name, feed in FEEDS.items()}
-        for name, rows in ingest(spark, paths, args.output_dir).items():
+        nulls = {name: {"*": USUAL_NULLS} for name in paths} if args.usual_nulls else None
+        for name, rows in ingest(spark, paths, args.output_dir, nulls).items():
             print(f"{name}: {rows} rows")
         return 0
     if args.command == "build":

@@ -25,6 +25,29 @@ def neighbours(spark: SparkSession, table: str, edges=None) -> DataFrame:
     return up.unionByName(down)
 
 
+def upstream(spark: SparkSession, table: str, edges=None, most_steps: int = 50) -> DataFrame:
+    """Every way from ``table`` back to its sources: (depth, parent, child, path), a row per step.
+
+    Depth counts steps up from ``table``, whose own parents have depth 1; ``path`` lists
+    the tables from ``table`` to ``parent``. A table that several ways lead to has a row
+    for each of them. A way ends at a table without parents, and before one that it has
+    been at already, so steps in a circle end, too. Ways of more than ``most_steps`` steps
+    raise an error.
+    """
+    known = spark.createDataFrame(list(edges or pipeline_edges()), "parent string, child string")
+    walk = """
+        WITH RECURSIVE ways (depth, parent, child, path) MAX RECURSION LEVEL {limit} AS (
+            SELECT 1, parent, child, array(child, parent) FROM {edges}
+            WHERE child = :start AND parent != child
+            UNION ALL
+            SELECT depth + 1, e.parent, e.child, array_append(path, e.parent)
+            FROM ways w JOIN {edges} e ON e.child = w.parent
+            WHERE NOT array_contains(path, e.parent))
+        SELECT depth, parent, child, path FROM ways
+        """
+    return spark.sql(walk, {"start": table}, edges=known.distinct(), limit=most_steps + 1)
+
+
 @dataclass(frozen=True)
 class Edge:
     """A step of the pipeline and how its two tables correspond.
@@ -254,3 +277,47 @@ def reconcile_lineage(
         "child_measure",
         (F.col("child_measure") - F.col("parent_measure")).alias("measure_drift"),
     )
+
+
+def lineage_upstream(
+    tables: Mapping[str, DataFrame], table: str, edges: Iterable[Edge] = (*MODEL_EDGES, *FEED_EDGES)
+) -> DataFrame:
+    """The ways from ``table`` to its feeds, with the keys and rows lost on each step.
+
+    One row per step and way (``path`` as text, from ``table`` to the step's parent), with
+    the columns of ``reconcile_lineage``. ``first_loss`` marks the step where a way meets
+    lost keys first, coming from ``table``: no step of that way nearer to it loses any.
+    Only the edges on some way are reconciled, each table read once.
+    """
+    known = list(edges)
+    above, reached = {table}, {table}
+    while reached := {e.parent for e in known if e.child in reached} - above:
+        above |= reached
+    chosen = [e for e in known if e.child in above]
+    if not chosen:
+        raise ValueError(f"no edge leads to {table!r}")
+    spark = next(iter(tables.values())).sparkSession
+    ways = upstream(spark, table, [(e.parent, e.child) for e in chosen])
+    counts = reconcile_lineage(tables, chosen).drop("parent_measure", "child_measure")
+    steps = ways.join(counts, ["parent", "child"])
+    # a way's steps nearer to the table are those whose path its own path starts with
+    lossy = steps.where("keys_lost > 0").select(F.col("path").alias("lossy"))
+    nearer = steps.join(
+        lossy,
+        (F.size("lossy") < F.size("path"))
+        & (F.slice("path", F.lit(1), F.size("lossy")) == F.col("lossy")),
+        "left_semi",
+    ).select("path", F.lit(True).alias("nearer"))
+    return steps.join(nearer, "path", "left").select(
+        "depth",
+        "parent",
+        "child",
+        F.array_join("path", " < ").alias("path"),
+        "parent_rows",
+        "child_rows",
+        "parent_keys",
+        "child_keys",
+        "keys_lost",
+        "keys_gained",
+        ((F.col("keys_lost") > 0) & F.col("nearer").isNull()).alias("first_loss"),
+    )

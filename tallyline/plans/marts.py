@@ -108,7 +108,7 @@ def mart_obt_customers(
             F.sum("n_review_ids").alias("total_reviews"),
         )
     )
-    return dim_customers.join(unclustered(activity, "customer_sk"), "customer_sk", "left").select(
+    return dim_customers.join(activity, "customer_sk", "left").select(
         *dim_customers.columns,
         *_or_zero("total_orders", *sums),
         "first_order_date",
@@ -212,19 +212,11 @@ def mart_obt_orders(
     )
 
 
-def mart_obt_sellers(
-    dim_sellers: DataFrame, fct_order_items: DataFrame, review_totals: DataFrame
-) -> DataFrame:
+def mart_obt_sellers(dim_sellers: DataFrame, reviewed_items: DataFrame) -> DataFrame:
     """One row per seller. Without sales ``total_delayed_orders`` and the averages
     are NULL while the other totals are 0. Scores weigh in once per item sold."""
     activity = (
-        fct_order_items.join(
-            review_totals.select("order_id", "n_scored", "score_sum", "n_negative"),
-            "order_id",
-            "left",
-        )
-        .groupBy("seller_sk")
-        .agg(
+        reviewed_items.groupBy("seller_sk").agg(
             F.count_distinct("order_id").alias("total_orders"),
             F.count("order_item_sk").alias("total_items_sold"),
             F.sum("item_price_usd").alias("total_revenue_usd"),
@@ -236,7 +228,7 @@ def mart_obt_sellers(
         )
     )
     late_pct = ratio(F.col("total_delayed_orders") * 100.0, F.col("total_orders"))
-    return dim_sellers.join(unclustered(activity, "seller_sk"), "seller_sk", "left").select(
+    return dim_sellers.join(activity, "seller_sk", "left").select(
         *dim_sellers.columns,
         *_or_zero(
             "total_orders",
@@ -268,14 +260,6 @@ def mart_payment_profiles(fct_order_payments: DataFrame, fct_orders: DataFrame)
     )
 
 
-def _per_review(items: DataFrame, review_totals: DataFrame) -> DataFrame:
-    """Items with their order's review totals and the number of rows each item
-    would have after a left join to the reviews: one per review, at least one."""
-    return items.join(review_totals, "order_id", "left").withColumn(
-        "copies", F.coalesce("n_reviews", F.lit(1))
-    )
-
-
 def _fan_out_sum(measure: str) -> Column:
     return F.sum(F.col(measure) * F.col("copies"))
 
@@ -284,9 +268,7 @@ def _fan_out_count(column: str) -> Column:
     return F.sum(F.when(F.col(column).isNotNull(), F.col("copies")).otherwise(0))
 
 
-def mart_product_performance(
-    fct_order_items: DataFrame, dim_products: DataFrame, review_totals: DataFrame
-) -> DataFrame:
+def mart_product_performance(reviewed_items: DataFrame, dim_products: DataFrame) -> DataFrame:
     """Sold products. Units, revenue and freight count an item once per review of
     its order.
 
@@ -302,9 +284,7 @@ def mart_product_performance(
         "total_negative_reviews",
     ]
     sales = (
-        _per_review(fct_order_items, review_totals)
-        .groupBy("product_sk")
-        .agg(
+        reviewed_items.groupBy("product_sk").agg(
             _fan_out_count("order_item_sk").alias("total_units_sold"),
             _fan_out_sum("item_price_usd").alias("total_revenue_usd"),
             _fan_out_sum("freight_value_usd").alias("total_freight_generated_usd"),
@@ -324,8 +304,7 @@ def mart_product_performance(
     ]
     # The second grouping only merges rows if the dimension repeats a product.
     return (
-        unclustered(sales, "product_sk")
-        .join(
+        sales.join(
             dim_products.withColumnRenamed("product_category_english", "product_category"),
             "product_sk",
         )
@@ -342,15 +321,11 @@ def mart_product_performance(
     )
 
 
-def mart_seller_sales(
-    fct_order_items: DataFrame, dim_sellers: DataFrame, review_totals: DataFrame
-) -> DataFrame:
+def mart_seller_sales(reviewed_items: DataFrame, dim_sellers: DataFrame) -> DataFrame:
     """Sellers with sales, counting an item once per review of its order (orders
     stay distinct). ``delay_rate_pct`` is a fraction here, not a percentage."""
     sales = (
-        _per_review(fct_order_items, review_totals)
-        .groupBy("seller_sk")
-        .agg(
+        reviewed_items.groupBy("seller_sk").agg(
             F.count_distinct("order_id").alias("total_orders"),
             _fan_out_count("order_item_sk").alias("total_items_sold"),
             _fan_out_sum("item_price_usd").alias("total_revenue_usd"),
@@ -369,8 +344,7 @@ def mart_seller_sales(
     sums = [c for c in sales.columns if c not in ("seller_sk", "total_orders")]
     # As for products: regrouping merges rows only for a repeated seller.
     return (
-        unclustered(sales, "seller_sk")
-        .join(
+        sales.join(
             dim_sellers.withColumnsRenamed({"city": "seller_city", "state": "seller_state"}),
             "seller_sk",
         )

@@ -44,8 +44,9 @@ TABLES: dict[str, Table] = {
             star.fct_orders,
         )
     },
-    # Shared input of five marts; stored for the build, not a published table.
+    # Shared inputs of marts; stored for the build, not published tables.
     "review_totals": _from_parents("work", star.review_totals),
+    "reviewed_items": _from_parents("work", star.reviewed_items),
     **{
         f.__name__: _from_parents("marts", f)
         for f in (
@@ -128,8 +129,7 @@ def build(
     Staging stays a view; intermediate tables and marts are rewritten as Parquet
     under ``out_root/<layer>/<table>`` and later tables read them back from there,
     so each is computed once and a lost executor costs at most one table's work.
-    Tables of one layer do not depend on each other and are written by ``threads``
-    concurrent jobs.
+    Tables whose parents are all there are written by ``threads`` concurrent jobs.
 
     With ``databases`` (layer -> database, e.g. ``{"marts": "marts"}``) the layers
     are registered in the catalog too; a layer left out goes to the current
@@ -149,9 +149,9 @@ def build(
         return name, spark.read.parquet(path)
 
     with ThreadPoolExecutor(threads) as pool:
-        for layers in (("intermediate", "work"), ("marts",)):
-            names = [n for n, t in TABLES.items() if t.layer in layers]
-            tables.update(pool.map(write, names))
+        while waiting := [n for n in TABLES if n not in tables]:
+            ready = [n for n in waiting if all(p in tables for p in TABLES[n].parents)]
+            tables.update(pool.map(write, ready))
 
     if databases is not None:
         _register(spark, lazy, raw_root, out_root, databases)

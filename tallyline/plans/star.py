@@ -211,3 +211,26 @@ def review_totals(stg_olist_order_reviews: DataFrame) -> DataFrame:
         F.max("review_creation_date").alias("last_created"),
     )
     return unclustered(totals, "order_id")
+
+
+def reviewed_items(fct_order_items: DataFrame, review_totals: DataFrame) -> DataFrame:
+    """Items with their order's review totals, for the marts that count items by seller
+    or product. Stored once, it spares each of them the join of the largest fact.
+
+    ``copies`` is the number of rows an item has after a left join to the reviews: one
+    per review, at least one.
+    """
+    items = fct_order_items.select(
+        "order_item_sk",
+        "order_id",
+        "seller_sk",
+        "product_sk",
+        "item_price_usd",
+        "freight_value_usd",
+        "actual_delivery_duration_days",
+        "is_delivery_delayed",
+    )
+    totals = review_totals.drop("n_review_ids", "max_score", "last_created")
+    return items.join(totals, "order_id", "left").withColumn(
+        "copies", F.coalesce("n_reviews", F.lit(1))
+    )

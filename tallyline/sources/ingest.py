@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import logging
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..session import put_in_place
 from .readers import feed_path
-from .records import CSV_OPTIONS, OUT_OF_PLACE, read_csv_records
 from .schemas import FEEDS
 
-log = logging.getLogger(__name__)
+CSV_OPTIONS = {"quote": '"', "escape": '"', "mode": "FAILFAST"}
+
+#: The texts that data frames' CSV readers usually take for a missing value.
+USUAL_NULLS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+    "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 
 def read_csv_feed(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -40,30 +46,45 @@ def _store(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
+def nulls_for(df: DataFrame, spellings: Mapping[str, Sequence[str]]) -> DataFrame:
+    """NULL for the listed texts, column by column; a list under "*" goes for all text columns."""
+    every = tuple(spellings.get("*", ()))
+    unknown = sorted(set(spellings) - {"*", *df.columns})
+    if unknown:
+        raise KeyError(f"null spellings for unknown columns {unknown}")
+    columns = []
+    for f in df.schema:
+        listed = [*every, *spellings.get(f.name, ())] if isinstance(f.dataType, StringType) else []
+        value = F.col(f"`{f.name}`")
+        columns.append(F.when(~value.isin(*listed), value).alias(f.name) if listed else value)
+    return df.select(*columns)
+
+
 def ingest(
-    spark: SparkSession, csv_paths: dict[str, str], output_dir: str = "data/olist"
+    spark: SparkSession,
+    csv_paths: dict[str, str],
+    output_dir: str = "data/olist",
+    null_spellings: Mapping[str, Mapping[str, Sequence[str]]] | None = None,
 ) -> dict[str, int]:
     """Write every named feed to ``output_dir/{name}.parquet``, replacing it.
 
     ``csv_paths`` maps a feed name to a file, directory or glob. Returns the row
     count per feed, observed during the write itself. The first failure ends the
-    run and leaves the feed's old table. A feed with free text is read by records, split
-    like any other; should its quoting not allow that, and for no other error, it is
-    read again file by file, with a warning.
+    run and leaves the feed's old table. Of a feed with free text, a file is read by one
+    task, as its records may span lines; the other feeds' files are split.
+
+    An empty field is NULL. ``null_spellings`` names more texts that stand for NULL, per
+    feed and column (``{"olist_orders": {"*": USUAL_NULLS}}`` for all columns of a feed).
+    They are replaced after parsing, whether the field was quoted or not, and only where
+    the whole field is equal. By default there are none, so that "n/a" in a number column
+    arrives as text and ``operators.cast_loss`` can count it.
     """
-    unknown = sorted(set(csv_paths) - set(FEEDS))
+    spellings = null_spellings or {}
+    unknown = sorted({*csv_paths, *spellings} - set(FEEDS))
     if unknown:
         raise KeyError(f"unknown feeds {unknown}")
     counts = {}
     for name, path in csv_paths.items():
-        target = feed_path(output_dir, name)
-        if FEEDS[name].free_text:
-            try:
-                counts[name] = _store(read_csv_records(spark, path, FEEDS[name].schema), target)
-                continue
-            except Exception as error:
-                if OUT_OF_PLACE not in str(error):
-                    raise
-                log.warning("%s: reading whole files, as %s", path, OUT_OF_PLACE)
-        counts[name] = _store(read_csv_feed(spark, path, name), target)
+        rows = nulls_for(read_csv_feed(spark, path, name), spellings.get(name, {}))
+        counts[name] = _store(rows, feed_path(output_dir, name))
     return counts

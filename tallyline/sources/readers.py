@@ -34,7 +34,7 @@ def read_file(spark: SparkSession, path: str, fmt: str | None = None, schema=Non
 
     Pass ``schema`` for large CSV and JSON input: without it Spark reads the
     files once more to infer one. CSV fields may hold quoted line breaks, so a CSV
-    file is read by one task; ``read_csv_records`` reads strictly quoted ones by splits.
+    file is read by one task; give a large table as many files, or convert it once.
     """
     fmt = fmt or path.rstrip("/").rsplit(".", 1)[-1].lower()
     if fmt not in FILE_FORMATS:
