@@ -30,9 +30,8 @@ from pyspark.sql.types import (
     StructField,
 )
 
-from tallyline.llm.common import map_texts, read_vocabulary
+from tallyline.llm.common import map_texts, read_vocabulary, release_memory, trimmed
 from tallyline.llm.token_counts import (
-    MAX_REMEMBERED,
     MAX_REMEMBERED_CHARS,
     STREAMED_CHARS,
     WIDE_SPACE,
@@ -80,40 +79,35 @@ class ByteBPE:
             add_prefix_space=False, trim_offsets=False, use_regex=False
         )
         self.pieces = regex.compile(spelt_out(pattern))
-        self.by_piece: dict[str, bytes] = {}
+        self.by_piece = Remembered()
         self.after_space = Remembered(lambda stretch: self._cut(" " + stretch))
         self.bytes_of = {rank: token for token, rank in ranks.items()}
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of the pieces, those not remembered by one call of the library."""
+        """The ids of the pieces that aren't remembered, by one call of the library."""
         known = self.by_piece
-        if len(known) + len(pieces) > MAX_REMEMBERED:
-            known.clear()
-        new = [p for p in pieces if p not in known]
+        new = [p for p in pieces if p not in known and not known.found_again(p)]
         once = {}
         if new:
             found = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
             ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids)
             cuts = np.searchsorted(words, np.arange(len(new) + 1))
             for i, piece in enumerate(new):
-                part = ids[cuts[i] : cuts[i + 1]].tobytes()
-                (known if len(piece) <= MAX_REMEMBERED_CHARS else once)[piece] = part
+                once[piece] = ids[cuts[i] : cuts[i + 1]].tobytes()
+                known.keep(piece, once[piece])
         return once
 
     def _cut(self, text: str) -> bytes:
         found = []
         for part in self._parts(text):
             once = self._learn({p for p in part if p not in self.by_piece})
-            if not once and all(map(self.by_piece.__contains__, part)):
-                found.append(b"".join(map(self.by_piece.__getitem__, part)))
-            else:  # the table was emptied, or long pieces
-                found += [once[p] if p in once else self._one(p) for p in part]
+            known = self.by_piece.get
+            found += [once.get(p) or known(p) or self._one(p) for p in part]
         return b"".join(found)
 
     def _one(self, piece: str) -> bytes:
-        if piece not in self.by_piece:
-            return self._learn({piece}).get(piece) or self.by_piece[piece]
-        return self.by_piece[piece]
+        """A piece that was forgotten meanwhile."""
+        return self._learn({piece}).get(piece) or self.by_piece[piece]
 
     def _parts(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, some at a time."""
@@ -130,9 +124,13 @@ class ByteBPE:
         narrow = [len(t) <= STREAMED_CHARS and not WIDE_SPACE.search(t) for t in texts]
         spaced = [t.split(" ") if ok else [""] for t, ok in zip(texts, narrow)]
         fresh = {s for stretches in spaced for s in stretches[1:]}
-        fresh = {s for s in fresh if s not in self.after_space}
-        new = {p for s in fresh for p in self.pieces.findall(" " + s)}
-        self._learn({p for p in new if p not in self.by_piece and len(p) <= MAX_REMEMBERED_CHARS})
+        fresh = [s for s in fresh if s not in self.after_space and not self.after_space.found_again(s)]
+        cut = [self.pieces.findall(" " + s) for s in fresh]
+        once = self._learn({p for parts in cut for p in parts if p not in self.by_piece})
+        known = self.by_piece.get
+        for s, parts in zip(fresh, cut):
+            ids = [once.get(p) or known(p) or self._one(p) for p in parts]
+            self.after_space.keep(s, b"".join(ids))
         stretch = self.after_space.__getitem__
         return [
             self._cut(s[0]) + b"".join(map(stretch, s[1:])) if ok else self._cut(t)
@@ -163,6 +161,7 @@ def coder(data: bytes, pattern: str) -> ByteBPE:
     if (key := hash((data, pattern))) not in _coders:
         _coders.clear()
         _coders[key] = ByteBPE(read_ranks(data), pattern)
+        release_memory()  # of the many merges that the library was given
     return _coders[key]
 
 
@@ -218,7 +217,7 @@ def bpe_decode(
     from pyspark.sql.types import StructType
 
     schema = StructType([id_field, StructField("bytes", BinaryType()), StructField("text", StringType())])
-    return encoded.select(id_col, F.col(ids_col).cast("array<int>")).mapInArrow(run, schema)
+    return encoded.select(id_col, F.col(ids_col).cast("array<int>")).mapInArrow(trimmed(run), schema)
 
 
 def bpe_round_trip(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,6 +50,32 @@ def read_vocabulary(path: str) -> bytes:
     return data
 
 
+def release_memory() -> None:
+    """Hands memory that this process has freed back to the machine, where it can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` for the batches of a task, after which its worker keeps no freed memory.
+
+    Workers wait for further tasks, also of other operators; what one task needed would
+    otherwise stay with them and add up over the stages of a pipeline.
+    """
+
+    def run_and_release(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return run_and_release
+
+
 def map_texts(
     df: DataFrame,
     id_col: str,
@@ -79,4 +107,4 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     texts = F.col(text_col).cast("string").alias("__text")
-    return df.select(F.col(id_col).alias("__id"), texts).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("__id"), texts).mapInArrow(trimmed(run), schema)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tallyline.llm.common import written
+from tallyline.llm.common import trimmed, written
 
 #: Links in a written file, about, and links that a task contracts at a time.
 LINKS_PER_FILE = 200_000
@@ -55,7 +55,7 @@ def _contracted(pairs: DataFrame, chunk: int) -> DataFrame:
         if held:
             yield links()
 
-    return pairs.mapInArrow(run, pairs.schema).distinct()
+    return pairs.mapInArrow(trimmed(run), pairs.schema).distinct()
 
 
 def _apart(least: DataFrame) -> DataFrame:

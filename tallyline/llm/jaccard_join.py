@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from tallyline.llm.common import written
+from tallyline.llm.common import trimmed, written
 from tallyline.llm.components import connected_components
 from tallyline.llm.shingles import shingle_sets
 
@@ -95,7 +95,7 @@ def _each_text(
             arrays = [pa.array(c, t) for c, t in zip(columns, arrow)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(trimmed(run), schema)
 
 
 def _short(shingles: np.ndarray) -> bytes:
@@ -242,7 +242,7 @@ def _postings(groups: DataFrame, frequent) -> DataFrame:
                 arrays = [pa.array(c.astype(np.int64 if x in ("shingle", "gid") else np.int32)) for c, x in zip(columns, names)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return groups.select("prefix", "gid", "n").mapInArrow(run, schema)
+    return groups.select("prefix", "gid", "n").mapInArrow(trimmed(run), schema)
 
 
 _UNIT = ["shingle", "low", "high"]
@@ -276,7 +276,7 @@ def _lists(postings: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep))
 
     ordered = postings.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    return ordered.mapInArrow(run, postings.schema)
+    return ordered.mapInArrow(trimmed(run), postings.schema)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -314,7 +314,7 @@ def _in_units(rows: DataFrame, order: list[str], make, schema: StructType) -> Da
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(unit)], names=schema.names)
 
     ordered = rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, *order)
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(trimmed(run), schema)
 
 
 def _near_in_size(rule: Similarity, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -410,7 +410,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, fits, read=_long) -> DataFrame:
                     ok.append(fits(int((q[spot] == p).sum()), n, m))
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return both.select("a", "b", "x", "y", "n", "m").mapInArrow(run, _PAIR)
+    return both.select("a", "b", "x", "y", "n", "m").mapInArrow(trimmed(run), _PAIR)
 
 
 def _only(rows: DataFrame, keys: DataFrame, on: list[str], few: bool) -> DataFrame:

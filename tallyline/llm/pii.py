@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from tallyline.llm.common import written
+from tallyline.llm.common import trimmed, written
 
 #: Exceptions that are broadcast, at most; beyond, they are joined per text.
 MAX_BROADCAST_EXCEPTIONS = 500_000
@@ -365,7 +365,7 @@ def _entities(docs: DataFrame) -> DataFrame:
                 columns = [pa.array([e[i] for e in found], pa.string()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    told = docs.select("__text").mapInArrow(run, schema)
+    told = docs.select("__text").mapInArrow(trimmed(run), schema)
     least, most = F.min("gender"), F.max("gender")
     return told.groupBy("kind", "form").agg(F.when(least == most, least).otherwise("n").alias("gender"))
 
@@ -384,7 +384,7 @@ def exceptions(entities: DataFrame, key: bytes) -> DataFrame:
                 new = [surrogate(key, k, f, d, g) for k, f, g, d in zip(*(c.to_pylist() for c in batch.columns))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(new, pa.string())], names=schema.names)
 
-        return rows.select("kind", "form", "gender", "draw").mapInArrow(run, schema)
+        return rows.select("kind", "form", "gender", "draw").mapInArrow(trimmed(run), schema)
 
     real = entities.select("kind", F.col("form").alias("new"))
     waiting = entities.withColumn("draw", F.lit(0))
@@ -452,7 +452,7 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
                     columns.append(pa.array([n for _, n in new], pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return work.mapInArrow(run, schema)
+    return work.mapInArrow(trimmed(run), schema)
 
 
 def _per_text(named: DataFrame, late: DataFrame) -> DataFrame:
@@ -471,6 +471,6 @@ def _per_text(named: DataFrame, late: DataFrame) -> DataFrame:
                 columns = [pa.array([r[i] for r in rows], pa.string()) for i in range(3)]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    found = named.select(F.md5("__text"), "__text").toDF("__md5", "__text").mapInArrow(run, schema).distinct()
+    found = named.select(F.md5("__text"), "__text").toDF("__md5", "__text").mapInArrow(trimmed(run), schema).distinct()
     joined = found.join(late, ["kind", "form"])
     return joined.groupBy("__md5").agg(F.collect_list(F.struct("kind", "form", "gender", "draw")).alias("__late"))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Callable
 from heapq import heapify, heappop, heappush
 
@@ -33,9 +34,12 @@ PIECES = (
 )
 #: A space beside other white space.
 WIDE_SPACE = re.compile(r" \s|\s ")
-#: Pieces and stretches remembered per worker process, and the longest of them.
-MAX_REMEMBERED = 500_000
+#: Bytes of memory that a worker process keeps pieces in, as many for stretches, and the
+#: characters of the longest ones kept.
+MAX_REMEMBERED_BYTES = 48 << 20
 MAX_REMEMBERED_CHARS = 64
+#: Bytes of a table's entry besides its key and value, at most.
+ENTRY_BYTES = 110
 #: Texts beyond this many characters are cut into pieces one by one, not into a list.
 STREAMED_CHARS = 1 << 22
 
@@ -87,18 +91,43 @@ def merges_needed(symbols: list[int], ranks: dict[int, int], made: list[int]) ->
 
 
 class Remembered(dict):
-    """Values by short string, computed on demand; emptied when it is full."""
+    """Values by short string, those used lately, in a bounded number of bytes.
 
-    def __init__(self, compute: Callable[[str], object]):
+    There are two tables: this one, and the one before. When this one holds half of the
+    bytes, it becomes the one before, and what was only there is forgotten; a value that
+    is found there moves back into this one.
+    """
+
+    def __init__(self, compute: Callable[[str], object] | None = None, most: int | None = None):
         super().__init__()
         self.compute = compute
+        self.most = MAX_REMEMBERED_BYTES if most is None else most
+        self.before: dict[str, object] = {}
+        self.held = 0
+
+    def keep(self, key: str, value: object) -> None:
+        if len(key) > MAX_REMEMBERED_CHARS:
+            return
+        size = sys.getsizeof(key) + sys.getsizeof(value) + ENTRY_BYTES
+        if 2 * (self.held + size) > self.most:
+            self.before = dict(self)
+            self.clear()
+            self.held = 0
+        self[key] = value
+        self.held += size
+
+    def found_again(self, key: str) -> bool:
+        """Whether the table before has the key; it is then in this one."""
+        if key not in self.before:
+            return False
+        self.keep(key, self.before[key])
+        return key in self
 
     def __missing__(self, key: str):
-        value = self.compute(key)
-        if len(key) <= MAX_REMEMBERED_CHARS:
-            if len(self) >= MAX_REMEMBERED:
-                self.clear()
-            self[key] = value
+        value = self.before.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.keep(key, value)
         return value
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tallyline.llm.common import trimmed
+
 #: Words in a window and between the starts of two.
 WINDOW = 32
 STRIDE = 24
@@ -40,7 +42,7 @@ BATCH = 256
 #: Sizes: word vector, trigram vector, trigram table, state of one direction, attention.
 WORD_SIZE, TRIGRAM_SIZE, TRIGRAMS, STATE, ATTENTION = 8, 8, 4_096, 8, 8
 #: Words remembered per worker process, windows scored at a time, characters cut at a time.
-MAX_REMEMBERED = 300_000
+MAX_REMEMBERED = 150_000
 WINDOWS_AT_ONCE = 2_048
 CHARS_AT_ONCE = 1 << 21
 #: Labelled documents of this many residues are the test fold.
@@ -443,7 +445,7 @@ def score_texts(docs: DataFrame, net: Network, text_col: str = "text", score_col
                 columns = [*batch.columns, pa.array(scorer.scores(texts), pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
