@@ -33,7 +33,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table: later jobs read files that outlive any executor."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    read = df.sparkSession.read.schema(df.schema).parquet(path)
+    read._scratch_path = path
+    return read
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes what ``written`` wrote, once no other plan reads it any more."""
+    for table in tables:
+        spark, path = table.sparkSession, getattr(table, "_scratch_path", None)
+        if path:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def field(df: DataFrame, column: str, name: str | None = None) -> StructField:

@@ -13,7 +13,8 @@ in three rounds. In long lists, first neighbours in a few random orders are comp
 everybody with the members that got most links, what the others are copies of: that
 connects most of what is alike with a number of pairs in proportion to the list. Then all
 lists compare all pairs that aren't connected yet. Lists of very frequent shingles are cut
-into blocks that meet pairwise, so no task holds a list however long.
+into blocks that meet pairwise, by the number of their own entries, so no task holds a list
+however long.
 
 Any order of the shingles gives the same links, so their frequencies, counted over all
 documents, may be lower bounds: each task keeps a bounded summary of frequent shingles.
@@ -27,11 +28,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tallyline.llm.common import trimmed, written
+from tallyline.llm.common import discard, trimmed, written
 from tallyline.llm.components import connected_components
 from tallyline.llm.shingles import shingle_sets
 
@@ -45,16 +46,14 @@ FREQUENT_COUNT = 8
 #: Lists longer than this connect neighbours first, in so many random orders.
 LONG_LIST = 32
 ORDERS = 8
+#: Long lists, its rarest ones, that a group takes part in for that, and hubs of a list, each
+#: the best of the groups with one remainder of their number.
+LISTS_PER_GROUP = 4
+HUBS = 4
 #: Rounds of contraction in between: parts of components are enough there.
 ROUNDS_BETWEEN = 2
-#: Hubs of a long list, each the best of the groups with one remainder of their number.
-HUBS = 8
 #: Groups of a list that meet in one task; longer lists are cut into blocks.
 BLOCK = 4_096
-#: Bytes of a shingle's hash that the comparison of two sets uses. Two sets of 1,000 have a
-#: chance of one in a million to take some two shingles for equal; it is the only place where
-#: less than 64 bits decide.
-COMPARED_BYTES = 5
 #: Members whose texts are picked by a broadcast, at most; beyond, by a shuffle.
 MAX_BROADCAST_MEMBERS = 1_000_000
 
@@ -80,7 +79,7 @@ def _each_text(
     compute: Callable[[Iterator[tuple[list, list[np.ndarray]]]], Iterator[list]],
 ) -> DataFrame:
     """Rows that ``compute`` makes of (ids, shingle sets) of some documents at a time."""
-    names, types = schema.names, {"LongType": pa.int64(), "IntegerType": pa.int32(), "BinaryType": pa.binary()}
+    names, types = schema.names, {"LongType": pa.int64(), "BinaryType": pa.binary()}
     arrow = [types[type(f.dataType).__name__] for f in schema]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -98,20 +97,8 @@ def _each_text(
     return docs.select("id", "text").mapInArrow(trimmed(run), schema)
 
 
-def _short(shingles: np.ndarray) -> bytes:
-    """Five bytes of each hash: enough to tell apart the shingles of two documents."""
-    return shingles.view(np.uint8).reshape(-1, 8)[:, :COMPARED_BYTES].tobytes()
-
-
-def _long(data) -> np.ndarray:
-    """Sorted numbers from ``_short``."""
-    out = np.zeros((len(data) // COMPARED_BYTES, 8), np.uint8)
-    out[:, :COMPARED_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, COMPARED_BYTES)
-    return np.sort(out.view(np.int64).ravel())
-
-
 def _whole(data) -> np.ndarray:
-    """The shingles of a prefix, sorted."""
+    """A set's shingles, or those of a prefix, sorted."""
     return np.sort(np.frombuffer(data, np.int64))
 
 
@@ -213,73 +200,48 @@ def _members(docs: DataFrame, frequent, rule: Similarity) -> DataFrame:
     return found.groupBy("n", "sig").agg(F.min("id").alias("rep"), F.max("prefix").alias("prefix"))
 
 
-def _postings(groups: DataFrame, frequent) -> DataFrame:
-    """A row per group and prefix shingle: (shingle, low, high, block, gid, n, pos).
-
-    The list of a shingle is cut into blocks by its count; (low, high) are two blocks
-    that meet, and a row goes to each unit that its own block is part of.
-    """
-    names = ["shingle", "low", "high", "block", "gid", "n", "pos"]
-    schema = StructType([StructField(c, LongType() if c in ("shingle", "gid") else IntegerType()) for c in names])
+def _postings(groups: DataFrame) -> DataFrame:
+    """(shingle, gid, place) per group and prefix shingle; ``place`` is n << 32 | position."""
+    schema = StructType([StructField(c, LongType()) for c in ("shingle", "gid", "place")])
 
     def run(batches):
-        keys, counts = frequent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 parts = [np.frombuffer(p, np.int64) for p in batch.column("prefix").to_pylist()]
                 lengths = np.array([len(p) for p in parts])
-                shingle = np.concatenate(parts)
                 gid = np.repeat(batch.column("gid").to_numpy(), lengths)
                 n = np.repeat(batch.column("n").to_numpy(), lengths)
-                pos = np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                blocks = np.maximum(1, -(-_looked_up(shingle, keys, counts) // BLOCK))
-                block = (gid * 0x9E3779B1 >> 7) % blocks
-                copies = np.repeat(np.arange(len(shingle)), blocks)
-                other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                own = block[copies]
-                columns = [shingle[copies], np.minimum(own, other), np.maximum(own, other), own, gid[copies], n[copies], pos[copies]]
-                arrays = [pa.array(c.astype(np.int64 if x in ("shingle", "gid") else np.int32)) for c, x in zip(columns, names)]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                pos = np.arange(len(gid)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                columns = [np.concatenate(parts), gid, n << 32 | pos]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=schema.names)
 
     return groups.select("prefix", "gid", "n").mapInArrow(trimmed(run), schema)
 
 
-_UNIT = ["shingle", "low", "high"]
+def _lists(postings: DataFrame) -> DataFrame:
+    """The postings of shingles with more than one, and how many each shingle has."""
+    length = F.count(F.lit(1)).over(Window.partitionBy("shingle"))
+    return postings.withColumn("length", length).where("length > 1")
 
 
-def _same_unit(columns: dict[str, np.ndarray], a, b) -> np.ndarray:
-    same = columns["shingle"][a] == columns["shingle"][b]
-    return same & (columns["low"][a] == columns["low"][b]) & (columns["high"][a] == columns["high"][b])
+def _blocks(length: Column) -> Column:
+    """Blocks of a list, each of about BLOCK groups."""
+    return F.ceil(length / F.lit(BLOCK)).cast("int")
 
 
-def _lists(postings: DataFrame) -> DataFrame:
-    """The postings of units with more than one row."""
-    names = postings.columns
+def _block() -> Column:
+    return F.pmod(F.xxhash64("gid"), _blocks(F.col("length"))).cast("int")
 
-    def run(batches):
-        last = None  # the row before, if it hasn't been passed on yet; or its unit
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is not None:
-                batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
-            columns = {c: batch.column(c).to_numpy() for c in _UNIT}
-            n = batch.num_rows
-            joined = _same_unit(columns, slice(0, n - 1), slice(1, n))
-            keep = np.append(False, joined) | np.append(joined, False)
-            if last is not None:
-                keep[0] = joined[0] if n > 1 and not passed else False
-            passed = bool(keep[-1]) or (n == 1 and last is not None and passed)
-            last = batch.slice(n - 1, 1)
-            # the last row is passed on now if it joins the one before, else once it is joined
-            yield batch.filter(pa.array(keep))
-
-    ordered = postings.repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    return ordered.mapInArrow(trimmed(run), postings.schema)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+
+def _same_unit(columns: dict[str, np.ndarray], unit: list[str], a, b) -> np.ndarray:
+    same = columns[unit[0]][a] == columns[unit[0]][b]
+    for c in unit[1:]:
+        same = same & (columns[c][a] == columns[c][b])
+    return same
+
+
+def _runs(batches: Iterator[pa.RecordBatch], names: list[str], unit: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Whole units of rows sorted by unit, many at a time; a unit is bounded by its blocks."""
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
@@ -287,8 +249,8 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
             continue
         columns = {c: batch.column(c).to_numpy() for c in names}
         n = batch.num_rows
-        changes = np.flatnonzero(~_same_unit(columns, slice(0, n - 1), slice(1, n)))
-        if held and not _same_unit({c: np.append(held[-1][c][-1:], columns[c][:1]) for c in names}, 0, 1):
+        changes = np.flatnonzero(~_same_unit(columns, unit, slice(0, n - 1), slice(1, n)))
+        if held and not _same_unit({c: np.append(held[-1][c][-1:], columns[c][:1]) for c in unit}, unit, 0, 1):
             yield {c: np.concatenate([h[c] for h in held]) for c in names}
             held = []
         if not len(changes):
@@ -305,15 +267,15 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[
 _PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-def _in_units(rows: DataFrame, order: list[str], make, schema: StructType) -> DataFrame:
+def _in_units(rows: DataFrame, unit: list[str], order: list[str], make, schema: StructType) -> DataFrame:
     """What ``make`` finds in whole units, many of them at a time."""
     names = rows.columns
 
     def run(batches):
-        for unit in _runs(batches, names):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(unit)], names=schema.names)
+        for found in _runs(batches, names, unit):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in make(found)], names=schema.names)
 
-    ordered = rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT, *order)
+    ordered = rows.repartition(*unit).sortWithinPartitions(*unit, *order)
     return ordered.mapInArrow(trimmed(run), schema)
 
 
@@ -322,38 +284,42 @@ def _near_in_size(rule: Similarity, n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def _long_lists(lists: DataFrame) -> DataFrame:
-    long = lists.groupBy(*_UNIT).count().where(F.col("count") > LONG_LIST).drop("count")
-    return lists.join(long, _UNIT)
+    """(shingle, block, gid, n): each group's place in the rarest of its long lists."""
+    own = Window.partitionBy("gid").orderBy(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)), "shingle")
+    long = lists.where(F.col("length") > LONG_LIST).withColumn("rank", F.row_number().over(own))
+    n = F.shiftright("place", 32).alias("n")
+    return long.where(F.col("rank") <= LISTS_PER_GROUP).select("shingle", _block().alias("block"), "gid", n)
 
 
 def _neighbour_pairs(long: DataFrame, rule: Similarity) -> DataFrame:
     """Neighbours in long lists, ordered by one of a few hashes of the group."""
+    unit = ["shingle", "block"]
     order = F.xxhash64("gid", F.pmod("shingle", F.lit(ORDERS)))
 
-    def make(unit):
-        n = len(unit["gid"])
-        ok = _same_unit(unit, slice(0, n - 1), slice(1, n))
-        ok &= _near_in_size(rule, unit["n"][:-1].astype(np.int64), unit["n"][1:].astype(np.int64))
-        a, b = unit["gid"][:-1][ok], unit["gid"][1:][ok]
+    def make(rows):
+        n = len(rows["gid"])
+        ok = _same_unit(rows, unit, slice(0, n - 1), slice(1, n))
+        ok &= _near_in_size(rule, rows["n"][:-1].astype(np.int64), rows["n"][1:].astype(np.int64))
+        a, b = rows["gid"][:-1][ok], rows["gid"][1:][ok]
         return np.minimum(a, b), np.maximum(a, b)
 
-    ordered = long.withColumn("order", order)
-    return _in_units(ordered, ["order"], make, _PAIR).distinct()
+    return _in_units(long.withColumn("order", order), unit, ["order"], make, _PAIR).distinct()
 
 
 def _hub_pairs(long: DataFrame, links: DataFrame, rule: Similarity) -> DataFrame:
     """Each group of a long list with the list's hubs.
 
-    Hubs are groups with most links so far: what many are copies of.
+    Hubs are groups with most links so far: what many are copies of. They connect the
+    blocks of a list, too.
     """
     ends = links.select(F.col("a").alias("gid")).unionAll(links.select("b"))
     degrees = ends.groupBy("gid").agg(F.count("*").alias("degree"))
-    placed = long.select(*_UNIT, "gid", "n")
+    placed = long.select("shingle", "gid", "n")
     share = F.pmod(F.xxhash64("gid"), F.lit(HUBS)).alias("share")
     rank = F.struct("degree", "gid", "n")
-    hubs = placed.join(degrees, "gid").groupBy(*_UNIT, share).agg(F.max(rank).alias("hub")).drop("share")
+    hubs = placed.join(degrees, "gid").groupBy("shingle", share).agg(F.max(rank).alias("hub")).drop("share")
     near = rule.den * F.least("n", "hub.n") >= rule.num * F.greatest("n", "hub.n")
-    met = placed.join(hubs, _UNIT).where(near & (F.col("gid") != F.col("hub.gid")))
+    met = placed.join(hubs, "shingle").where(near & (F.col("gid") != F.col("hub.gid")))
     return met.select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b")).distinct()
 
 
@@ -362,34 +328,41 @@ def _unconnected_pairs(lists: DataFrame, rule: Similarity) -> DataFrame:
 
     ``low_part`` and ``high_part`` are the least and greatest component of a group's
     members. At the first common shingle of a similar pair, what follows must suffice.
+    A list of several blocks is read by a unit (low, high) for each two of them, and for
+    each by itself.
     """
+    unit = ["shingle", "low", "high"]
 
-    def make(unit):
+    def make(rows):
         found = [np.zeros((2, 0), np.int64)]
-        n, pos, gid = (unit[c].astype(np.int64) for c in ("n", "pos", "gid"))
+        n, pos, gid = rows["place"] >> 32, rows["place"] & 0xFFFFFFFF, rows["gid"]
         at = np.arange(len(gid))
         step = 1
         while True:
             at = at[at + step < len(gid)]
-            at = at[_same_unit(unit, at, at + step)]
+            at = at[_same_unit(rows, unit, at, at + step)]
             if not len(at):
                 break
             a, b = at, at + step
-            ok = (unit["low"][a] == unit["high"][a]) | (unit["block"][a] != unit["block"][b])
+            ok = (rows["low"][a] == rows["high"][a]) | (rows["block"][a] != rows["block"][b])
             ok &= _near_in_size(rule, n[a], n[b]) & (gid[a] != gid[b])
             ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.common(n[a] + n[b])
-            part = np.minimum(unit["low_part"][a], unit["low_part"][b])
-            ok &= part != np.maximum(unit["high_part"][a], unit["high_part"][b])
+            part = np.minimum(rows["low_part"][a], rows["low_part"][b])
+            ok &= part != np.maximum(rows["high_part"][a], rows["high_part"][b])
             a, b = a[ok], b[ok]
             found.append(np.stack([np.minimum(gid[a], gid[b]), np.maximum(gid[a], gid[b])]))
             step += 1
         low, high = np.unique(np.concatenate(found, axis=1), axis=1)
         return low, high
 
-    return _in_units(lists, [], make, _PAIR).distinct()
+    others = F.explode(F.sequence(F.lit(0), _blocks(F.col("length")) - 1))
+    rows = lists.withColumn("block", _block()).withColumn("other", others)
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    rows = rows.select(*unit, "block", "gid", "place", "low_part", "high_part")
+    return _in_units(rows, unit, [], make, _PAIR).distinct()
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, fits, read=_long) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
     """The pairs whose two sets, of ``sets`` (rep, n, members), pass ``fits``."""
     both = pairs
     for side, value, size in (("a", "x", "n"), ("b", "y", "m")):
@@ -403,7 +376,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, fits, read=_long) -> DataFrame:
                 ok = []
                 sizes = (batch.column(c).to_pylist() for c in ("n", "m"))
                 for x, y, n, m in zip(batch.column("x"), batch.column("y"), *sizes):
-                    p, q = read(x.as_buffer()), read(y.as_buffer())
+                    p, q = _whole(x.as_buffer()), _whole(y.as_buffer())
                     if len(p) > len(q):
                         p, q, n, m = q, p, m, n
                     spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -442,8 +415,10 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Simil
     pairs = written(pairs, "candidates")
     ends, few = _ends(pairs)
     prefixes = _only(members.select("rep", "n", F.col("prefix").alias("members")), ends, ["rep"], few)
-    pairs = written(_compared(pairs, prefixes, may_fit, _whole), "likely")
+    likely = written(_compared(pairs, prefixes, may_fit), "likely")
+    discard(pairs)
 
+    pairs = likely
     ends, few = _ends(pairs)
     wanted = _only(members, ends, ["rep"], few).select(F.col("rep").alias("id"), "sig")
     wanted = written(wanted, "wanted")
@@ -458,12 +433,14 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Simil
 
     def compute(parts):
         for ids, sets in parts:
-            yield [ids, [_digest(s) for s in sets], [len(s) for s in sets], [_short(s) for s in sets]]
+            yield [ids, [_digest(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets]]
 
     texts = _only(docs, wanted.select("id").distinct(), ["id"], few)
     sets = _only(_each_text(texts, schema, compute), wanted, ["id", "sig"], few)
     sets = written(sets.select(F.col("id").alias("rep"), "n", "members"), "sets")
-    return written(_compared(pairs, sets, fits), "similar")
+    similar = written(_compared(pairs, sets, fits), "similar")
+    discard(likely, wanted, sets)
+    return similar
 
 
 def jaccard_components(
@@ -495,7 +472,7 @@ def jaccard_components(
     if others.count() <= MAX_BROADCAST_MEMBERS:
         others = F.broadcast(others)
     groups = members.select(F.col("rep").alias("gid"), "rep", "n", "prefix").join(others, "rep", "left_anti")
-    lists = written(_lists(_postings(groups, frequent)), "lists")
+    lists = written(_lists(_postings(groups)), "lists")
 
     # neighbours in long lists, and each member with its group's first; then hubs
     long = written(_long_lists(lists), "long-lists")
@@ -529,6 +506,7 @@ def jaccard_components(
     parts = connected_components(links.union(more).union(repeats.select("id", "rep")))
     placed = members.join(parts, F.col("rep") == F.col("node"), "left")
     placed = written(placed.select("n", "sig", F.coalesce("component", "rep").alias("component_id")), "placed")
+    discard(members, grouped, lists, long, known)
     out = rows.join(placed, ["n", "sig"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
