@@ -81,7 +81,12 @@ class ByteBPE:
         self.pieces = regex.compile(spelt_out(pattern))
         self.by_piece = Remembered()
         self.after_space = Remembered(lambda stretch: self._cut(" " + stretch))
-        self.bytes_of = {rank: token for token, rank in ranks.items()}
+        self.shown_of = {rank: text for text, rank in vocabulary.items()}
+        #: from a stand-in back to its byte, as the Latin-1 character of that number
+        self.byte_of = {ord(c): b for b, c in enumerate(alphabet)}
+        self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
 
     def _learn(self, pieces: set[str]) -> dict[str, bytes]:
         """The ids of the pieces that aren't remembered, by one call of the library."""
@@ -137,20 +142,25 @@ class ByteBPE:
             for t, ok, s in zip(texts, narrow, spaced)
         ]
 
-    def offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
-        """Ids with the character span of each; bytes of one character share its span."""
-        ids, starts, ends = [], [], []
-        for m in self.pieces.finditer(text):
-            found = self.library.encode(m.group(), add_special_tokens=False)
-            ids += found.ids
-            for a, b in found.offsets:
-                starts.append(m.start() + a)
-                ends.append(m.start() + b)
-        return ids, starts, ends
+    def offsets(self, text: bytes, ids: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the tokens of a text (UTF-8) in code points.
+
+        The tokens' bytes, one after the other, are the text's. Tokens that have bytes of
+        the same character all span it.
+        """
+        ends = np.cumsum(self.lengths[np.frombuffer(ids, "<u4")])
+        first = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80  # a character's first byte
+        character = np.cumsum(first)
+        starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        return character[starts] - 1, character[ends - 1]
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes that the ids stand for; characters split between ids are whole again."""
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
+        """The bytes that the ids stand for; characters split between ids are whole again.
+
+        Ids give their stand-in characters, and the byte table read backwards gives bytes.
+        """
+        shown = "".join(map(self.shown_of.__getitem__, array("I", ids)))
+        return shown.translate(self.byte_of).encode("latin-1")
 
 
 _coders: dict[int, ByteBPE] = {}
@@ -184,9 +194,15 @@ def bpe_encode(
 
     def start():
         bpe = coder(file.value, pattern)
-        if offsets:
-            return lambda texts: [list(c) for c in zip(*map(bpe.offsets, texts))]
-        return lambda texts: [[array("I", ids).tolist() for ids in bpe.encode(texts)]]
+        def columns(texts):
+            encoded = bpe.encode(texts)
+            found = [[array("I", ids).tolist() for ids in encoded]]
+            if offsets:
+                spans = [bpe.offsets(t.encode("utf-8"), ids) for t, ids in zip(texts, encoded)]
+                found += [[starts.tolist() for starts, _ in spans], [ends.tolist() for _, ends in spans]]
+            return found
+
+        return columns
 
     names = ("ids", "starts", "ends") if offsets else ("ids",)
     fields = [StructField(name, ArrayType(IntegerType())) for name in names]
@@ -227,10 +243,12 @@ def bpe_round_trip(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Encode every text, decode its ids, and return (id, n_tokens, ids_sha256, decoded_sha256).
+    """Encode every text with offsets, decode its ids, and digest all three.
 
-    The digests (lower-case hex) are of the ids as little-endian unsigned 32-bit
-    integers and of the decoded bytes. Rows are handled as in ``bpe_encode``.
+    (id, n_tokens, ids_sha256, decoded_sha256, offsets_sha256): the digests (lower-case hex)
+    are of the ids as little-endian unsigned 32-bit integers, of the decoded bytes, and of
+    each token's start and end in code points, as such integers one after the other. Rows
+    are handled as in ``bpe_encode``.
     """
     file = docs.sparkSession.sparkContext.broadcast(read_vocabulary(ranks))
 
@@ -239,10 +257,12 @@ def bpe_round_trip(
 
         def digests(texts):
             encoded = bpe.encode(texts)
+            spans = (bpe.offsets(t.encode("utf-8"), ids) for t, ids in zip(texts, encoded))
             return [
                 [len(ids) // 4 for ids in encoded],
                 [hashlib.sha256(ids).hexdigest() for ids in encoded],
                 [hashlib.sha256(bpe.decode(ids)).hexdigest() for ids in encoded],
+                [hashlib.sha256(np.stack(pair, axis=1).astype("<u4").tobytes()).hexdigest() for pair in spans],
             ]
 
         return digests
@@ -251,5 +271,6 @@ def bpe_round_trip(
         StructField("n_tokens", LongType()),
         StructField("ids_sha256", StringType()),
         StructField("decoded_sha256", StringType()),
+        StructField("offsets_sha256", StringType()),
     ]
     return map_texts(docs, id_col, text_col, fields, start)

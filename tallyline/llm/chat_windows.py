@@ -1,11 +1,14 @@
 """Chat formatting in budgeted windows.
 
 The turns of a conversation are cut into windows of at most ``budget`` tokens at turn
-boundaries: running sums of the turns' tokens say how many more turns fit. Every window
-starts with the conversation's system turns; all but the first then repeat the last
-turns before them, up to ``history`` tokens. A window therefore reads on its own, and
-each turn is new in exactly one of them. Only new assistant turns are targets: repeated
-ones are masked. A turn is never cut; one above the budget gets a window to itself.
+boundaries: running sums of the turns' tokens say how many more turns fit. A turn counts as
+it is written, with its control strings and escapes; every turn ends with a line break and
+starts with a control string, so the pieces that tokens are made of never span two turns
+and the sums are exact. Every window starts with the conversation's system turns; all but
+the first then repeat the last turns before them, up to ``history`` tokens and as far as
+a new turn still fits. A window therefore reads on its own, and each turn is new in exactly
+one of them. Only new assistant turns are targets: repeated ones are masked. A turn is never
+cut; one that doesn't fit beside the system turns gets a window with them, without history.
 
 A turn is written as ``<|turn|>role<|text|>text<|end|>`` and a line break. Control strings,
 the template's own and those of a common chat template, are escaped inside roles and
@@ -51,6 +54,11 @@ def unescape(text: str) -> str:
     return CONTROL.sub(lambda m: m[1] + m[2][1:] + m[3], text)
 
 
+def _written(role: str, text: str) -> tuple[str, str, str]:
+    """Head, body and end of a turn."""
+    return f"{TURN}{escape(role)}{TEXT}", escape(text), END + "\n"
+
+
 class _Windows:
     """Builds the windows of one conversation from its turns in order."""
 
@@ -63,7 +71,7 @@ class _Windows:
         self.opening = True
 
     def add(self, role: str, text: str) -> Iterator[list]:
-        turn = (self.turns, role, text, self.count(text) + self.count(role))
+        turn = (self.turns, role, text, self.count("".join(_written(role, text))))
         self.turns += 1
         self.waiting.append(turn)
         if self.opening and role == SYSTEM:
@@ -78,12 +86,11 @@ class _Windows:
             yield self._window(len(self.waiting))
 
     def _repeated(self) -> list[tuple]:
-        """System turns, then the last turns before this window within the limit."""
+        """System turns, then the last turns before this window that leave room for a new one."""
         if not self.windows:
             return []
-        tokens = np.cumsum([t[3] for t in reversed(self.before)])
-        keep = int(np.searchsorted(tokens, self.history, side="right"))
-        return self.system + (self.before[-keep:] if keep else [])
+        room = self.budget - sum(t[3] for t in self.system) - self.waiting[0][3]
+        return self.system + self._last(self.before, min(self.history, room))
 
     def _fitting(self) -> int:
         """How many of the waiting turns the next window takes: at least one."""
@@ -99,20 +106,22 @@ class _Windows:
         out, at, parts, loss = [], 0, [], []
         for turns, again in ((repeated, True), (new, False)):
             for number, role, text, _ in turns:
-                head, body = f"{TURN}{escape(role)}{TEXT}", escape(text)
-                start, at = at, at + len(head) + len(body) + len(END) + 1
-                out += [head, body, END, "\n"]
+                head, body, tail = _written(role, text)
+                start, at = at, at + len(head) + len(body) + len(tail)
+                out += [head, body, tail]
                 parts.append({"start": start, "end": at, "turn": number, "repeated": again})
                 if role == TARGET and not again:
                     loss.append({"start": start + len(head), "end": start + len(head) + len(body)})
         own = [t for t in new if t not in self.system] if not self.windows else new
-        self.before = self._tail(self.before + own)
+        self.before = self._last(self.before + own, self.history)
         self.windows += 1
         return [self.id, self.windows - 1, "".join(out), parts, loss]
 
-    def _tail(self, turns: list[tuple]) -> list[tuple]:
+    @staticmethod
+    def _last(turns: list[tuple], most: int) -> list[tuple]:
+        """The last turns, of ``most`` tokens together."""
         tokens = np.cumsum([t[3] for t in reversed(turns)])
-        keep = int(np.searchsorted(tokens, self.history, side="right"))
+        keep = int(np.searchsorted(tokens, most, side="right"))
         return turns[-keep:] if keep else []
 
 
@@ -153,7 +162,8 @@ def format_chat(
     the same windows on every run. Null roles and texts are empty; a null conversation
     id is an id; an empty table gives an empty result; other columns are ignored. A
     task streams over its conversations: it holds one window and the history, however
-    many turns a conversation has.
+    many turns a conversation has. A very long text is held whole while its turn is written;
+    ``budget`` then can't be kept: the window has that turn and the system turns only.
     """
     file = turns.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     span = [StructField("start", IntegerType()), StructField("end", IntegerType())]
@@ -212,8 +222,11 @@ def read_turns(formatted: str, parts: list[dict]) -> list[tuple[str, str]]:
     return turns
 
 
-def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """Digests per conversation of what ``format_chat`` wrote, in its order of rows.
+def read_back(windows: DataFrame, conv_col: str = "conv_id", in_order: bool = False) -> DataFrame:
+    """Digests per conversation of what ``format_chat`` wrote.
+
+    Windows are brought in order first, unless ``in_order`` says that they come as
+    ``format_chat`` returned them, not from a table that was written and read again.
 
     (conversation, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars): the
     digest of role, line break, text, line break of each turn; number of code points
@@ -233,8 +246,9 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
         current = None
         for batch in batches:
-            for conversation, window, formatted, parts, loss in zip(*(c.to_pylist() for c in batch.columns)):
-                if window == 0:
+            columns = (batch.column(c).to_pylist() for c in (conv_col, "formatted", "parts", "loss"))
+            for conversation, formatted, parts, loss in zip(*columns):
+                if current is None or current[0] != conversation:
                     if current:
                         yield closed(current)
                     current = [conversation, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -252,5 +266,7 @@ def read_back(windows: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     def closed(row: list) -> list:
         return [row[0], row[1], row[2].hexdigest(), row[3], row[4].hexdigest(), row[5]]
 
-    columns = [conv_col, "window", "formatted", "parts", "loss"]
-    return windows.select(*columns).mapInArrow(lambda b: _batches(rows(b), _arrow(schema)), schema)
+    rows_in = windows.select(conv_col, "window", "formatted", "parts", "loss")
+    if not in_order:
+        rows_in = rows_in.repartition(conv_col).sortWithinPartitions(conv_col, "window")
+    return rows_in.mapInArrow(lambda b: _batches(rows(b), _arrow(schema)), schema)

@@ -1,12 +1,14 @@
 """Main text of web pages by consensus of their hosts.
 
-Pages of a host share a layout. Each page's containers are scored by the text right
-inside them that isn't navigation, notice or link; the best of a page vote for their
-paths, generalised to tags and classes with digits masked. Spark adds up the votes per
-host; the pages are then read again, and their text comes from the elements at the
-winning path. A page with less than half of its text there falls back on its own best
-container. Either is widened to all other blocks that are neither noise nor links, so
-the vote decides only which links belong to the text.
+Pages of a host share a layout. What a tag, a role, a class or an id marks as navigation,
+notice, comments and the like is never text. Of the rest, each page's containers are scored
+by the characters they hold outside links less those inside links; the best one, the
+innermost of equals, gets the page's vote for its path, generalised to tags and classes
+with digits masked. Spark counts the votes per host; the pages are then read again, and
+their text is what the elements at the winning path hold: what the host's pages agree on
+decides what belongs to the text, also where a page by itself would say otherwise. Only a
+page of another template, with less than half of its text there, goes by its own best
+container.
 """
 
 from __future__ import annotations
@@ -22,8 +24,6 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tallyline.llm.common import field, written
 
-#: Paths that a page votes for; votes are thousandths of its text.
-PATHS_PER_PAGE = 3
 #: The table of winners is broadcast up to this many hosts.
 MAX_BROADCAST_HOSTS = 100_000
 #: Levels of nesting that are told apart; deeper elements count as children of the last.
@@ -48,21 +48,25 @@ _NOISE_WORDS = frozenset(
     "breadcrumb breadcrumbs comment commentlist comments consent cookie cookies disqus footer gdpr "
     "masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination "
     "popup popups promo promos promoted promotion recommended related replies reply respond share "
-    "sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "sharing sidebar sidebars social sponsor sponsored subscribe subscription toolbar".split()
 )
+#: Of these, words for what readers write.
+_COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply respond".split())
+#: Words for noise that also stand for a topic behind a word that isn't about layout.
+_TOPICS = frozenset("share promotion notice notices related social alert alerts".split())
+#: Words for the text itself, for parts of a page, and for what is around several of them.
+_CONTENT_WORDS = frozenset("article body content entry main page post posts site story text".split())
+_PART_WORDS = frozenset(
+    "area bar block box button buttons count form group holder inner item items link links list panel "
+    "region row section thread title tools top bottom left right col column".split()
+)
+_AROUND_WORDS = frozenset("wrap wrapper layout container outer grid".split())
 _NOISE_ROLES = frozenset(
     "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split()
 )
 _WHOLE = frozenset("html body main article".split())
 _TELLING = frozenset("has have no with without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Share of a page's text from which an element with a noisy name is a wrapper of it, by
-#: what _noise_name says.
-_WRAPS = {1: (1, 2), 2: (4, 5)}
-#: Below this share of the page's text, what is left counts as nothing; from twice it on,
-#: an element is a second choice.
-_LITTLE = 0.1
-
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -87,24 +91,40 @@ def _noise(tag: str, attributes: dict[str, str], inside_article: bool) -> bool:
     return attributes.get("role", "").lower() in _NOISE_ROLES
 
 
+def _noisy_words(words: list[str]) -> bool:
+    """Whether the words of a class or id name what isn't main text.
+
+    A compound is about its first word or, without words for parts, its last one. What is
+    around parts ("content-sidebar-wrap") has the text in it if it names that, too.
+    """
+    head = list(words)
+    while len(head) > 1 and (head[-1] in _PART_WORDS or head[-1] in _AROUND_WORDS or head[-1].isdigit()):
+        head.pop()
+    if not head or words[-1] in _AROUND_WORDS and _CONTENT_WORDS.intersection(words):
+        return False
+    if head[0] in _NOISE_WORDS:
+        return True
+    known = _NOISE_WORDS | _CONTENT_WORDS | _PART_WORDS
+    return head[-1] in _NOISE_WORDS and (head[-1] not in _TOPICS or all(w in known for w in head[:-1]))
+
+
 def _noise_name(tag: str, attributes: dict[str, str]) -> int:
-    """Whether a class or id has a word for noise: 2 if only such words, 1 if others too.
+    """2 if a class or id names comments, 1 if other noise, else 0.
 
     What follows "with", "no" or the like tells of something around the text or missing.
     A heading's id is made of its text.
     """
-    found = 0
     if tag in _WHOLE:
-        return found
+        return 0
     names = attributes.get("class", "").split()
     if tag not in _HEADINGS:
         names += attributes.get("id", "").split()
+    found = 0
     for name in names:
         words = [w.lower() for w in _WORDS.findall(name)]
         told = next((i for i, w in enumerate(words) if w in _TELLING), len(words))
-        noisy = sum(w in _NOISE_WORDS for w in words[:told])
-        if noisy:
-            found = max(found, 2 if noisy == len(words) else 1)
+        if told and _noisy_words(words[:told]):
+            found = max(found, 2 if _COMMENT_WORDS.intersection(words[:told]) else 1)
     return found
 
 
@@ -114,24 +134,22 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
 
 
 class Page:
-    """The text of a page by container: ``blocks`` are (container, in a link, text)."""
+    """The text of a page by container: ``blocks`` are (container, in links, text)."""
 
     def __init__(self, source: str):
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         #: text of one block each, with the innermost container it is in
         self.blocks: list[tuple[int, int, str]] = []
-        #: elements with a noisy name: (such an element around it or -1, _noise_name)
-        self._named: list[tuple[int, int]] = []
-        #: blocks as read: container, and pieces (named element, in a link, in an article, text)
-        self._raw: list[tuple[int, list[tuple[int, bool, bool, str]]]] = []
+        #: blocks as read: container, and pieces (what _noise_name says around it, in a link, text)
+        self._raw: list[tuple[int, list[tuple[int, bool, str]]]] = []
         self._read(source)
         self._settle()
 
     def _read(self, source: str) -> None:
-        # an open element: tag, container, noisy, in article, path, named element
-        stack = [("", 0, False, False, "", -1)]
-        pieces: list[tuple[int, bool, bool, str]] = []
+        # an open element: tag, container, noisy, in article, path, noise by its name
+        stack = [("", 0, False, False, "", 0)]
+        pieces: list[tuple[int, bool, str]] = []
         holder, links_open = 0, 0
 
         def close_block() -> None:
@@ -142,13 +160,13 @@ class Page:
 
         def put(raw: str) -> None:
             nonlocal holder
-            _, container, noisy, in_article, _, named = stack[-1]
-            if not raw or noisy:
+            _, container, noisy, _, _, named = stack[-1]
+            if not raw or noisy or named == 2:
                 return
             if container != holder:
                 close_block()
                 holder = container
-            pieces.append((named, links_open > 0, in_article, html.unescape(raw) if "&" in raw else raw))
+            pieces.append((named, links_open > 0, html.unescape(raw) if "&" in raw else raw))
 
         at, size = 0, len(source)
         while at < size:
@@ -194,9 +212,8 @@ class Page:
             attributes = _attributes(m[3])
             _, container, noisy, in_article, path, named = stack[-1]
             noisy = noisy or _noise(tag, attributes, in_article)
-            if not noisy and attributes and (kind := _noise_name(tag, attributes)):
-                self._named.append((named, kind))
-                named = len(self._named) - 1
+            if not noisy and attributes:
+                named = max(named, _noise_name(tag, attributes))
             if not noisy and len(stack) < MAX_DEPTH and tag != "html":
                 path = f"{path}>{_step(tag, attributes)}" if tag in _CONTAINERS else path
                 if tag in _CONTAINERS and not in_article:
@@ -215,55 +232,21 @@ class Page:
         close_block()
 
     def _settle(self) -> None:
-        """Make blocks of what was read, without the elements that are noise."""
-        noise = self._noise()
-        for holder, pieces in self._raw:
-            kept = [p for p in pieces if p[0] < 0 or not noise[p[0]]]
-            if text := " ".join("".join(p[3] for p in kept).split()):
-                linked = sum(len(p[3]) for p in kept if p[1])
-                self.blocks.append((holder, min(linked, len(text)), text))
-        self._raw.clear()
-
-    def _noise(self) -> list[bool]:
-        """Which elements with a noisy name are noise, or inside of noise.
+        """Make blocks of what was read, without the elements that are noise by their name.
 
-        Those are that are mostly links, that hold a minor share of the page's text, or
-        that hold none of the article which the page marks. If little is left without
-        them, those with a fair share of the text come back.
+        Where that leaves nothing, the layout uses such names for its text: then what they
+        hold counts, comments apart.
         """
-        count = len(self._named)
-        if not count:
-            return []
-        # of each element, and last of the text outside all: characters, in links, in an article
-        sums = [[0, 0, 0] for _ in range(count + 1)]
-        for _, pieces in self._raw:
-            for named, linked, in_article, text in pieces:
-                n = len(" ".join(text.split()))
-                own = sums[named]
-                own[0] += n
-                own[1] += n * linked
-                own[2] += n * in_article
-        left = sums[-1]
-        total, marked = sum(x[0] for x in sums), left[2]
-        for i in range(count - 1, -1, -1):
-            if (parent := self._named[i][0]) >= 0:
-                sums[parent] = [a + b for a, b in zip(sums[parent], sums[i])]
-        noise = []
-        for (parent, kind), (chars, linked, article) in zip(self._named, sums):
-            part, whole = _WRAPS[kind]
-            elsewhere = not article and marked > _LITTLE * total
-            small = chars * whole < total * part
-            noise.append(parent >= 0 and noise[parent] or 2 * linked > chars or elsewhere or small)
-        good = left[0] - left[1]
-        for i, (parent, _) in enumerate(self._named):
-            if not noise[i] and (parent < 0 or noise[parent]):
-                good += sums[i][0] - sums[i][1]
-        if good <= _LITTLE * total:
-            for i, (chars, linked, _) in enumerate(sums[:-1]):
-                if 2 * linked <= chars and chars >= 2 * _LITTLE * total:
-                    while i >= 0:
-                        noise[i], i = False, self._named[i][0]
-        return noise
+        for most in (0, 1):
+            for holder, pieces in self._raw:
+                kept = [p for p in pieces if p[0] <= most]
+                if text := " ".join("".join(p[2] for p in kept).split()):
+                    linked = sum(len(p[2]) for p in kept if p[1])
+                    self.blocks.append((holder, min(linked, len(text)), text))
+            if any(2 * linked < len(text) for _, linked, text in self.blocks):
+                break
+            self.blocks.clear()
+        self._raw.clear()
 
     @staticmethod
     def _imply(stack: list[tuple], tag: str) -> None:
@@ -276,45 +259,38 @@ class Page:
             if open_tag in _BLOCKS or open_tag in ("ul", "ol"):
                 return
 
-    def scores(self) -> dict[int, int]:
-        """Characters outside links that are right inside each container.
-
-        Half of it also counts for the container around, so that one that holds
-        several good ones beats each of them. An article counts as one container.
-        """
-        found: dict[int, int] = {}
+    def scores(self) -> list[int]:
+        """Of each container: characters outside links that it holds, less those in links."""
+        found = [0] * len(self.paths)
         for container, linked, text in self.blocks:
-            if good := 2 * (len(text) - linked):
-                found[container] = found.get(container, 0) + good
-                if (parent := self.parents[container]) > 0:
-                    found[parent] = found.get(parent, 0) + good // 2
+            found[container] += len(text) - 2 * linked
+        for i in range(len(found) - 1, 0, -1):  # parents come before what they hold
+            found[self.parents[i]] += found[i]
         return found
 
-    def votes(self) -> list[tuple[str, int]]:
-        by_path: dict[str, int] = {}
-        for container, score in self.scores().items():
-            by_path[self.paths[container]] = by_path.get(self.paths[container], 0) + score
-        total = sum(by_path.values())
-        best = sorted(by_path.items(), key=lambda x: (-x[1], x[0]))[:PATHS_PER_PAGE]
-        return [(path, 1000 * score // total) for path, score in best]
+    def best(self) -> int:
+        """The container with the highest score, of equals the last one opened."""
+        scores = self.scores()
+        return max(range(len(scores)), key=lambda i: (scores[i], i))
+
+    def vote(self) -> str | None:
+        """The path of the best container; none for a page without text."""
+        return self.paths[self.best()] if self.blocks else None
 
     def text(self, path: str | None) -> str:
-        """Text of the elements at ``path``, or of the page's own best container, and around it.
+        """Text of the elements at ``path``, or of the page's own best container.
 
-        Outside, blocks that are mostly links count where their container isn't.
+        Inside, blocks that are mostly links count where their container isn't.
         """
-        wanted = {i for i, p in enumerate(self.paths) if p == path} if path is not None else set()
-        inside = self._inside(wanted)
-        total = sum(len(text) - linked for _, linked, text in self.blocks)
-        if 2 * sum(len(text) - linked for c, linked, text in self.blocks if inside[c]) < max(total, 1):
-            scores = self.scores()
-            inside = self._inside({min(scores, key=lambda c: (-scores[c], c))} if scores else wanted)
+        inside = self._inside({i for i, p in enumerate(self.paths) if p == path} if path is not None else set())
+        good = [(c, len(text) - linked) for c, linked, text in self.blocks]
+        if 2 * sum(n for c, n in good if inside[c]) < max(1, sum(n for _, n in good)):
+            inside = self._inside({self.best()})
         own: dict[int, int] = {}
         for container, linked, text in self.blocks:
             own[container] = own.get(container, 0) + len(text) - 2 * linked
-        return "\n".join(
-            text for c, linked, text in self.blocks if inside[c] or total and (2 * linked < len(text) or own[c] > 0)
-        )
+        kept = (t for c, linked, t in self.blocks if inside[c] and (2 * linked < len(t) or own[c] > 0))
+        return "\n".join(kept)
 
     def _inside(self, wanted: set[int]) -> list[bool]:
         inside = [False] * len(self.paths)
@@ -331,25 +307,19 @@ def host_of(url: Column) -> Column:
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, path): the path with most votes of each host's pages, the first of equals."""
-    schema = StructType([StructField(c, t) for c, t in (("host", StringType()), ("path", StringType()), ("votes", LongType()))])
+    schema = StructType([StructField(c, StringType()) for c in ("host", "path")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                rows = [
-                    (host, path, votes)
-                    for host, source in zip(*(c.to_pylist() for c in batch.columns))
-                    for path, votes in Page(source or "").votes()
-                ]
-                columns = [[r[i] for r in rows] for i in range(3)]
-                types = (pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=schema.names)
+                votes = [Page(source or "").vote() for source in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.string())], names=schema.names)
 
     cast = pages.select(
         host_of(F.col(url_col)).alias("host"), F.col(html_col).cast("string").alias("html")
     ).mapInArrow(run, schema)
-    counted = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    counted = cast.where("path is not null").groupBy("host", "path").agg(F.count("*").alias("votes"))
     ranked = counted.select("host", F.struct(-F.col("votes"), "path").alias("place"))
     return ranked.groupBy("host").agg(F.min("place").alias("place")).select("host", "place.path")
 
@@ -364,6 +334,7 @@ def extract_text(
     without main text, give an empty text. Pages without a host, or with a null URL,
     vote as one host. Repeated rows stay and vote repeatedly; ties go to the first path
     in order of code points; an empty table gives an empty result; other columns are ignored.
+    A page is read whole, however long, by one task; it needs a few times its size.
     """
     winners = written(host_paths(pages, url_col, html_col), "host-paths")
     if winners.count() <= MAX_BROADCAST_HOSTS:

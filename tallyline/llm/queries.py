@@ -58,7 +58,7 @@ def op6_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
     windows = format_chat(turns.unionByName(planted), public_tokenizers.path("byte_bpe_50k.json"))
-    return read_back(windows)
+    return read_back(windows, in_order=True)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from array import array
+from itertools import accumulate
 
 import public_tokenizers
 import pytest
@@ -10,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyline.llm.byte_bpe import bpe_decode, bpe_encode, bpe_round_trip, read_ranks
+from tallyline.llm.byte_bpe import ByteBPE, bpe_decode, bpe_encode, bpe_round_trip, read_ranks
 from tallyline.llm.chat_windows import escape, format_chat, read_back, read_turns, unescape
 from tallyline.llm.components import connected_components
 from tallyline.llm.fingerprints import edited_fingerprints
@@ -66,13 +67,22 @@ def test_token_counts(docs):
     assert token_counts(docs.limit(0), JSON).collect() == []
 
 
+def spans(text, tokens):
+    """Start and end in code points of each token, byte by byte."""
+    owner = [i for i, c in enumerate(text) for _ in c.encode()]
+    ends = list(accumulate(map(len, tokens)))
+    return [(owner[end - len(t)], owner[end - 1] + 1) for t, end in zip(tokens, ends)]
+
+
 def test_byte_bpe(docs):
     ranks = read_ranks(open(RANKS, "rb").read())
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     want = []
     for i, t, *_ in ROWS:
         ids = library.encode_ordinary(t or "")
-        digests = (hashlib.sha256(x).hexdigest() for x in (array("I", ids).tobytes(), (t or "").encode()))
+        pairs = spans(t or "", list(map(library.decode_single_token_bytes, ids)))
+        digested = (array("I", ids), (t or "").encode(), array("I", [x for pair in pairs for x in pair]))
+        digests = (hashlib.sha256(bytes(x)).hexdigest() for x in digested)
         want.append((i or -1, len(ids), *digests))
     got = [(r[0] or -1, *r[1:]) for r in bpe_round_trip(docs, RANKS, PATTERN).collect()]
     assert sorted(got) == sorted(want)
@@ -80,7 +90,12 @@ def test_byte_bpe(docs):
     with_offsets = bpe_encode(some, RANKS, PATTERN, offsets=True)
     row, text = with_offsets.first(), ROWS[6][1]
     assert row.ids == library.encode_ordinary(text)
-    assert row.starts[0] == 0 and row.ends[-1] == len(text)
+    assert list(zip(row.starts, row.ends)) == spans(text, list(map(library.decode_single_token_bytes, row.ids)))
+    coder = ByteBPE(ranks, PATTERN)
+    for piece in coder.pieces.findall(text):  # the library's own offsets of a piece
+        found = coder.library.encode(piece, add_special_tokens=False)
+        ids = array("I", found.ids).tobytes()
+        assert list(zip(*(x.tolist() for x in coder.offsets(piece.encode(), ids)))) == found.offsets
     back = bpe_decode(with_offsets, RANKS, PATTERN).first()
     assert back.text == text and bytes(back.bytes) == text.encode()
     parts = with_offsets.select("doc_id", F.explode(F.transform("ids", lambda x, i: F.slice("ids", 1, i + 1))).alias("ids"))
