@@ -5,7 +5,10 @@ checksum and have an issuer's first digits and length, account and
 social security numbers, IP addresses, secrets, and names behind a title. An entity's
 canonical form (digits of a number, lower case of an address) is put through a keyed
 permutation of all forms of its shape, letter for letter of the same script and digit
-for digit; names are drawn by key from lists by gender and script. The same entity thus
+for digit. Surrogates are of the same type: cards keep issuer and length and have a right
+check digit, account numbers keep their country and have right check digits, private
+addresses stay private and public ones public, valid social security numbers stay valid.
+Names are drawn by key from some thousand made-up ones by gender and script. The same entity thus
 gets the same surrogate in every document and spelling. A name is a word of a script; a
 given name's gender comes from all its titled mentions, and is handed on as below. A
 document's capitalised words that a titled name in it has, too, are names without a title.
@@ -19,6 +22,7 @@ handed to the pass that rewrites the texts.
 from __future__ import annotations
 
 import hmac
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -30,7 +34,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from tallyline.llm.common import trimmed, written
 
 #: Exceptions that are broadcast, at most; beyond, they are joined per text.
-MAX_BROADCAST_EXCEPTIONS = 500_000
+MAX_BROADCAST_EXCEPTIONS = 100_000
 #: Draws of one length.
 DRAWS = 3
 ROUNDS = 8
@@ -41,15 +45,28 @@ _TITLES = {
     "f": "Mrs Ms Miss Frau Madame Mme Mademoiselle Señora Señorita госпожа".split(),
     "n": "Dr Doctor Prof Professor".split(),
 }
+# Parts that names to draw are put together from: a beginning, a middle and an ending.
+_NAME_PARTS = {
+    "latin": (
+        "Al Bar Cor Dan El Fer Gar Hel Is Jar Kal Lor Mar Nor Os Per Ros Sal Tor Ul Var Wil Yan Zel".split(),
+        "b d f l m n r s t v".split(),
+        {"m": "an ardo ek in ius o on us".split(), "f": "a ea ella ia ina issa une yra".split(), "n": "ay en ey is it or ul yn".split()},
+    ),
+    "cyrillic": (
+        "Ал Бор Вар Гор Дан Ел Жар Зар Ил Кор Лев Мир Нор Ор Пав Рад Сав Тим Уль Фад Яр".split(),
+        "б в д л м н р с т".split(),
+        {"m": "ан ек ен ий ин ор ослав".split(), "f": "а ана ева ина ия ослава уша".split(), "n": "ау и ичи о у ы эль".split()},
+    ),
+    "greek": (
+        "Αλ Βαρ Γιωρ Δαν Ελ Ζαφ Ηλ Θαλ Καλ Λαμ Μαρ Νικ Ορ Παν Ροδ Σταμ Τιμ Φαν Χαρ".split(),
+        "δ κ λ μ ν ρ τ".split(),
+        {"m": "άκης έας ίος ος ων ώτης".split(), "f": "έα ή ία ίνα ούλα ώ".split(), "n": "ι ιού άρι έλι ού".split()},
+    ),
+}
 _NAMES = {
-    ("latin", "m"): "Adam Albert Benno Carl David Emil Felix Georg Hugo Ivan Jonas Karim Leo Martin Noel Oscar Paul Rafael Simon Victor".split(),
-    ("latin", "f"): "Alma Anna Bianca Clara Diana Elena Flora Greta Helena Irene Julia Karla Lena Maria Nora Olga Paula Rosa Sofia Vera".split(),
-    ("latin", "n"): "Alexis Ash Briar Casey Dana Eden Finley Gale Harper Jamie Kim Lane Morgan Noor Quinn Robin Sam Sky Toni Val".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Иван Кирилл Лев Максим Олег Павел Роман Степан".split(),
-    ("cyrillic", "f"): "Алла Белла Вера Галина Дарья Ева Зоя Инна Кира Лидия Мария Нина Ольга Полина Раиса".split(),
-    ("cyrillic", "n"): "Валя Женя Паша Саша Слава Шура".split(),
-    ("greek", "m"): "Αλέξης Βασίλης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λευτέρης Μάριος Νίκος Πέτρος Σπύρος".split(),
-    ("greek", "f"): "Άννα Βάσω Γεωργία Δήμητρα Ελένη Ζωή Ηρώ Κατερίνα Λίνα Μαρία Νίκη Σοφία".split(),
+    (script, gender): [a + b + c for a in first for b in middle for c in endings]
+    for script, (first, middle, last) in _NAME_PARTS.items()
+    for gender, endings in last.items()
 }
 _SCRIPTS = {"latin": r"A-Za-zÀ-ÖØ-öø-ɏ", "cyrillic": r"Ѐ-ӿ", "greek": r"Ͱ-Ͽἀ-῿"}
 
@@ -71,13 +88,16 @@ _ASSIGNED = rf"""(?:{_SECRET_WORD})(?:_(?i:id|base|hash|value))?\d*(?:\\?["'`]\]
 #: What stands in prose behind a word with a colon, too.
 _PROSE = re.compile(r"(?i:key|secret|token|credentials?)(?!\w)[^:=]*:[ \t]+[^\W\d_]+")
 _PHONE = r"""(?<![\w.+-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{2,5}\)[ .-]?|\d{2,5}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])
-       |(?<![\w.+-])\+\d{1,3}(?:[ .-]?\d){6,12}(?![\w-])"""
+       |(?<![\w.+-])(?:\+\d{1,3}|00[1-9]\d{0,2}(?=[ .-]))(?:[ .-]?\d){6,12}(?![\w-])"""
+#: A number with its thousands apart isn't a phone number.
+_THOUSANDS = re.compile(r"[1-9]\d?([ .])\d{3}(?:\1\d{3})+|[1-9]\d\d([ .])(?:\d{3}\2)*000")
 FOUND_PHONE = re.compile(_PHONE, re.X)
 _FOUND = rf"""
     (?P<email>(?<![\w.+%-])\w(?:[\w.+%-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{{2,}})
     |(?P<secret>(?<![^"'`=:\s])[0-9A-Fa-f]{{32,}}(?!\w))
-    |(?P<iban>(?<!\w)[A-Z]{{2}}\d\d(?:\ ?[A-Z0-9]{{4}}){{3,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?!\w))
+    |(?P<iban>(?<!\w)[A-Z]{{2}}\d\d(?:\ ?[A-Z0-9]{{4}}){{2,7}}(?:\ ?[A-Z0-9]{{1,3}})?(?!\w))
     |(?P<ip>(?<![\w.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\w|\.\d))
+    |(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{{0,4}}:){{2,7}}[0-9A-Fa-f]{{0,4}}(?![\w:]|\.\d))
     |(?P<ssn>(?<![\w-])\d{{3}}-\d\d-\d{{4}}(?![\w-]))
     |(?P<card>(?<![\w.+-])(?:\d{{13,19}}|\d{{4}}(?:[ -]\d{{4}}){{3}}(?:[ -]\d{{1,3}})?|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-]))
     |(?P<phone>{_PHONE})
@@ -187,6 +207,8 @@ def entity(kind: str, found: str) -> list[tuple[str, str]]:
         return [(kind, re.sub(r"\D", "", found))]
     if kind == "iban":
         return [(kind, found.replace(" ", ""))]
+    if kind == "ip6":
+        return [(kind, f"{int(ipaddress.IPv6Address(found)):032x}")]
     if kind == "secret":
         return [(kind, found)]
     if kind == "name":
@@ -205,6 +227,58 @@ def _gender(kind: str, found: str, place: int) -> str | None:
     return gender if gender != "n" and place < len(words) - 1 else None
 
 
+def _mod97(account: str) -> int:
+    """The remainder that tells whether an account number's check digits are right: 1."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
+
+
+#: Areas that social security numbers don't have.
+_NO_AREAS = (0, 666, *range(900, 1000))
+
+
+def _other_ssn(key: bytes, tweak: str, digits: str) -> str:
+    """Another number, as valid as this one."""
+    area, group, serial = int(digits[:3]), int(digits[3:5]), int(digits[5:])
+    if area in _NO_AREAS or not group or not serial:
+        return same_shape(key, tweak + "invalid", digits)
+    place = area - 1 - (area > 666)
+    place, group, serial = permuted(key, tweak, [place, group - 1, serial - 1], [898, 99, 9_999])
+    return f"{place + 1 + (place >= 665):03}{group + 1:02}{serial + 1:04}"
+
+
+#: Addresses that stand for themselves.
+_NOBODY = ("0.0.0.0", "255.255.255.255")
+
+
+def _kind_of_address(octets: list[int]) -> int:
+    """Octets and bits that tell private, own, link-local and group addresses from public ones."""
+    first, second = octets[:2]
+    if first in (0, 10, 127):
+        return 8
+    if (first, second) in ((192, 168), (169, 254)):
+        return 16
+    if first == 172 and 16 <= second < 32:
+        return 12
+    return 4 if first >= 224 else 0
+
+
+def _other_address(key: bytes, tweak: str, address: str, draw: int) -> str:
+    """An address of the same kind; private networks that are full go on in the largest one."""
+    octets = [int(o) for o in address.split(".")]
+    bits = _kind_of_address(octets)
+    if bits in (12, 16) and draw >= 2 * DRAWS:
+        octets, bits = [10, *octets[1:]], 8
+    number = _number(octets, [256] * 4)
+    kept, free = number >> (32 - bits), 32 - bits
+    tweak = f"{tweak}|{bits}|{kept if bits else ''}"
+    while True:  # a permutation walked until it is back among addresses of its kind
+        symbols = permuted(key, tweak, [number >> i & 1 for i in range(free - 1, -1, -1)], [2] * free)
+        number = kept << free | _number(symbols, [2] * free)
+        found = _digits(number, [256] * 4)
+        if _kind_of_address(found) == bits:
+            return ".".join(map(str, found))
+
+
 def surrogate(key: bytes, kind: str, canonical: str, draw: int, gender: str = "n") -> str:
     """Canonical form of the surrogate; later draws are of other, in time longer, forms."""
     tweak, longer = f"{kind}|{draw}", draw // DRAWS
@@ -212,14 +286,19 @@ def surrogate(key: bytes, kind: str, canonical: str, draw: int, gender: str = "n
         country, digits = canonical.split("|")
         more = "".join(str(d) for d in hmac.digest(key, (tweak + canonical).encode(), "sha256")[:longer])[:longer]
         return f"{country}|{same_shape(key, tweak + country, digits)}{more}"
-    if kind == "card":
-        body = same_shape(key, tweak, canonical[:-1])
+    if kind == "card":  # four digits tell the issuer
+        body = canonical[:4] + same_shape(key, tweak + canonical[:4], canonical[4:-1])
         return body + str(_luhn(body))
+    if kind == "ssn":
+        return _other_ssn(key, tweak, canonical)
     if kind == "ip":
-        octets = permuted(key, tweak, [int(o) for o in canonical.split(".")], [256] * 4)
-        return ".".join(map(str, octets))
+        return _other_address(key, tweak, canonical, draw)
+    if kind == "ip6":  # the first group tells what kind of address it is
+        symbols = permuted(key, tweak + canonical[:4], [int(c, 16) for c in canonical[4:]], [16] * 28)
+        return canonical[:4] + "".join("0123456789abcdef"[s] for s in symbols)
     if kind == "iban":
-        return canonical[:2] + same_shape(key, tweak, canonical[2:].lower()).upper()
+        account = same_shape(key, tweak + canonical[:2], canonical[4:].lower()).upper()
+        return f"{canonical[:2]}{98 - _mod97(canonical[:2] + '00' + account):02}{account}"
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+|[0-9A-Fa-f]{32,}", canonical):
             symbols = permuted(key, tweak, [int(c, 16) for c in canonical], [16] * len(canonical))
@@ -237,7 +316,7 @@ def surrogate(key: bytes, kind: str, canonical: str, draw: int, gender: str = "n
         return whole.replace("@", more + "@", 1) + "." + top
     if kind.startswith("name"):
         script = kind.split(" ")[1]
-        names = _NAMES.get((script, gender)) or _NAMES[(script, "m")]
+        names = _NAMES[(script, gender)]
         digest = int.from_bytes(hmac.digest(key, f"{tweak}|{canonical}".encode(), "sha256"), "big")
         drawn = []
         for _ in range(1 + longer):
@@ -260,6 +339,10 @@ def _formatted(kind: str, found: str, forms: list[str]) -> str:
     """The surrogates' canonical forms written as the entity was."""
     if kind in ("email", "ip"):
         return _cased(found, forms[0])
+    if kind == "ip6":
+        address = ipaddress.IPv6Address(int(forms[0], 16))
+        text = address.exploded if re.search(r"(?<![^:])0\w{3}", found) else address.compressed
+        return text.upper() if found.upper() == found and not found.isdigit() else text
     if kind == "secret":
         return forms[0]
     if kind == "repeat":
@@ -284,6 +367,26 @@ def _card(m: re.Match) -> tuple[int, str] | None:
     return (m.end(), "phone") if phone else None
 
 
+def _iban(m: re.Match) -> int | None:
+    """End of the account number that a match begins with: the longest with right check digits."""
+    for part in range(len(m[0]), 14, -1):
+        if part < len(m[0]) and m[0][part].isalnum() or not m[0][part - 1].isalnum():
+            continue
+        account = m[0][:part].replace(" ", "")
+        if len(account) >= 15 and _mod97(account) == 1:
+            return m.start() + part
+    return None
+
+
+def _is_address(found: str) -> bool:
+    """Whether this is an IPv6 address of at least three groups, and not a time or a name."""
+    try:
+        ipaddress.IPv6Address(found)
+    except ValueError:
+        return False
+    return len([g for g in found.split(":") if g]) >= 3
+
+
 def _value(m: re.Match) -> tuple[int, int] | None:
     """Where the secret of an assignment is; none if its value is prose or of another kind."""
     start, end = m.span("quoted")
@@ -312,6 +415,17 @@ def _titled(text: str) -> Iterator[tuple[int, int, str]]:
                 at = end
                 continue
             end, kind = card
+        if kind == "iban":
+            if (end := _iban(m)) is None:
+                at = m.start() + 4
+                continue
+        if (
+            kind == "phone" and _THOUSANDS.fullmatch(m[0])
+            or kind == "ip" and m[0] in _NOBODY
+            or kind == "ip6" and not _is_address(m[0])
+        ):
+            at = m.start() + 1 if kind == "ip6" else end
+            continue
         if kind == "assigned":
             if (value := _value(m)) is None:
                 at = max(m.start("quoted"), m.start("bare"))
@@ -411,8 +525,11 @@ def replace_pii(docs: DataFrame, key: bytes, text_col: str = "text", count_col:
     Texts without entities, empty and null ones stay as they are (0 replacements). Equal
     entities get equal surrogates in all rows, different ones different ones; none gets
     a form that is real anywhere in ``docs``. Repeated rows stay equal; an empty table
-    gives an empty result; all other columns come out unchanged, whatever their names.
+    gives an empty result; all other columns come out unchanged, whatever their names
+    (``count_col`` must not be among them). A text is read whole, however long, by one task.
     """
+    if count_col in docs.columns:
+        raise ValueError(f"there is a column {count_col!r} already")
     spark = docs.sparkSession
     named = docs.select(F.col(text_col).cast("string").alias("__text"))
     late = exceptions(written(_entities(named), "entities"), key)
