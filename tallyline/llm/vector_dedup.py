@@ -5,7 +5,8 @@ cell of their nearest centre. A link can cross cells, so a vector is also a gues
 every later cell where a partner could live: a partner ``y`` in cell ``c`` is nearer to
 ``c`` than to this vector's centre ``h``, so it lies beyond the bisecting plane of the
 two; a vector farther from that plane than the longest chord of a link has no partner
-there. Cells are cut into blocks; each pair of home blocks, and each home block with each
+there. Nor has one whose angle to ``c`` exceeds the widest angle in the cell by more than
+that of a link, which on clustered vectors leaves few guests. Cells are cut into blocks; each pair of home blocks, and each home block with each
 guest block, is one matrix product. A product returns no pairs but, for each of its
 vectors with links, their number and the smallest vector it is connected to inside.
 """
@@ -25,7 +26,7 @@ from tallyline.llm.components import connected_components
 
 #: Vectors that k-means is fitted on, about; every vector is indexed.
 FIT_VECTORS = 20_000
-#: Vectors per cell aimed at, and the most cells.
+#: Vectors per cell aimed at, and the most cells; larger cells have more blocks.
 VECTORS_PER_CELL = 1_000
 MAX_CELLS = 4_096
 FIT_ROUNDS = 12
@@ -61,17 +62,43 @@ def _usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _widest(distinct: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """Per cell, the widest angle between its centre and a vector nearest to it; -1 without any."""
+    sent = distinct.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = sent.value
+        least = np.full(len(centres), 2.0)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                flat = whole.slice(at, 1024).column("vector").flatten().to_numpy()
+                near = flat.reshape(-1, centres.shape[1]) @ centres.T
+                np.minimum.at(least, near.argmax(1), near.max(1))
+        cells = np.flatnonzero(least < 2)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(least[cells])], names=["cell", "cosine"])
+
+    widest = np.full(len(centres), -1.0)
+    if len(centres):
+        own = distinct.where(F.size("vector") == centres.shape[1]).select("vector")
+        found = own.mapInArrow(run, "cell long, cosine double").groupBy("cell").agg(F.min("cosine").alias("cosine"))
+        for row in found.collect():  # a row per cell
+            widest[row["cell"]] = np.arccos(np.clip(row["cosine"], -1, 1))
+    return widest
+
+
 def _cells(distinct: DataFrame, centres: np.ndarray, chord: float) -> DataFrame:
     """Adds home: each vector's cell; guest_of: later cells where it may have partners.
 
     Vectors of another length than the centres' are all in cell 0 of their length.
     """
-    sent = distinct.sparkSession.sparkContext.broadcast(centres)
+    reach_of = _widest(distinct, centres) + 2 * np.arcsin(min(1.0, chord / 2)) + 1e-7
+    reach_of = np.cos(np.minimum(reach_of, np.pi))
+    sent = distinct.sparkSession.sparkContext.broadcast((centres, reach_of))
     cells = [StructField("home", IntegerType()), StructField("guest_of", ArrayType(IntegerType()))]
     schema = StructType([*distinct.schema.fields, *cells])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centres = sent.value
+        centres, reach_of = sent.value
         apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 0)) if len(centres) else None
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -87,7 +114,7 @@ def _cells(distinct: DataFrame, centres: np.ndarray, chord: float) -> DataFrame:
                     homes[own] = home
                     # distance to the bisecting plane is (x.h - x.c) / |h - c|
                     margin = near[np.arange(len(own)), home][:, None] - near
-                    reach = margin <= chord * apart[home] + 1e-9
+                    reach = (margin <= chord * apart[home] + 1e-9) & (near >= reach_of)
                     reach &= np.arange(len(centres)) > home[:, None]
                     for i, row in zip(own, reach):
                         guests[i] = np.flatnonzero(row).tolist()
@@ -212,7 +239,7 @@ def vector_dedup(
     per_length = distinct.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
     total, dim = (per_length["count"], per_length["dim"]) if per_length else (0, 0)
     share = min(1.0, FIT_VECTORS / max(total, 1))
-    drawn = F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(share * (1 << 20))
+    drawn = F.shiftrightunsigned(F.xxhash64("key"), 11) < int(share * (1 << 53))
     sample = distinct.where((F.col("dim") == dim) & drawn).select("key", "vector").toPandas().sort_values("key")
     cells = min(MAX_CELLS, max(1, total // VECTORS_PER_CELL))
     centres = spherical_kmeans(np.stack(sample["vector"]), cells) if len(sample) else np.zeros((0, 0))
@@ -224,6 +251,7 @@ def vector_dedup(
     units_of = distinct.select("label", "dim", "copies", node, scaled.alias("vector")).withColumn(
         "vector", F.transform("vector", lambda x: x / norm)
     )
+    units_of = written(units_of, "unit-vectors")
     units = _units(written(_cells(units_of, centres, chord), "cells"))
     node_type = units.schema["node"]
     schema = StructType(
