@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -63,7 +62,6 @@ def read_vocabulary(path: str) -> bytes:
 
 def release_memory() -> None:
     """Hands memory that this process has freed back to the machine, where it can."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
