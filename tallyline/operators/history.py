@@ -28,9 +28,9 @@ def metric_history(
     """
     for name in (metric, date_col):
         if not _IDENTIFIER.fullmatch(name or ""):
-            raise ValueError(f"invalid identifier: {name}")
+            raise ValueError(f"{name!r} can't be a column's name")
     if not 1 <= days <= _LONGEST:
-        raise ValueError(f"days must be between 1 and {_LONGEST}")
+        raise ValueError(f"a history has 1 to {_LONGEST} days, not {days}")
     if as_of is None:
         as_of = F.current_date()
     elif not isinstance(as_of, Column):
@@ -59,5 +59,5 @@ def table_metric_history(
 ) -> DataFrame:
     """``metric_history`` of a catalog table."""
     if not _IDENTIFIER.fullmatch(table or ""):
-        raise ValueError(f"invalid identifier: {table}")
+        raise ValueError(f"{table!r} can't be a table's name")
     return metric_history(spark.table(table), metric, date_col, days=days, **options)

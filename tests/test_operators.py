@@ -206,12 +206,14 @@ def test_join_cardinality_equals_the_join(sides):
 
 
 def test_join_cardinality_beyond_64_bits(spark):
+    from tallyline.operators.keys import cardinality
+
     n = 4_000_000_000
-    left = spark.range(1).select(F.lit("x").alias("k"))
-    counted = left.withColumn("l", F.lit(n)).withColumn("r", F.lit(n))
-    wide = "decimal(19,0)"
-    pairs = counted.select((F.col("l").cast(wide) * F.col("r").cast(wide)).alias("p"))
-    assert int(pairs.agg(F.sum("p")).first()[0]) == n * n
+    counts = spark.createDataFrame([("x", n, n), ("y", 3, 0), (None, 2, n)], "k string, _l long, _r long")
+    found = cardinality(counts, ["k"]).first()
+    assert (found.left_rows, found.right_rows, found.matched_keys) == (n + 5, 2 * n, 1)
+    assert int(found.inner_join_rows) == n * n and int(found.left_join_rows) == n * n + 5
+    assert found.fan_out == n
 
 
 def test_retention(spark):
