@@ -5,16 +5,21 @@ one order for all documents, frequent ones last; two similar sets must then shar
 shingle among the first *size - ceil(t * size) + 1* of each, their prefixes. Members
 with equal prefix and size form a group. Groups meet in the lists of their prefix
 shingles; pairs of groups are filtered by size, by how many shingles can still be common
-behind the place where they first meet, and by how many their prefixes have in common;
-what remains is expanded to members, whose sets are compared exactly.
+behind the place where they first meet, and by sketches; what remains is expanded to
+members, whose sets are compared exactly, from their texts.
+
+A sketch has a bit for each remainder of a shingle's hash, set if an odd number of the
+set's shingles has it. Where two sketches differ, a shingle is in one of the sets only; sets
+that differ in too many places can't be similar.
 
 Only links between different components matter for the result, so the lists are read
-in three rounds. In long lists, first neighbours in a few random orders are compared, then
+in rounds. In long lists, first neighbours in a few random orders are compared, then
 everybody with the members that got most links, what the others are copies of: that
-connects most of what is alike with a number of pairs in proportion to the list. Then all
-lists compare all pairs that aren't connected yet. Lists of very frequent shingles are cut
-into blocks that meet pairwise, by the number of their own entries, so no task holds a list
-however long.
+connects most of what is alike with a number of pairs in proportion to the list. Lists in
+which everybody is connected by then are done. In the others, each two components compare
+the pair whose sketches differ least; and at last all pairs that aren't connected yet.
+Lists of very frequent shingles are cut into blocks that meet pairwise, by the number of
+their own entries, so no task holds a list however long.
 
 Any order of the shingles gives the same links, so their frequencies, counted over all
 documents, may be lower bounds: each task keeps a bounded summary of frequent shingles.
@@ -30,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from tallyline.llm.common import discard, trimmed, written
 from tallyline.llm.components import connected_components
@@ -48,8 +53,13 @@ LONG_LIST = 32
 ORDERS = 8
 #: Long lists, its rarest ones, that a group takes part in for that, and hubs of a list, each
 #: the best of the groups with one remainder of their number.
-LISTS_PER_GROUP = 4
+LISTS_PER_GROUP = 2
 HUBS = 4
+#: Hubs that a group is compared with: those with most links.
+HUBS_PER_GROUP = 2
+#: Bits of a sketch, and pairs of a list that are looked at together.
+SKETCH_BITS = 1_024
+PAIRS_AT_ONCE = 1 << 17
 #: Rounds of contraction in between: parts of components are enough there.
 ROUNDS_BETWEEN = 2
 #: Groups of a list that meet in one task; longer lists are cut into blocks.
@@ -97,15 +107,16 @@ def _each_text(
     return docs.select("id", "text").mapInArrow(trimmed(run), schema)
 
 
-def _whole(data) -> np.ndarray:
-    """A set's shingles, or those of a prefix, sorted."""
-    return np.sort(np.frombuffer(data, np.int64))
-
-
 def _digest(members: np.ndarray) -> bytes:
     return md5(members.tobytes()).digest()
 
 
+def _sketch(members: np.ndarray) -> bytes:
+    """Bits of the remainders that an odd number of members has."""
+    counts = np.bincount(members & (SKETCH_BITS - 1), minlength=SKETCH_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _merged(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Summed counts by key; of more than ``most`` keys, the most frequent, less the rest's highest count."""
     order = np.argsort(keys, kind="stable")
@@ -176,13 +187,14 @@ def _looked_up(shingles: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np
 
 
 def _members(docs: DataFrame, frequent, rule: Similarity) -> DataFrame:
-    """One row per distinct set: (n, sig, rep, prefix); prefix is its shingles in order."""
+    """One row per distinct set: (n, sig, rep, prefix, sketch); prefix is its shingles in order."""
     schema = StructType(
         [
             StructField("id", LongType()),
             StructField("n", LongType()),
             StructField("sig", BinaryType()),
             StructField("prefix", BinaryType()),
+            StructField("sketch", BinaryType()),
         ]
     )
 
@@ -194,10 +206,18 @@ def _members(docs: DataFrame, frequent, rule: Similarity) -> DataFrame:
         for ids, sets in parts:
             keep = [i for i, s in enumerate(sets) if len(s)]
             kept = [sets[i] for i in keep]
-            yield [ids.take(pa.array(keep, pa.int64())), [len(s) for s in kept], [_digest(s) for s in kept], [prefix(s).tobytes() for s in kept]]
+            yield [
+                ids.take(pa.array(keep, pa.int64())),
+                [len(s) for s in kept],
+                [_digest(s) for s in kept],
+                [prefix(s).tobytes() for s in kept],
+                [_sketch(s) for s in kept],
+            ]
 
     found = _each_text(docs, schema, compute)
-    return found.groupBy("n", "sig").agg(F.min("id").alias("rep"), F.max("prefix").alias("prefix"))
+    return found.groupBy("n", "sig").agg(
+        F.min("id").alias("rep"), F.max("prefix").alias("prefix"), F.max("sketch").alias("sketch")
+    )
 
 
 def _postings(groups: DataFrame) -> DataFrame:
@@ -241,13 +261,22 @@ def _same_unit(columns: dict[str, np.ndarray], unit: list[str], a, b) -> np.ndar
     return same
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """A column of numbers, or of sketches as rows of 64-bit words."""
+    if not pa.types.is_binary(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return data.reshape(len(column), SKETCH_BITS // 8).view(np.uint64)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], names: list[str], unit: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Whole units of rows sorted by unit, many at a time; a unit is bounded by its blocks."""
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = {c: batch.column(c).to_numpy() for c in names}
+        columns = {c: _numbers(batch.column(c)) for c in names}
         n = batch.num_rows
         changes = np.flatnonzero(~_same_unit(columns, unit, slice(0, n - 1), slice(1, n)))
         if held and not _same_unit({c: np.append(held[-1][c][-1:], columns[c][:1]) for c in unit}, unit, 0, 1):
@@ -320,67 +349,93 @@ def _hub_pairs(long: DataFrame, links: DataFrame, rule: Similarity) -> DataFrame
     hubs = placed.join(degrees, "gid").groupBy("shingle", share).agg(F.max(rank).alias("hub")).drop("share")
     near = rule.den * F.least("n", "hub.n") >= rule.num * F.greatest("n", "hub.n")
     met = placed.join(hubs, "shingle").where(near & (F.col("gid") != F.col("hub.gid")))
+    best = Window.partitionBy("gid").orderBy(F.desc("hub.degree"), "hub.gid")
+    met = met.select("gid", "hub").distinct().withColumn("rank", F.row_number().over(best))
+    met = met.where(F.col("rank") <= HUBS_PER_GROUP)
     return met.select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b")).distinct()
 
 
-def _unconnected_pairs(lists: DataFrame, rule: Similarity) -> DataFrame:
-    """All pairs of groups that pass the filters and aren't in one component already.
+def _unconnected_pairs(lists: DataFrame, ends: DataFrame, rule: Similarity, best: bool) -> DataFrame:
+    """Pairs of groups that pass the filters and aren't in one component already.
 
-    ``low_part`` and ``high_part`` are the least and greatest component of a group's
-    members. At the first common shingle of a similar pair, what follows must suffice.
-    A list of several blocks is read by a unit (low, high) for each two of them, and for
-    each by itself.
+    ``ends`` has for each group (gid) the least and greatest component of its members and
+    a sketch, null unless the group has one member. At the first common shingle of a
+    similar pair, what follows must suffice. With ``best``, of all pairs of two components
+    in a list only the one whose sketches differ least. A list of several blocks is read by
+    a unit (low, high) for each two of them, and for each by itself.
     """
     unit = ["shingle", "low", "high"]
 
     def make(rows):
-        found = [np.zeros((2, 0), np.int64)]
         n, pos, gid = rows["place"] >> 32, rows["place"] & 0xFFFFFFFF, rows["gid"]
-        at = np.arange(len(gid))
-        step = 1
-        while True:
-            at = at[at + step < len(gid)]
-            at = at[_same_unit(rows, unit, at, at + step)]
-            if not len(at):
-                break
-            a, b = at, at + step
+        low, high = rows["low_part"], rows["high_part"]
+        count = len(gid)
+        # rows of one unit and component stand together; a group of several is by itself
+        same = _same_unit(rows, unit, slice(0, count - 1), slice(1, count))
+        own = same & (low[1:] == low[:-1]) & (low[1:] == high[1:]) & (low[:-1] == high[:-1])
+        unit_end = np.append(np.flatnonzero(~same) + 1, count)
+        part_end = np.append(np.flatnonzero(~own) + 1, count)
+        at = np.arange(count)
+        last = unit_end[np.searchsorted(unit_end, at, side="right")]
+        first = part_end[np.searchsorted(part_end, at, side="right")]
+        others = last - first
+        found = [np.zeros((2, 0), np.int64)]
+        cuts = np.searchsorted(np.cumsum(others), np.arange(PAIRS_AT_ONCE, others.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE))
+        for start, end in zip([0, *cuts[:-1] + 1], cuts + 1):
+            some = at[start:end]
+            a = np.repeat(some, others[some])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(others[some]) - others[some], others[some]) + first[a]
             ok = (rows["low"][a] == rows["high"][a]) | (rows["block"][a] != rows["block"][b])
             ok &= _near_in_size(rule, n[a], n[b]) & (gid[a] != gid[b])
             ok &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= rule.common(n[a] + n[b])
-            part = np.minimum(rows["low_part"][a], rows["low_part"][b])
-            ok &= part != np.maximum(rows["high_part"][a], rows["high_part"][b])
             a, b = a[ok], b[ok]
+            apart = np.bitwise_count(rows["sketch"][a] ^ rows["sketch"][b]).sum(axis=1, dtype=np.int64)
+            apart[~(rows["single"][a] & rows["single"][b])] = 0
+            total = n[a] + n[b]
+            ok = total - apart >= 2 * rule.common(total)
+            a, b, apart = a[ok], b[ok], (apart / total)[ok]
+            if best:
+                keys = [apart, *(rows[c][x] for x in (a, b) for c in ("low_part", "high_part")), a_unit := np.searchsorted(unit_end, a, side="right")]
+                order = np.lexsort(keys)
+                a, b, a_unit = a[order], b[order], a_unit[order]
+                new = np.ones(len(a), bool)
+                new[1:] = a_unit[1:] != a_unit[:-1]
+                for x in (a, b):
+                    for c in (low, high):
+                        new[1:] |= c[x[1:]] != c[x[:-1]]
+                a, b = a[new], b[new]
             found.append(np.stack([np.minimum(gid[a], gid[b]), np.maximum(gid[a], gid[b])]))
-            step += 1
-        low, high = np.unique(np.concatenate(found, axis=1), axis=1)
-        return low, high
-
+        low_gid, high_gid = np.unique(np.concatenate(found, axis=1), axis=1)
+        return low_gid, high_gid
+
+    whole = Window.partitionBy("shingle")
+    rows = lists.join(ends.drop("sketch"), "gid")
+    rows = rows.withColumn("open", F.min("low_part").over(whole) != F.max("high_part").over(whole))
+    rows = rows.where("open").drop("open").join(ends.select("gid", "sketch"), "gid")
+    single = F.col("sketch").isNotNull()
+    rows = rows.withColumns({"single": single, "sketch": F.coalesce("sketch", F.lit(bytes(SKETCH_BITS // 8)))})
     others = F.explode(F.sequence(F.lit(0), _blocks(F.col("length")) - 1))
-    rows = lists.withColumn("block", _block()).withColumn("other", others)
+    rows = rows.withColumn("block", _block()).withColumn("other", others)
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
-    rows = rows.select(*unit, "block", "gid", "place", "low_part", "high_part")
-    return _in_units(rows, unit, [], make, _PAIR).distinct()
+    rows = rows.select(*unit, "block", "gid", "place", "low_part", "high_part", "single", "sketch")
+    return _in_units(rows, unit, ["low_part", "high_part"], make, _PAIR).distinct()
+
 
+def _compared(pairs: DataFrame, values: DataFrame, fits) -> DataFrame:
+    """The pairs that pass ``fits``, by their two rows of ``values`` (rep, n, value).
 
-def _compared(pairs: DataFrame, sets: DataFrame, fits) -> DataFrame:
-    """The pairs whose two sets, of ``sets`` (rep, n, members), pass ``fits``."""
+    ``fits`` takes columns x and y of values and n and m, and returns a flag for each pair.
+    """
     both = pairs
     for side, value, size in (("a", "x", "n"), ("b", "y", "m")):
-        own = sets.select(F.col("rep").alias(side), F.col("members").alias(value), F.col("n").alias(size))
+        own = values.select(F.col("rep").alias(side), F.col("value").alias(value), F.col("n").alias(size))
         both = both.join(own, side)
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                ok = []
-                sizes = (batch.column(c).to_pylist() for c in ("n", "m"))
-                for x, y, n, m in zip(batch.column("x"), batch.column("y"), *sizes):
-                    p, q = _whole(x.as_buffer()), _whole(y.as_buffer())
-                    if len(p) > len(q):
-                        p, q, n, m = q, p, m, n
-                    spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                    ok.append(fits(int((q[spot] == p).sum()), n, m))
+                ok = fits(*(batch.column(c) for c in "xynm"))
                 yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return both.select("a", "b", "x", "y", "n", "m").mapInArrow(trimmed(run), _PAIR)
@@ -400,46 +455,48 @@ def _ends(pairs: DataFrame) -> tuple[DataFrame, bool]:
 def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Similarity) -> DataFrame:
     """Those of the pairs (a, b) of members whose sets are similar; they may repeat.
 
-    The prefixes, a fifth of the sets, are compared first. Of two sets, the one whose
-    prefix ends first in the order of all shingles has everything common up to there in
-    both prefixes; what these have in common and the rest of that set must suffice.
+    Sketches are compared first, then the sets, made from the texts: these are smaller than
+    their shingles.
     """
 
-    def may_fit(met: int, n: int, m: int) -> bool:
-        rest = max(n - rule.prefix(n), m - rule.prefix(m))
-        return met + rest >= -(-rule.num * (n + m) // (rule.num + rule.den))
-
-    def fits(common: int, n: int, m: int) -> bool:
-        return rule.den * common >= rule.num * (n + m - common)
+    def may_fit(x, y, n, m):
+        apart = np.bitwise_count(_numbers(x) ^ _numbers(y)).sum(axis=1, dtype=np.int64)
+        total = n.to_numpy() + m.to_numpy()
+        return total - apart >= 2 * rule.common(total)
+
+    def fits(x, y, n, m):
+        ok = []
+        for p, q in zip(shingle_sets(x.to_pylist()), shingle_sets(y.to_pylist())):
+            if len(p) > len(q):
+                p, q = q, p
+            spot = np.minimum(np.searchsorted(q, p), len(q) - 1)
+            common = int((q[spot] == p).sum())
+            ok.append(rule.den * common >= rule.num * (len(p) + len(q) - common))
+        return ok
 
     pairs = written(pairs, "candidates")
     ends, few = _ends(pairs)
-    prefixes = _only(members.select("rep", "n", F.col("prefix").alias("members")), ends, ["rep"], few)
-    likely = written(_compared(pairs, prefixes, may_fit), "likely")
-    discard(pairs)
+    sketches = _only(members.select("rep", "n", F.col("sketch").alias("value")), ends, ["rep"], few)
+    likely = written(_compared(pairs, sketches, may_fit), "likely")
 
-    pairs = likely
-    ends, few = _ends(pairs)
+    ends, few = _ends(likely)
     wanted = _only(members, ends, ["rep"], few).select(F.col("rep").alias("id"), "sig")
     wanted = written(wanted, "wanted")
-    schema = StructType(
-        [
-            StructField("id", LongType()),
-            StructField("sig", BinaryType()),
-            StructField("n", LongType()),
-            StructField("members", BinaryType()),
-        ]
-    )
+    schema = StructType([StructField("id", LongType()), StructField("sig", BinaryType()), StructField("text", StringType())])
 
-    def compute(parts):
-        for ids, sets in parts:
-            yield [ids, [_digest(s) for s in sets], [len(s) for s in sets], [s.tobytes() for s in sets]]
-
-    texts = _only(docs, wanted.select("id").distinct(), ["id"], few)
-    sets = _only(_each_text(texts, schema, compute), wanted, ["id", "sig"], few)
-    sets = written(sets.select(F.col("id").alias("rep"), "n", "members"), "sets")
-    similar = written(_compared(pairs, sets, fits), "similar")
-    discard(likely, wanted, sets)
+    def run(batches):  # an id may have several texts
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                columns = [batch.column(0), pa.array(map(_digest, shingle_sets(texts)), pa.binary()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    texts = _only(docs.select("id", "text"), wanted.select("id").distinct(), ["id"], few).mapInArrow(trimmed(run), schema)
+    texts = _only(texts, wanted, ["id", "sig"], few)
+    texts = written(texts.select(F.col("id").alias("rep"), F.lit(0).cast("long").alias("n"), F.col("text").alias("value")), "texts")
+    similar = written(_compared(likely, texts, fits), "similar")
+    discard(pairs, likely, wanted, texts)
     return similar
 
 
@@ -481,32 +538,38 @@ def jaccard_components(
     hubs = _hub_pairs(long, links, rule).join(links, ["a", "b"], "left_anti")
     links = links.union(_verified(named, members, hubs, rule))
 
-    # part: what a member is known to be connected to so far
-    parts = connected_components(links, ROUNDS_BETWEEN)
-    known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
-        "rep", "gid", F.coalesce("component", "rep").alias("part")
-    )
-    known = written(known, "known")
-    ends = known.groupBy("gid").agg(F.min("part").alias("low_part"), F.max("part").alias("high_part"))
-
-    # all pairs that aren't connected by these
-    pairs = _unconnected_pairs(lists.join(ends, "gid"), rule)
-    mixed = ends.where("low_part != high_part").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-    pairs = pairs.union(mixed)
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("gid").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("part").alias(f"{side}_part")), side)
-    expanded = pairs.where("a_part != b_part").select(
-        F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")
-    )
-    more = _verified(named, members, expanded.distinct(), rule)
+    # what isn't connected by these: the best pair of each two components, then all pairs
+    sketches = members.select(F.col("rep").alias("gid"), "sketch")
+    for best in (True, False):
+        parts = connected_components(links, ROUNDS_BETWEEN)
+        known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
+            "rep", "gid", F.coalesce("component", "rep").alias("part")
+        )
+        known = written(known, "known")
+        ends = known.groupBy("gid").agg(
+            F.min("part").alias("low_part"), F.max("part").alias("high_part"), F.count("*").alias("size")
+        )
+        alone = F.when(F.col("size") == 1, F.col("sketch")).alias("sketch")
+        ends = ends.join(sketches, "gid").select("gid", "low_part", "high_part", alone)
+        pairs = _unconnected_pairs(lists, ends, rule, best)
+        mixed = ends.where("low_part != high_part").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+        pairs = pairs.union(mixed)
+        for side in ("a", "b"):
+            own = known.select(F.col("gid").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("part").alias(f"{side}_part"))
+            pairs = pairs.join(own, side)
+        expanded = pairs.where("a_part != b_part").select(
+            F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")
+        )
+        links = links.union(_verified(named, members, expanded.distinct(), rule))
+        discard(known)
 
     # rows that share an id
     shared = rows.where("id is not null and n > 0").groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
     repeats = rows.join(shared.select("id"), "id", "left_semi").join(members, ["n", "sig"])
-    parts = connected_components(links.union(more).union(repeats.select("id", "rep")))
+    parts = connected_components(links.union(repeats.select("id", "rep")))
     placed = members.join(parts, F.col("rep") == F.col("node"), "left")
     placed = written(placed.select("n", "sig", F.coalesce("component", "rep").alias("component_id")), "placed")
-    discard(members, grouped, lists, long, known)
+    discard(members, grouped, lists, long)
     out = rows.join(placed, ["n", "sig"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))

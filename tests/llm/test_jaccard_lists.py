@@ -74,7 +74,7 @@ def want(rows):
 @pytest.mark.parametrize("block, long_list, lists", [(64, 8, 4), (4_096, 32, 1), (500, 5_000, 4)])
 def test_near_copies(spark, monkeypatch, rows, want, block, long_list, lists):
     """Small blocks; one list per group; no neighbours and hubs at all."""
-    for name, value in (("BLOCK", block), ("LONG_LIST", long_list), ("LISTS_PER_GROUP", lists)):
+    for name, value in (("BLOCK", block), ("LONG_LIST", long_list), ("LISTS_PER_GROUP", lists), ("PAIRS_AT_ONCE", 50 * block)):
         monkeypatch.setattr(jaccard_join, name, value)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
     got = sorted(tuple(r) for r in jaccard_components(docs).collect())
