@@ -300,14 +300,18 @@ def lineage_upstream(
     ways = upstream(spark, table, [(e.parent, e.child) for e in chosen])
     counts = reconcile_lineage(tables, chosen).drop("parent_measure", "child_measure")
     steps = ways.join(counts, ["parent", "child"])
-    # a way's steps nearer to the table are those whose path its own path starts with
-    lossy = steps.where("keys_lost > 0").select(F.col("path").alias("lossy"))
-    nearer = steps.join(
-        lossy,
-        (F.size("lossy") < F.size("path"))
-        & (F.slice("path", F.lit(1), F.size("lossy")) == F.col("lossy")),
-        "left_semi",
-    ).select("path", F.lit(True).alias("nearer"))
+    # a way's steps nearer to the table are those that its path starts with
+    lossy = steps.where("keys_lost > 0").select(F.col("path").alias("start"))
+    starts = F.transform(
+        F.sequence(F.lit(2), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n)
+    )
+    nearer = (
+        steps.where(F.size("path") > 2)
+        .select("path", F.explode(starts).alias("start"))
+        .join(lossy, "start", "left_semi")
+        .select("path", F.lit(True).alias("nearer"))
+        .distinct()
+    )
     return steps.join(nearer, "path", "left").select(
         "depth",
         "parent",

@@ -73,16 +73,27 @@ def test_exchanges(spark, no_broadcast, name, most):
     assert plan(registered()[name](spark, SF_DIR)).count("Exchange ") <= most
 
 
-def test_stored_fact_feeds_a_mart_in_few_shuffles(spark, tables, tmp_path, no_broadcast):
-    """From stored tables: items, review totals, the sums per seller, the sums once
-    more for the join, and the sellers."""
-    from tallyline.plans import marts
+def test_stored_items_feed_marts_in_few_shuffles(spark, tables, tmp_path, no_broadcast):
+    """The items meet the review totals once; the marts that count items read the result,
+    sum it per seller (and order, for distinct orders) or product, and join the dimension."""
+    from tallyline.plans import marts, star
 
-    stored = []
-    for name in ("fct_order_items", "dim_sellers", "review_totals"):
+    stored = {}
+    for name in ("fct_order_items", "review_totals", "dim_sellers", "dim_products"):
         tables[name].write.parquet(f"{tmp_path}/{name}")
-        stored.append(spark.read.parquet(f"{tmp_path}/{name}"))
-    assert plan(marts.mart_seller_sales(*stored)).count("Exchange hash") == 5
+        stored[name] = spark.read.parquet(f"{tmp_path}/{name}")
+    items = star.reviewed_items(stored["fct_order_items"], stored["review_totals"])
+    assert plan(items).count("Exchange hash") == 2
+    items.write.parquet(f"{tmp_path}/reviewed_items")
+    items = spark.read.parquet(f"{tmp_path}/reviewed_items")
+    made = [
+        (marts.mart_seller_sales(items, stored["dim_sellers"]), 3),
+        (marts.mart_obt_sellers(stored["dim_sellers"], items), 3),
+        (marts.mart_product_performance(items, stored["dim_products"]), 2),
+    ]
+    for mart, shuffles in made:
+        text = plan(mart)
+        assert text.count("Exchange hash") == shuffles and text.count("SortMergeJoin") == 1, text
 
 
 def test_unused_order_totals_are_not_computed(spark, no_broadcast):
