@@ -10,14 +10,15 @@ members, whose sets are compared exactly, from their texts.
 
 A sketch has a bit for each remainder of a shingle's hash, set if an odd number of the
 set's shingles has it. Where two sketches differ, a shingle is in one of the sets only; sets
-that differ in too many places can't be similar.
+that differ in too many places can't be similar. Halves added up give a sketch of half the
+bits: rows of lists have short ones, and the pairs that are left are compared by long ones.
 
 Only links between different components matter for the result, so the lists are read
 in rounds. In long lists, first neighbours in a few random orders are compared, then
 everybody with the members that got most links, what the others are copies of: that
 connects most of what is alike with a number of pairs in proportion to the list. Lists in
-which everybody is connected by then are done. In the others, each two components compare
-the pair whose sketches differ least; and at last all pairs that aren't connected yet.
+which everybody is connected by then are done; the others compare all pairs that aren't
+connected yet.
 Lists of very frequent shingles are cut into blocks that meet pairwise, by the number of
 their own entries, so no task holds a list however long.
 
@@ -57,7 +58,7 @@ LISTS_PER_GROUP = 2
 HUBS = 4
 #: Hubs that a group is compared with: those with most links.
 HUBS_PER_GROUP = 2
-#: Bits of a sketch, and pairs of a list that are looked at together.
+#: Bits of the sketches that go with the lists, and pairs of a list looked at together.
 SKETCH_BITS = 1_024
 PAIRS_AT_ONCE = 1 << 17
 #: Rounds of contraction in between: parts of components are enough there.
@@ -112,11 +113,30 @@ def _digest(members: np.ndarray) -> bytes:
 
 
 def _sketch(members: np.ndarray) -> bytes:
-    """Bits of the remainders that an odd number of members has."""
-    counts = np.bincount(members & (SKETCH_BITS - 1), minlength=SKETCH_BITS)
+    """Bits of the remainders that an odd number of members has: two to four per member."""
+    bits = max(SKETCH_BITS, 2 << (len(members) - 1).bit_length())
+    counts = np.bincount(members & (bits - 1), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(sketch: bytes, size: int) -> np.ndarray:
+    """The sketch of ``size`` bytes of the same set, as 64-bit words."""
+    words = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(words.reshape(-1, size // 8), axis=0)
+
+
+def _narrow(members: DataFrame) -> DataFrame:
+    """(gid, sketch): each member's sketch with SKETCH_BITS bits."""
+    schema = StructType([StructField("gid", LongType()), StructField("sketch", BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            folded = [_folded(x, SKETCH_BITS // 8).tobytes() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(folded, pa.binary())], names=schema.names)
+
+    return members.select("rep", "sketch").mapInArrow(trimmed(run), schema)
+
+
 def _merged(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Summed counts by key; of more than ``most`` keys, the most frequent, less the rest's highest count."""
     order = np.argsort(keys, kind="stable")
@@ -355,14 +375,13 @@ def _hub_pairs(long: DataFrame, links: DataFrame, rule: Similarity) -> DataFrame
     return met.select(F.least("gid", "hub.gid").alias("a"), F.greatest("gid", "hub.gid").alias("b")).distinct()
 
 
-def _unconnected_pairs(lists: DataFrame, ends: DataFrame, rule: Similarity, best: bool) -> DataFrame:
-    """Pairs of groups that pass the filters and aren't in one component already.
+def _unconnected_pairs(lists: DataFrame, ends: DataFrame, rule: Similarity) -> DataFrame:
+    """All pairs of groups that pass the filters and aren't in one component already.
 
     ``ends`` has for each group (gid) the least and greatest component of its members and
     a sketch, null unless the group has one member. At the first common shingle of a
-    similar pair, what follows must suffice. With ``best``, of all pairs of two components
-    in a list only the one whose sketches differ least. A list of several blocks is read by
-    a unit (low, high) for each two of them, and for each by itself.
+    similar pair, what follows must suffice. A list of several blocks is read by a unit
+    (low, high) for each two of them, and for each by itself.
     """
     unit = ["shingle", "low", "high"]
 
@@ -393,17 +412,7 @@ def _unconnected_pairs(lists: DataFrame, ends: DataFrame, rule: Similarity, best
             apart[~(rows["single"][a] & rows["single"][b])] = 0
             total = n[a] + n[b]
             ok = total - apart >= 2 * rule.common(total)
-            a, b, apart = a[ok], b[ok], (apart / total)[ok]
-            if best:
-                keys = [apart, *(rows[c][x] for x in (a, b) for c in ("low_part", "high_part")), a_unit := np.searchsorted(unit_end, a, side="right")]
-                order = np.lexsort(keys)
-                a, b, a_unit = a[order], b[order], a_unit[order]
-                new = np.ones(len(a), bool)
-                new[1:] = a_unit[1:] != a_unit[:-1]
-                for x in (a, b):
-                    for c in (low, high):
-                        new[1:] |= c[x[1:]] != c[x[:-1]]
-                a, b = a[new], b[new]
+            a, b = a[ok], b[ok]
             found.append(np.stack([np.minimum(gid[a], gid[b]), np.maximum(gid[a], gid[b])]))
         low_gid, high_gid = np.unique(np.concatenate(found, axis=1), axis=1)
         return low_gid, high_gid
@@ -460,7 +469,10 @@ def _verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, rule: Simil
     """
 
     def may_fit(x, y, n, m):
-        apart = np.bitwise_count(_numbers(x) ^ _numbers(y)).sum(axis=1, dtype=np.int64)
+        apart = np.zeros(len(x), np.int64)
+        for i, (p, q) in enumerate(zip(x.to_pylist(), y.to_pylist())):
+            size = min(len(p), len(q))
+            apart[i] = np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum(dtype=np.int64)
         total = n.to_numpy() + m.to_numpy()
         return total - apart >= 2 * rule.common(total)
 
@@ -538,30 +550,30 @@ def jaccard_components(
     hubs = _hub_pairs(long, links, rule).join(links, ["a", "b"], "left_anti")
     links = links.union(_verified(named, members, hubs, rule))
 
-    # what isn't connected by these: the best pair of each two components, then all pairs
-    sketches = members.select(F.col("rep").alias("gid"), "sketch")
-    for best in (True, False):
-        parts = connected_components(links, ROUNDS_BETWEEN)
-        known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
-            "rep", "gid", F.coalesce("component", "rep").alias("part")
-        )
-        known = written(known, "known")
-        ends = known.groupBy("gid").agg(
-            F.min("part").alias("low_part"), F.max("part").alias("high_part"), F.count("*").alias("size")
-        )
-        alone = F.when(F.col("size") == 1, F.col("sketch")).alias("sketch")
-        ends = ends.join(sketches, "gid").select("gid", "low_part", "high_part", alone)
-        pairs = _unconnected_pairs(lists, ends, rule, best)
-        mixed = ends.where("low_part != high_part").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
-        pairs = pairs.union(mixed)
-        for side in ("a", "b"):
-            own = known.select(F.col("gid").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("part").alias(f"{side}_part"))
-            pairs = pairs.join(own, side)
-        expanded = pairs.where("a_part != b_part").select(
-            F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")
-        )
-        links = links.union(_verified(named, members, expanded.distinct(), rule))
-        discard(known)
+    # part: what a member is known to be connected to so far
+    parts = connected_components(links, ROUNDS_BETWEEN)
+    known = grouped.join(parts, F.col("rep") == F.col("node"), "left").select(
+        "rep", "gid", F.coalesce("component", "rep").alias("part")
+    )
+    known = written(known, "known")
+    ends = known.groupBy("gid").agg(
+        F.min("part").alias("low_part"), F.max("part").alias("high_part"), F.count("*").alias("size")
+    )
+    alone = F.when(F.col("size") == 1, F.col("sketch")).alias("sketch")
+    ends = ends.join(_narrow(members), "gid").select("gid", "low_part", "high_part", alone)
+    ends = written(ends, "ends")
+
+    # all pairs that aren't connected by these
+    pairs = _unconnected_pairs(lists, ends, rule)
+    mixed = ends.where("low_part != high_part").select(F.col("gid").alias("a"), F.col("gid").alias("b"))
+    pairs = pairs.union(mixed)
+    for side in ("a", "b"):
+        own = known.select(F.col("gid").alias(side), F.col("rep").alias(f"{side}_rep"), F.col("part").alias(f"{side}_part"))
+        pairs = pairs.join(own, side)
+    expanded = pairs.where("a_part != b_part").select(
+        F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")
+    )
+    links = links.union(_verified(named, members, expanded.distinct(), rule))
 
     # rows that share an id
     shared = rows.where("id is not null and n > 0").groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
@@ -569,7 +581,7 @@ def jaccard_components(
     parts = connected_components(links.union(repeats.select("id", "rep")))
     placed = members.join(parts, F.col("rep") == F.col("node"), "left")
     placed = written(placed.select("n", "sig", F.coalesce("component", "rep").alias("component_id")), "placed")
-    discard(members, grouped, lists, long)
+    discard(members, grouped, lists, long, known, ends)
     out = rows.join(placed, ["n", "sig"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
