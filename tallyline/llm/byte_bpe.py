@@ -32,7 +32,6 @@ from pyspark.sql.types import (
 
 from tallyline.llm.common import map_texts, read_vocabulary, release_memory, trimmed
 from tallyline.llm.token_counts import (
-    MAX_REMEMBERED_CHARS,
     STREAMED_CHARS,
     WIDE_SPACE,
     Remembered,
