@@ -30,6 +30,7 @@ from pyspark.sql.types import (
     StructField,
 )
 
+from tallyline.llm import token_counts
 from tallyline.llm.common import map_texts, read_vocabulary, release_memory, trimmed
 from tallyline.llm.token_counts import (
     STREAMED_CHARS,
@@ -78,41 +79,47 @@ class ByteBPE:
             add_prefix_space=False, trim_offsets=False, use_regex=False
         )
         self.pieces = regex.compile(spelt_out(pattern))
-        self.by_piece = Remembered()
-        self.after_space = Remembered(lambda stretch: self._cut(" " + stretch))
-        self.shown_of = {rank: text for text, rank in vocabulary.items()}
-        #: from a stand-in back to its byte, as the Latin-1 character of that number
-        self.byte_of = {ord(c): b for b, c in enumerate(alphabet)}
+        # a piece that starts with a space is remembered as the stretch behind it
+        self.by_piece = Remembered(most=token_counts.MAX_REMEMBERED_BYTES // 3)
+        self.after_space = Remembered(lambda stretch: self._cut(" " + stretch), 2 * token_counts.MAX_REMEMBERED_BYTES)
+        #: the byte table read backwards, over the stand-ins of each token
+        byte_of = {ord(c): b for b, c in enumerate(alphabet)}
+        self.bytes_of = {rank: text.translate(byte_of).encode("latin-1") for text, rank in vocabulary.items()}
         self.lengths = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, rank in ranks.items():
             self.lengths[rank] = len(token)
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of the pieces that aren't remembered, by one call of the library."""
-        known = self.by_piece
-        new = [p for p in pieces if p not in known and not known.found_again(p)]
-        once = {}
-        if new:
-            found = self.library.encode(new, is_pretokenized=True, add_special_tokens=False)
+    def _known(self, piece: str) -> bytes | None:
+        table, key = (self.after_space, piece[1:]) if piece[0] == " " else (self.by_piece, piece)
+        found = table.get(key)
+        return table.get(key) if found is None and table.found_again(key) else found
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces that aren't remembered, by one call of the library."""
+        once: dict[str, bytes] = {}
+        if pieces:
+            found = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
             ids, words = np.array(found.ids, "<u4"), np.array(found.word_ids)
-            cuts = np.searchsorted(words, np.arange(len(new) + 1))
-            for i, piece in enumerate(new):
-                once[piece] = ids[cuts[i] : cuts[i + 1]].tobytes()
-                known.keep(piece, once[piece])
+            cuts = np.searchsorted(words, np.arange(len(pieces) + 1)).tolist()
+            data = ids.tobytes()
+            for i, piece in enumerate(pieces):
+                once[piece] = value = data[4 * cuts[i] : 4 * cuts[i + 1]]
+                if piece[0] == " ":
+                    self.after_space.keep(piece[1:], value)
+                else:
+                    self.by_piece.keep(piece, value)
         return once
 
+    def _joined(self, parts: list[str], once: dict[str, bytes]) -> bytes:
+        found = (once.get(p) or self._known(p) or self._learn([p])[p] for p in parts)
+        return b"".join(found)
+
     def _cut(self, text: str) -> bytes:
         found = []
         for part in self._parts(text):
-            once = self._learn({p for p in part if p not in self.by_piece})
-            known = self.by_piece.get
-            found += [once.get(p) or known(p) or self._one(p) for p in part]
+            found.append(self._joined(part, self._learn([p for p in set(part) if self._known(p) is None])))
         return b"".join(found)
 
-    def _one(self, piece: str) -> bytes:
-        """A piece that was forgotten meanwhile."""
-        return self._learn({piece}).get(piece) or self.by_piece[piece]
-
     def _parts(self, text: str) -> Iterator[list[str]]:
         """The text's pieces, some at a time."""
         part = []
@@ -130,11 +137,11 @@ class ByteBPE:
         fresh = {s for stretches in spaced for s in stretches[1:]}
         fresh = [s for s in fresh if s not in self.after_space and not self.after_space.found_again(s)]
         cut = [self.pieces.findall(" " + s) for s in fresh]
-        once = self._learn({p for parts in cut for p in parts if p not in self.by_piece})
-        known = self.by_piece.get
+        new = {p for parts in cut for p in parts}
+        once = self._learn([p for p in new if self._known(p) is None])
         for s, parts in zip(fresh, cut):
-            ids = [once.get(p) or known(p) or self._one(p) for p in parts]
-            self.after_space.keep(s, b"".join(ids))
+            if len(parts) > 1 or parts[0][0] != " ":
+                self.after_space.keep(s, self._joined(parts, once))
         stretch = self.after_space.__getitem__
         return [
             self._cut(s[0]) + b"".join(map(stretch, s[1:])) if ok else self._cut(t)
@@ -156,10 +163,9 @@ class ByteBPE:
     def decode(self, ids: bytes) -> bytes:
         """The bytes that the ids stand for; characters split between ids are whole again.
 
-        Ids give their stand-in characters, and the byte table read backwards gives bytes.
+        Each id stands for stand-in characters, and those for bytes by the table.
         """
-        shown = "".join(map(self.shown_of.__getitem__, array("I", ids)))
-        return shown.translate(self.byte_of).encode("latin-1")
+        return b"".join(map(self.bytes_of.__getitem__, array("I", ids)))
 
 
 _coders: dict[int, ByteBPE] = {}

@@ -34,8 +34,8 @@ PIECES = (
 )
 #: A space beside other white space.
 WIDE_SPACE = re.compile(r" \s|\s ")
-#: Bytes of memory that a worker process keeps pieces in, as many for stretches, and the
-#: characters of the longest ones kept.
+#: Bytes of memory that a worker process keeps pieces and stretches in, up to twice as many
+#: in a table, and the characters of the longest ones kept.
 MAX_REMEMBERED_BYTES = 48 << 20
 MAX_REMEMBERED_CHARS = 64
 #: Bytes of a table's entry besides its key and value, at most.
@@ -161,8 +161,8 @@ class TokenCounter:
         if len(numbers) >= 1 << 16:
             raise ValueError("vocabularies of 65,536 symbols or more are not supported")
         self.pieces = regex.compile(PIECES)
-        self.by_piece = Remembered(self._merged)
-        self.after_space = Remembered(lambda stretch: self._cut(" " + stretch))
+        self.by_piece = Remembered(self._merged, 2 * MAX_REMEMBERED_BYTES)
+        self.after_space = Remembered(lambda stretch: self._cut(" " + stretch), 2 * MAX_REMEMBERED_BYTES)
         strings = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, strings))) if strings else None
 

@@ -45,5 +45,5 @@ def test_bounded_tables(monkeypatch):
         assert [memoryview(x).cast("I").tolist() for x in coder.encode(part)] == want
         assert [counter.count(t) for t in part] == [len(w) for w in want]
         for table in (coder.by_piece, coder.after_space, counter.by_piece, counter.after_space):
-            assert held(table) <= 40_000
+            assert held(table) <= table.most <= 80_000
     assert coder.after_space.before  # the tables were full at times
