@@ -119,3 +119,26 @@ def test_relative_paths_reach_the_catalog(spark, built, tmp_path):
     relative = os.path.relpath(f"{tmp_path}/out")
     build(spark, os.path.relpath(f"{root}/feeds"), relative, databases={"marts": "relative_marts"})
     assert spark.table("relative_marts.mart_seller_sales").count() == 2
+
+
+def test_shuffle_files_go_with_their_query(spark, built, tmp_path):
+    import time
+
+    root, _ = built
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    build(spark, f"{root}/feeds", f"{tmp_path}/out")
+    until = time.time() + 20
+    while (left := shuffles() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+
+
+def test_stored_tables_are_zstd(spark, feeds, tmp_path):
+    feeds["olist_orders"].write.parquet(f"{tmp_path}/orders")
+    assert list(tmp_path.glob("orders/*.zstd.parquet"))

@@ -33,3 +33,11 @@ def test_input_bytes(spark, tmp_path):
 
 def test_scratch_dir_is_the_sessions(spark):
     assert session.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_a_reducer_gets_a_bounded_part_of_the_input(spark, settings, monkeypatch):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    settings(key, spark.conf.get(key, "8"))
+    monkeypatch.setattr(session, "input_bytes", lambda spark, path: 6 << 30)
+    session.tune(spark, "anything")
+    assert int(spark.conf.get(key)) >= 6 * 64
