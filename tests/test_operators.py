@@ -443,3 +443,21 @@ def test_domain_violations_with_an_allowed_list(spark):
     df = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "s string")
     assert rows(ops.domain_violations(df, "s", allowed=["a"])) == [("b", 2)]
     assert len(rows(ops.domain_violations(df, "s", allowed=["a"], nullable=False))) == 2
+
+
+def test_reconcile_lineage_emits_a_row_once_for_its_edges(spark):
+    """Three edges on one key: a row of ``a`` is counted once for it, not once per edge."""
+    digest = "0123456789abcdef" * 2
+    a = spark.createDataFrame([(digest, 1.0), (digest.upper(), 2.0), (None, 4.0), ("x", 8.0)], "k string, v double")
+    b = a.where("k != 'x'")
+    edges = [ops.Edge("a", n, (("k", "k"),), m) for n, m in (("b", ("v", "v")), ("c", None), ("d", ("v", "v")))]
+    got = ops.reconcile_lineage({"a": a, "b": b, "c": a, "d": a.limit(0)}, edges)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    generated = [line for line in plan.splitlines() if "Generate inline" in line and "domain" in line]
+    assert sum(line.count("struct(domain") for line in generated) == 4
+    rows = {r.child: (r.parent_rows, r.child_rows, r.keys_lost, r.keys_gained, r.parent_measure, r.child_measure) for r in got.collect()}
+    assert rows == {
+        "b": (4, 2, 2, 0, 15.0, 3.0),
+        "c": (4, 4, 0, 0, None, None),
+        "d": (4, 0, 4, 0, 15.0, None),
+    }
