@@ -48,7 +48,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Numbers and digests of every document's ids, checked by decoding."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe_round_trip(docs, path, public_tokenizers.PATTERN)
+    tokens = bpe_round_trip(docs, path, public_tokenizers.PATTERN)
+    return tokens.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
