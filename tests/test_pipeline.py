@@ -142,3 +142,57 @@ def test_shuffle_files_go_with_their_query(spark, built, tmp_path):
 def test_stored_tables_are_zstd(spark, feeds, tmp_path):
     feeds["olist_orders"].write.parquet(f"{tmp_path}/orders")
     assert list(tmp_path.glob("orders/*.zstd.parquet"))
+
+
+def _writes(monkeypatch):
+    """Paths written as Parquet from now on, and how many were at the same time."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plain, paths, now, most = DataFrameWriter.parquet, [], [], []
+
+    def parquet(self, path, *args, **options):
+        paths.append(path)
+        now.append(path)
+        most.append(len(now))
+        try:
+            return plain(self, path, *args, **options)
+        finally:
+            now.remove(path)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    return paths, most
+
+
+def test_tables_share_no_time_on_disk(spark, built, tmp_path, monkeypatch):
+    """Shuffle files of two tables and work tables that nothing reads any more."""
+    root, _ = built
+    _, most = _writes(monkeypatch)
+    build(spark, f"{root}/feeds", f"{tmp_path}/out")
+    assert max(most) == 1
+    assert not list(tmp_path.glob("out/work/*"))
+
+
+def test_wide_tables_are_written_in_slices(spark, built, tables, tmp_path, monkeypatch):
+    from tallyline.plans import pipeline
+
+    root, _ = built
+    monkeypatch.setattr(pipeline, "_BYTES_PER_SLICE", 1, raising=False)
+    monkeypatch.setattr(pipeline, "_MOST_SLICES", 3, raising=False)
+    paths, _ = _writes(monkeypatch)
+    for threads in (1, 3):
+        stored = build(spark, f"{root}/feeds", f"{tmp_path}/out", threads=threads)
+        for name in PUBLISHED:
+            assert same(stored[name], tables[name]), name
+    for name in ("reviewed_items", "mart_customer_reviews", "mart_obt_orders"):
+        assert sum(p.endswith(f"/{name}") for p in paths) == 2 * 3
+
+
+def test_slices_hold_every_row_once(spark):
+    from tallyline.plans.pipeline import _slice
+
+    rows = [(k, v) for k in ("a", "b", "c", "d", None) for v in (1, 1, None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    slices = [_slice(df, "k", i, 3).collect() for i in range(3)]
+    assert sorted([tuple(r) for s in slices for r in s], key=repr) == sorted(rows, key=repr)
+    assert sum(any(r.k == "a" for r in s) for s in slices) == 1
+    assert _slice(df, "other", 1, 3).count() == len(rows)
