@@ -142,3 +142,14 @@ def test_failed_ingest_keeps_the_old_table(spark, csv_dir, tmp_path):
     with pytest.raises(Exception):
         ingest(spark, {"olist_sellers": str(csv_dir / "bad.csv")}, out)
     assert read_feed(spark, out, "olist_sellers").first().seller_id == "s1"
+
+
+def test_export_in_gzip(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(1, 'say "hi",\nthen go'), (2, None), (3, " x ")], "id int, note string")
+    status = export_csv(spark, {"a": df.coalesce(1)}, str(tmp_path), compression="gzip")
+    export_csv(spark, {"b": df.coalesce(1)}, str(tmp_path))
+    assert [(r.rows, r.status) for r in status.collect()] == [(3, "ok")]
+    (packed,), (plain,) = tmp_path.glob("a.csv/*.csv.gz"), tmp_path.glob("b.csv/*.csv")
+    assert gzip.decompress(packed.read_bytes()) == plain.read_bytes()
