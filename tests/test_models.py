@@ -247,6 +247,18 @@ def test_packed_keys_come_back(spark):
     assert {r.k for r in df.select(unpacked("k")).collect()} == set(keys)
 
 
+def test_packed_text_is_no_longer_than_need_be(spark):
+    from pyspark.sql import functions as F
+
+    from tallyline.functions import packed, unpacked
+
+    mark = "\0" * 17
+    sizes = {"17": 2, "x" * 16: 33, "0123456789abcdef" * 2: 16, "a" + mark: 35, mark: 34, "y" * 33: 33}
+    df = spark.createDataFrame([(k,) for k in sizes], "k string")
+    assert {r.k: len(r.p) for r in df.select("k", packed(F.col("k")).alias("p")).collect()} == sizes
+    assert {r.k for r in df.select(packed("k")).select(unpacked("k")).collect()} == set(sizes)
+
+
 def _odd_star(tables):
     """The star schema with a line, customer, seller and product key that is no digest."""
     from pyspark.sql import functions as F
