@@ -153,3 +153,16 @@ def test_export_in_gzip(spark, tmp_path):
     assert [(r.rows, r.status) for r in status.collect()] == [(3, "ok")]
     (packed,), (plain,) = tmp_path.glob("a.csv/*.csv.gz"), tmp_path.glob("b.csv/*.csv")
     assert gzip.decompress(packed.read_bytes()) == plain.read_bytes()
+
+
+def test_gzip_is_written_at_its_fastest(spark, tmp_path, monkeypatch):
+    import gzip
+    import zlib
+
+    rows = "".join(f"{i % 977},{i % 31 * 7919}\n" for i in range(60_000))
+    text = spark.createDataFrame([tuple(map(int, r.split(","))) for r in rows.split()], "a int, b int")
+    export_csv(spark, {"a": text.coalesce(1)}, str(tmp_path), compression="gzip")
+    (packed,) = tmp_path.glob("a.csv/*.csv.gz")
+    assert gzip.decompress(packed.read_bytes()).decode() == "a,b\n" + rows
+    fast, usual = (len(zlib.compress(f"a,b\n{rows}".encode(), level)) for level in (1, 6))
+    assert abs(packed.stat().st_size - fast) < abs(packed.stat().st_size - usual)
