@@ -196,3 +196,49 @@ def test_slices_hold_every_row_once(spark):
     assert sorted([tuple(r) for s in slices for r in s], key=repr) == sorted(rows, key=repr)
     assert sum(any(r.k == "a" for r in s) for s in slices) == 1
     assert _slice(df, "other", 1, 3).count() == len(rows)
+
+
+def test_a_build_joins_small_sides_by_hash(spark, built, tmp_path, monkeypatch, settings):
+    """The marts and work tables, that is; the session's own settings are back afterwards."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    root, _ = built
+    merged, hashed = (
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold",
+    )
+    settings(merged, "1m")
+    plain, seen = DataFrameWriter.parquet, {}
+
+    def parquet(self, path, *args, **options):
+        seen[path.rsplit("/", 2)[1], path.rsplit("/", 1)[1]] = spark.conf.get(merged), spark.conf.get(hashed)
+        return plain(self, path, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    build(spark, f"{root}/feeds", f"{tmp_path}/out")
+    assert {layer for layer, _ in seen} == {"intermediate", "work", "marts"}
+    for (layer, name), found in seen.items():
+        assert found == (("1m", "0b") if layer == "intermediate" else ("1048576", "4194304")), name
+    assert (spark.conf.get(merged), spark.conf.get(hashed)) == ("1m", "0b")
+
+
+def test_slices_stay_few(spark, built, tmp_path, monkeypatch):
+    """Each reads all parents again, so that their number must not grow with the feeds."""
+    from tallyline.plans import pipeline
+
+    root, _ = built
+    monkeypatch.setattr(pipeline, "_BYTES_PER_SLICE", 1)
+    paths, _ = _writes(monkeypatch)
+    build(spark, f"{root}/feeds", f"{tmp_path}/out")
+    assert sum(p.endswith("/mart_obt_orders") for p in paths) == 2
+
+
+def test_work_rows_hold_keys_packed(spark, tables):
+    """An item's own key is not carried to marts that only count it, others go as bytes."""
+    work = dict(tables["reviewed_items"].dtypes)
+    assert (work["seller_sk"], work["product_sk"], work["has_key"]) == ("binary", "binary", "boolean")
+    assert "order_item_sk" not in work
+    for name in ("mart_obt_sellers", "mart_seller_sales", "mart_product_performance"):
+        assert dict(tables[name].dtypes)[f"{'product' if 'product' in name else 'seller'}_sk"] == "string"
+    paid = tables["mart_payment_profiles"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "payment_sk" not in paid.split("Join")[0]
