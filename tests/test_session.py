@@ -41,3 +41,27 @@ def test_a_reducer_gets_a_bounded_part_of_the_input(spark, settings, monkeypatch
     monkeypatch.setattr(session, "input_bytes", lambda spark, path: 6 << 30)
     session.tune(spark, "anything")
     assert int(spark.conf.get(key)) >= 6 * 64
+
+
+def test_sellers_by_the_hundred_thousand_are_broadcast(spark, settings, tmp_path):
+    """Their estimate is over Spark's 10 MB and under ours; a session's own limit stays."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    settings(key, "10485760b")
+    session.tune(spark)
+    ids = spark.range(100_000).selectExpr("md5(cast(id AS string)) AS seller_id")
+    ids.write.parquet(f"{tmp_path}/sellers")
+    spark.range(3_000_000).selectExpr(
+        "md5(md5(cast(id % 100000 AS string))) AS seller_sk", "md5(cast(-id AS string)) AS item_sk"
+    ).write.parquet(f"{tmp_path}/items")
+    sellers = spark.read.parquet(f"{tmp_path}/sellers").selectExpr(
+        "seller_id", "md5(seller_id) AS seller_sk"
+    )
+    estimate = int(str(sellers._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert 10 << 20 < estimate < 32 << 20, estimate
+    joined = spark.read.parquet(f"{tmp_path}/items").join(sellers, "seller_sk")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan
+    for own in ("-1", "5MB"):
+        settings(key, own)
+        session.tune(spark)
+        assert spark.conf.get(key) == own
